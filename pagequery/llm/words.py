@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Characters of text that are looked up at once.
 PIECE_CHARS = 1 << 20
-#: Marks that are a token of their own behind a word.
-STOPS = ".,;:!?"
+#: A mark behind a letter and before white space is a token of its own.
+_STOP = re.compile(r"([.,;:!?])(?<=[a-zß-öø-ÿ].)(?=[ \n]|\Z)")
+#: Letters, or letters and then marks: exactly one or two pre-tokens.
+_PLAIN = re.compile(r"[^\W\d_²³¹¼½¾]+([^\w\s'<|>]+)?")
+
+
+def split_words(text: str) -> list[str]:
+    """Parts whose ids, one after the other, are the ids of the text.
+
+    Texts within Latin-1 are put in lower case, as the vocabulary's normalizer
+    does to each character, and single marks are cut off, so that there are
+    fewer different parts; other texts are only cut at blanks and line ends.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    if "<|" not in text:
+        text = _STOP.sub(r" \1", text.lower())
+    return text.replace("\n", " ").split(" ")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,17 +38,36 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] of them), then those from first[1], and so on."""
+    starts = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(first - starts, sizes)
+
+
+class _Rows(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.new.append(word)
+        return row
+
+
 class WordEncoder:
     """Exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     The vocabulary's pre-tokenizer drops white space and never joins characters
     across it, so the ids of a text are those of its parts between blanks and
     line ends, one after the other. A word is encoded the first time a worker
-    meets it and looked up afterwards. At most ``cap`` words are kept; then the
-    table starts anew, so memory stays bounded whatever the corpus.
+    meets it and looked up afterwards. At ``cap`` words those that were not met
+    again are forgotten, so memory stays bounded whatever the corpus.
     """
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str, cap: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,61 +79,78 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.index = _Rows()
+        self.known = 1  # rows that have their ids
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the words met in two pieces of text or more since the last time."""
+        old, first, length, flat, met = self.index, self.first, self.length, self.flat, self.met
+        self._clear()
+        kept = [w for w, row in old.items() if row and met[row] > 1][: self.cap // 2]
+        rows = np.array([old[w] for w in kept], np.int64)
+        self.index.update(zip(kept, range(1, len(kept) + 1)))
+        self._add(flat[_runs(first[rows], length[rows])], length[rows])
 
     def _learn(self, words: list[str]) -> None:
-        """Adds words that the table lacks. Words of letters, with at most one stop behind, are encoded in long rows, which costs a third of one call each."""
-        plain = [w for w in words if w.isalpha() or (w[-1] in STOPS and w[:-1].isalpha())]
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            wanted = np.cumsum([2 - w.isalpha() for w in part])
-            if len(ends) == wanted[-1]:  # letters and stop are one end mark each: no word can have fewer, so none has more
-                self._add(part, ids, np.diff(ends[wanted - 1], prepend=0))
-            else:
-                self._learn_each(part)
-        known = set(plain)
-        self._learn_each([w for w in words if w not in known])
-
-    def _learn_each(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self._add(part, np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes)
-
-    def _add(self, part: list[str], new: np.ndarray, sizes: np.ndarray) -> None:
-        row, rows = len(self.index), len(self.index) + len(part)
+        """Adds the ids of the words that got rows, in their order. Words of letters, with at most one run of marks behind, are encoded in long rows of text, which costs a third of one call each."""
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ends = [1 if w.isalpha() else 0 for w in part]
+            for i, n in enumerate(ends):
+                if not n and (m := _PLAIN.fullmatch(part[i])):
+                    ends[i] = 2 if m[1] else 1
+            plain = [w for w, n in zip(part, ends) if n]
+            odd = [w for w, n in zip(part, ends) if not n]
+            row, *single = self.tokenizer.encode_batch_fast([" ".join(plain), *odd], add_special_tokens=False)
+            ids = np.array(row.ids, np.uint32)
+            found = np.flatnonzero(self.is_end[ids]) + 1
+            wanted = np.cumsum([n for n in ends if n], dtype=np.int64)
+            if len(plain) and len(found) != wanted[-1]:  # letters and marks have an end each: no word can have fewer, but some had more
+                for w in part:
+                    own = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+                    self._add(own, np.array([len(own)]))
+                continue
+            sizes = np.zeros(len(part), np.int64)
+            is_plain = np.array(ends) > 0
+            if len(plain):
+                sizes[is_plain] = np.diff(found[wanted - 1], prepend=0)
+            sizes[~is_plain] = [len(e.ids) for e in single]
+            if odd:  # back into the order of the words
+                merged = np.zeros(int(sizes.sum()), np.uint32)
+                belongs = np.repeat(is_plain, sizes)
+                merged[belongs] = ids
+                merged[~belongs] = np.concatenate([np.array(e.ids, np.uint32) for e in single])
+                ids = merged
+            self._add(ids, sizes)
+
+    def _add(self, new: np.ndarray, sizes: np.ndarray) -> None:
+        rows = self.known + len(sizes)
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), np.uint32)])
         while rows > len(self.first):
-            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
+            self.first, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.met))
         self.flat[self.used : self.used + len(new)] = new
-        self.first[row:rows] = self.used + np.cumsum(sizes) - sizes
-        self.length[row:rows] = sizes
+        self.first[self.known : rows] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.known : rows] = sizes
         self.used += len(new)
-        self.index.update(zip(part, range(row, rows)))
+        self.known = rows
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each word has."""
-        rows = list(map(self.index.get, words))
-        if None in rows:
-            new = dict.fromkeys(w for w, r in zip(words, rows) if r is None)
-            if len(self.index) + len(new) > self.cap:
-                self._clear()
-                new = dict.fromkeys(w for w in words if w)
-            self._learn(list(new))
-            rows = list(map(self.index.get, words))
-        at = np.array(rows, np.int64)
+        if len(self.index) > self.cap:
+            self._forget()
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new.clear()
+        self.met[at] += 1
         sizes = self.length[at]
-        starts = np.cumsum(sizes) - sizes
-        pick = np.arange(int(sizes.sum())) + np.repeat(self.first[at] - starts, sizes)
-        return self.flat[pick], sizes
+        return self.flat[_runs(self.first[at], sizes)], sizes
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text in turn; a null text has none. Long texts are looked up piece by piece."""
@@ -118,7 +173,7 @@ class WordEncoder:
                 chars = 0
                 yield self._long(text)
                 continue
-            part = text.replace("\n", " ").split(" ")
+            part = split_words(text)
             words += part
             counts.append(len(part))
             chars += len(text)
@@ -138,7 +193,7 @@ class WordEncoder:
                 else:  # a single word longer than a piece
                     after = [c for c in (text.find(" ", end), text.find("\n", end)) if c >= 0]
                     end = min(after) + 1 if after else len(text)
-            found.append(self._ids(text[at:end].replace("\n", " ").split(" "))[0])
+            found.append(self._ids(split_words(text[at:end]))[0])
             at = end
         return np.concatenate(found)
 
