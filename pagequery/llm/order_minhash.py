@@ -7,9 +7,9 @@ follows edit similarity. Documents that share a sketch are candidates; an
 alignment inside a band decides.
 
 Equal texts are one class first. Then each bucket's members are held against
-its first member, and components are formed. Only where a bucket still spans
-several components are the rest of its pairs compared, across components alone
-and in blocks. So large groups of copies cost one comparison a member, and
+one of them, thrice with another, and components are formed. Only where a bucket
+still spans several components are the rest of its pairs compared, across
+components alone and in blocks. So large groups of copies cost one comparison a member, and
 still no candidate pair of different components goes unverified.
 """
 
@@ -32,6 +32,7 @@ from .token_file import batches
 _WORD = re.compile(r"\w+")
 #: Members of a bucket in a block of the second pass.
 BLOCK = 512
+BITS = 4096
 
 
 class WordHashes:
@@ -93,6 +94,13 @@ def sketches(kmers: np.ndarray, count: int, seed: int = 31) -> tuple[np.ndarray,
     return _mixed(kmers[first] * np.uint64(3) + _mixed(kmers[second] + salts[:, 0])).view(np.int64), first, second
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """The words, each with its occurrence number, hashed to ``BITS`` bits. A word more than the other text has costs an edit, so a bit that the other lacks does."""
+    seen = np.zeros(BITS, bool)
+    seen[labelled_kmers(words, 1) >> np.uint64(64 - BITS.bit_length() + 1)] = True
+    return np.packbits(seen).view(np.int64)
+
+
 def _band(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance if it is at most ``most``, else something above. ``b`` is the longer by no more than ``most``.
 
@@ -134,9 +142,10 @@ def bounded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a):
         return len(b)
-    if max((~np.isin(a, b)).sum(), (~np.isin(b, a)).sum()) > most:
+    lacks = int(max((~np.isin(a, b)).sum(), (~np.isin(b, a)).sum()))
+    if lacks > most:
         return most + 1  # words that the other lacks cost an edit each
-    band = max(16, len(b) - len(a))
+    band = max(16, len(b) - len(a), 2 * lacks)
     while True:
         band = min(band, most)
         found = _band(a, b, band)
@@ -151,7 +160,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return bounded_distance(a, b, most) <= most
 
 
-_PREPARED = pa.schema([("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("words", pa.binary()), ("keys", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("second", pa.list_(pa.int32()))])
+_PREPARED = pa.schema([("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("words", pa.binary()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("second", pa.list_(pa.int32()))])
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -168,18 +177,18 @@ def _prepared(docs: DataFrame, k: int, count: int) -> DataFrame:
 
         def one(text: str | None):
             if text is None:
-                return None, 0, None, None, None, None
+                return None, 0, None, None, None, None, None
             words = _WORD.findall(text.lower())
             if not words:
-                return blake2b(b"\0" + text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), 0, b"", [], [], []
+                return blake2b(b"\0" + text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), 0, b"", [], [], [], []
             fp = blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
             ids = hashes(words)
             if fp in met:  # its sketches are there already
-                return fp, len(words), None, None, None, None
+                return fp, len(words), None, None, None, None, None
             if len(met) > 200_000:
                 met.clear()
             met.add(fp)
-            return fp, len(words), ids.astype("<u4").tobytes(), *sketches(labelled_kmers(ids, k), count)
+            return fp, len(words), ids.astype("<u4").tobytes(), word_bits(ids), *sketches(labelled_kmers(ids, k), count)
 
         def rows():
             for part in parts:
@@ -189,7 +198,16 @@ def _prepared(docs: DataFrame, k: int, count: int) -> DataFrame:
         yield from batches(rows(), _PREPARED, lambda row: len(row[5] or b"") + 16 * count)
 
     own = _signed(docs).select(F.col("doc_id").cast("long"), "__sig1", "__sig2", F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, sig1 long, sig2 long, fp binary, n int, words binary, keys array<long>, first array<int>, second array<int>")
+    return own.mapInArrow(run, "doc_id long, sig1 long, sig2 long, fp binary, n int, words binary, bits array<long>, keys array<long>, first array<int>, second array<int>")
+
+
+def _perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose fp is in ``wanted``, and a few others: a filter of 512 bitmaps of 4 KB each, whatever the number of rows, keeps most texts that no pair needs out of the shuffle."""
+    spot = F.pmod(F.xxhash64("fp"), F.lit(512 * 32768))
+    maps = wanted.select(F.bitmap_bucket_number(spot).alias("__map"), F.bitmap_bit_position(spot).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    marked = rows.withColumns({"__map": F.bitmap_bucket_number(spot), "__bit": F.bitmap_bit_position(spot)}).join(F.broadcast(maps), "__map")
+    bit = F.expr("cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(__bit % 8 as int) & 1")
+    return marked.where(bit == 1).select(*rows.columns)
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -202,7 +220,7 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([a, b], names=["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    held = stored(words.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    held = stored(_perhaps_in(words, needed).join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
     joined = pairs.join(held.select(F.col("fp").alias("a"), F.col("words").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("words").alias("y")), "b")
     return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "src binary, dst binary"), "edges")
 
@@ -215,6 +233,38 @@ def _fits(a: str, b: str, threshold: float) -> str:
     )
 
 
+#: SQL orders; the first member of a bucket by each is held against the others in turn.
+_LEADS = ("fp", "reverse(hex(fp))", "xxhash64(fp)")
+
+
+def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of buckets with their components so far."""
+    if labels is None:
+        return members.withColumn("label", F.col("fp"))
+    return members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def _mixed_keys(named: DataFrame) -> DataFrame:
+    """Buckets of several components, and into how many blocks they go."""
+    found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    return found.where("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+
+
+def _joined_up(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components after more edges."""
+    if labels is None:
+        return connected_components(edges)
+    if edges.isEmpty():
+        return labels
+    return connected_components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).union(edges))
+
+
+def _few_other_words(a: str, b: str, threshold: float) -> str:
+    """SQL: no more bits of either text are missing from the other than edits are allowed."""
+    lacks = lambda x, y: f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p & ~q)), 0, (s, c) -> s + c)"
+    return f"greatest({lacks(a, b)}, {lacks(b, a)}) <= {1 - threshold!r} * greatest({a}.n, {b}.n) + 1e-9"
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_count: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_rows, kept, sig1, sig2.
 
@@ -234,25 +284,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
     rows = stored(_prepared(docs, k, sketch_count).withColumn("row", F.monotonically_increasing_id()), "sketches")
     sketched = rows.where("size(keys) > 0")
     buckets = sketched.select("fp", "n", F.explode(F.arrays_zip("keys", "first", "second")).alias("s")).select("fp", "n", F.col("s.keys").alias("key"), "s.first", "s.second")
-    shared = buckets.groupBy("key").agg(F.min(F.struct("fp", "n", "first", "second")).alias("lead"), F.max("fp").alias("top")).where("lead.fp < top").drop("top")
-    members = stored(buckets.join(shared, "key").distinct(), "buckets")
+    several = buckets.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("top")).where("low < top").select("key")
+    members = stored(buckets.join(several, "key", "left_semi").distinct(), "buckets")
     words = sketched.select("fp", "words")
-    stars = members.where("fp > lead.fp").where(_fits("lead", "members", threshold).replace("members.", "")).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = stored(stars, "pairs")
-    edges = _verified(stars, words, threshold)
-    labels = connected_components(edges)
-    # Buckets that still hold several components: the pairs across them.
-    named = members.select("key", "fp", "n", "first", "second").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = stored(named, "buckets")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b0": F.least("own", "other"), "b1": F.greatest("own", "other")}).drop("other", "blocks")
+    labels, tried = None, None
+    for lead in _LEADS:  # each bucket's members against one of them
+        named = _named(members, labels)
+        open_ = stored(named, "open") if labels is None else stored(named.join(_mixed_keys(named), "key", "left_semi"), "open")
+        leads = open_.groupBy("key").agg(F.min_by(F.struct("fp", "label", "n", "first", "second"), F.expr(lead)).alias("lead"))
+        pairs = open_.alias("m").join(leads, "key").where("m.fp <> lead.fp AND m.label <> lead.label").where(_fits("lead", "m", threshold))
+        pairs = pairs.select(F.least("m.fp", "lead.fp").alias("a"), F.greatest("m.fp", "lead.fp").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        labels = _joined_up(labels, _verified(pairs, words, threshold))
+    # Buckets that still hold several components: all pairs across them.
+    named = stored(_named(members, labels), "open")
+    mixed = stored(named.join(_mixed_keys(named), "key"), "open")
+    bits = _perhaps_in(sketched.select("fp", "bits"), mixed.select("fp").distinct()).dropDuplicates(["fp"])
+    mixed = mixed.join(bits, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b0": F.least("own", "other"), "b1": F.greatest("own", "other")}).drop("other", "blocks")
     a, b = dealt.alias("a"), dealt.alias("b")
-    met = F.expr("a.key = b.key AND a.b0 = b.b0 AND a.b1 = b.b1 AND a.fp < b.fp AND a.label <> b.label AND (a.own <> b.own OR a.b0 = a.b1) AND " + _fits("a", "b", threshold))
+    met = F.expr("a.key = b.key AND a.b0 = b.b0 AND a.b1 = b.b1 AND a.fp < b.fp AND a.label <> b.label AND (a.own <> b.own OR a.b0 = a.b1) AND " + _fits("a", "b", threshold) + " AND " + _few_other_words("a", "b", threshold))
     across = a.join(b, met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    more = _verified(stored(across.join(stars, ["a", "b"], "left_anti"), "pairs"), words, threshold)
-    if not more.isEmpty():
-        labels = connected_components(labels.where("node <> label").select(F.col("node").alias("src"), F.col("label").alias("dst")).union(more))
+    labels = _joined_up(labels, _verified(stored(across.join(tried, ["a", "b"], "left_anti"), "pairs"), words, threshold))
     texts = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
     classed = texts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     heads = classed.groupBy("label").agg(F.min("least").alias("head"), F.sum("copies").alias("class_rows"))
