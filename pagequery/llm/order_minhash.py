@@ -237,17 +237,11 @@ def _fits(a: str, b: str, threshold: float) -> str:
 _LEADS = ("fp", "reverse(hex(fp))", "xxhash64(fp)")
 
 
-def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets with their components so far."""
-    if labels is None:
-        return members.withColumn("label", F.col("fp"))
-    return members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-
-
-def _mixed_keys(named: DataFrame) -> DataFrame:
-    """Buckets of several components, and into how many blocks they go."""
-    found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    return found.where("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+def _still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members under their components now, of the buckets that hold several."""
+    named = stored(members.drop("label").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
+    found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return stored(named.join(found, "key", "left_semi"), "open")
 
 
 def _joined_up(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -287,24 +281,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
     several = buckets.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("top")).where("low < top").select("key")
     members = stored(buckets.join(several, "key", "left_semi").distinct(), "buckets")
     words = sketched.select("fp", "words")
-    labels, tried = None, None
+    labels, tried, open_ = None, None, members.withColumn("label", F.col("fp"))
     for lead in _LEADS:  # each bucket's members against one of them
-        named = _named(members, labels)
-        open_ = stored(named, "open") if labels is None else stored(named.join(_mixed_keys(named), "key", "left_semi"), "open")
         leads = open_.groupBy("key").agg(F.min_by(F.struct("fp", "label", "n", "first", "second"), F.expr(lead)).alias("lead"))
         pairs = open_.alias("m").join(leads, "key").where("m.fp <> lead.fp AND m.label <> lead.label").where(_fits("lead", "m", threshold))
         pairs = pairs.select(F.least("m.fp", "lead.fp").alias("a"), F.greatest("m.fp", "lead.fp").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         labels = _joined_up(labels, _verified(pairs, words, threshold))
-    # Buckets that still hold several components: all pairs across them.
-    named = stored(_named(members, labels), "open")
-    mixed = stored(named.join(_mixed_keys(named), "key"), "open")
-    bits = _perhaps_in(sketched.select("fp", "bits"), mixed.select("fp").distinct()).dropDuplicates(["fp"])
-    mixed = mixed.join(bits, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        open_ = _still_mixed(open_, labels)  # buckets that are whole stay so
+    # All pairs across the components that a bucket still holds, each at the first sketch that they share.
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    marks = _perhaps_in(sketched.select("fp", "bits", "keys"), open_.select("fp").distinct()).dropDuplicates(["fp"])
+    mixed = open_.select("key", "fp", "n", "label").join(sizes, "key").join(marks, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b0": F.least("own", "other"), "b1": F.greatest("own", "other")}).drop("other", "blocks")
     a, b = dealt.alias("a"), dealt.alias("b")
-    met = F.expr("a.key = b.key AND a.b0 = b.b0 AND a.b1 = b.b1 AND a.fp < b.fp AND a.label <> b.label AND (a.own <> b.own OR a.b0 = a.b1) AND " + _fits("a", "b", threshold) + " AND " + _few_other_words("a", "b", threshold))
+    met = F.expr(
+        "a.key = b.key AND a.b0 = b.b0 AND a.b1 = b.b1 AND a.fp < b.fp AND a.label <> b.label AND (a.own <> b.own OR a.b0 = a.b1)"
+        " AND a.key = get(filter(zip_with(a.keys, b.keys, (x, y) -> if(x = y, x, null)), x -> x IS NOT NULL), 0)"
+        f" AND least(a.n, b.n) >= {threshold!r} * greatest(a.n, b.n) - 1e-9 AND " + _few_other_words("a", "b", threshold)
+    )
     across = a.join(b, met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
     labels = _joined_up(labels, _verified(stored(across.join(tried, ["a", "b"], "left_anti"), "pairs"), words, threshold))
     texts = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
