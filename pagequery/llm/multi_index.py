@@ -59,7 +59,7 @@ def fit_codes(sample: np.ndarray, longest: float, k: int, recall: float = 0.97,
     whole = np.column_stack([sample / longest, np.sqrt(np.maximum(0, longest**2 - lengths)) / longest])
     mean = whole.mean(axis=0)
     bits = max(1, min(max_bits, sample.shape[1]))
-    axes = np.linalg.svd(whole - mean, full_matrices=True)[2][:bits].T
+    axes = np.linalg.eigh(np.cov(whole, rowvar=False, bias=True))[1][:, ::-1][:, :bits]
     flat = (whole - mean) @ axes
     turn = np.linalg.qr(np.random.default_rng(11).standard_normal((axes.shape[1],) * 2))[0]
     for _ in range(rounds):
