@@ -63,10 +63,11 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))  # ahead of the shuffle, which then moves no text
     return shard_by_bytes(docs, 40).select(
         "doc_id",
         F.col("__size").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         F.col("__shard").alias("shard"),
         F.col("__slot").cast("long").alias("slot"),
