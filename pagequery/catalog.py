@@ -1,10 +1,319 @@
-"""Named queries over the driver's tables, and their SQL."""
+"""Named queries over the driver's tables, and the SQL that says the same.
+
+Constructs that the page table lacks are rendered from relational tables, run
+through the engine, and compared with a plain SELECT on the table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagequery.functions import coerce, pages as P
+from pagequery.operators import changes, crawl, endpoints, text
+from pagequery.plans import dsl, extract
+from pagequery.sources.stores import RECIPES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str = ""):
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_HOST = "lower(split_part(url, '/', 3))"
+_ALL_LINKS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+_VISIBLE = "length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<noscript[^>]*>.*?</noscript>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')))"
+
+
+@_query(f"SELECT {_HOST} AS host, count(*) AS pages, sum(len({_ALL_LINKS}))::BIGINT AS links, sum({_VISIBLE})::BIGINT AS visible FROM pages GROUP BY 1")
+def links_per_host(spark, sf):
+    pages = _t(spark, sf, "pages").select(P.host(F.col("url")).alias("host"), F.size(P.links(F.col("url"), F.col("html"))).alias("n"), P.visible_length(F.col("html")).alias("v"))
+    return pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("links"), F.sum("v").cast("long").alias("visible"))
+
+
+@_query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def page_title(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", P.metadata(F.col("html"))["title"].alias("title"))
+
+
+@_query(f"SELECT page_id, (pos - 1)::BIGINT AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url, false AS external FROM (SELECT page_id, url, unnest({_ALL_LINKS}) AS href, generate_subscripts({_ALL_LINKS}, 1) AS pos FROM pages)")
+def page_links(spark, sf):
+    found = _t(spark, sf, "pages").select("page_id", F.posexplode(P.links(F.col("url"), F.col("html"))).alias("pos", "l"))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "l.url", "l.external")
+
+
+@_query(f"SELECT page_id, {_VISIBLE}::BIGINT AS visible, {_VISIBLE} >= 500 OR length(html) >= 8000 AS meaningful FROM pages")
+def visible_text(spark, sf):
+    html = F.col("html")
+    return _t(spark, sf, "pages").select("page_id", P.visible_length(html).cast("long").alias("visible"), P.meaningful(html).alias("meaningful"))
+
+
+@_query("SELECT page_id, sha256(html) AS hash FROM pages")
+def html_hash(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("hash"))
+
+
+@_query()
+def template_groups(spark, sf):
+    keyed = extract.templates(_t(spark, sf, "pages"))
+    return extract.representatives(keyed).select("domain", "template", "url", "pages")
+
+
+@_query("SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+def _cards(spark: SparkSession, sf: str, lossy: bool = False) -> DataFrame:
+    """A page of product cards for each brand; ``lossy`` leaves out the price of every seventh part."""
+    price = F.concat(F.lit('<span class="price">$'), F.format_number("p_size", 0), F.lit("</span>"))
+    shown = F.when(F.col("p_partkey") % 7 != 0, price).otherwise("") if lossy else price
+    card = F.concat(F.lit('<article class="card" data-key="'), F.col("p_partkey").cast("string"), F.lit('"><a href="/p/'), F.col("p_partkey").cast("string"), F.lit('"><h2 class="name">'), "p_name", F.lit("</h2></a>"), shown, F.lit("</article>"))
+    return _t(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "").alias("cards")).select(
+        "p_brand", F.concat(F.lit("https://shop.example/"), F.col("p_brand")).alias("url"), F.concat(F.lit('<html><body><div class="grid">'), "cards", F.lit("</div></body></html>")).alias("html")
+    )
+
+
+_CARD_POS = "(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS pos"
+
+
+@_query(f"SELECT p_brand, {_CARD_POS}, p_name AS name FROM part")
+def css_products(spark, sf):
+    found = _cards(spark, sf).select("p_brand", F.posexplode(P.css_text(F.col("html"), "div.grid > article.card h2.name")).alias("pos", "name"))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+@_query("SELECT p_brand, p_partkey AS key FROM part")
+def xpath_values(spark, sf):
+    return _cards(spark, sf).select("p_brand", F.explode(P.select_values(F.col("html"), "//article/@data-key")).alias("key")).withColumn("key", F.col("key").cast("long"))
+
+
+@_query(f"SELECT p_brand, {_CARD_POS}, 'https://shop.example/p/' || p_partkey AS url, count(*) OVER (PARTITION BY p_brand) AS records FROM part")
+def detect_records(spark, sf):
+    found = _cards(spark, sf).select("p_brand", P.detect_records(F.col("url"), F.col("html")).alias("r"))
+    return found.select("p_brand", F.size("r").cast("long").alias("records"), F.posexplode("r").alias("pos", "x")).select("p_brand", F.col("pos").cast("long").alias("pos"), "x.url", "records")
+
+
+@_query(f"SELECT p_brand, {_CARD_POS}, p_name AS name, p_size::DOUBLE AS price FROM part")
+def selector_apply(spark, sf):
+    plan = F.create_map(F.lit("name"), F.array(F.lit("h2.missing"), F.lit("h2.name")), F.lit("price"), F.array(F.lit("//span[@class='price']")))
+    found = _cards(spark, sf).select("p_brand", extract.matched(F.col("html"), plan).alias("found"))
+    return extract.zip_fields(found, ["name", "price"], ["name"]).select("p_brand", F.col("pos").cast("long").alias("pos"), "name", coerce.to_currency(F.col("price")).alias("price"))
+
+
+@_query("SELECT p_brand, bool_or(p_partkey % 7 = 0) AND bool_or(p_partkey % 7 <> 0) AS rejected FROM part GROUP BY 1")
+def selector_reject(spark, sf):
+    plan = F.create_map(F.lit("name"), F.array(F.lit("h2.name")), F.lit("price"), F.array(F.lit("span.price")))
+    found = _cards(spark, sf, lossy=True).select("p_brand", extract.matched(F.col("html"), plan).alias("found"))
+    return extract.zip_fields(found, ["name", "price"]).select("p_brand", F.col("_error").isNotNull().alias("rejected")).distinct()
+
+
+@_query("SELECT n_regionkey::BIGINT AS region, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::BIGINT AS row, n_nationkey::BIGINT AS nation, n_name AS name FROM nation")
+def html_tables(spark, sf):
+    row = F.concat(F.lit("<tr><td> "), F.col("n_nationkey").cast("string"), F.lit("<td>"), "n_name", F.lit(" </tr>"))
+    html = _t(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    tables = html.select("n_regionkey", P.tables(F.concat(F.lit("<table>"), "rows", F.lit("</table><table></table>"))).alias("t"))
+    return tables.select("n_regionkey", F.posexplode(F.col("t")[0]).alias("row", "c")).select(F.col("n_regionkey").cast("long").alias("region"), F.col("row").cast("long").alias("row"), F.col("c")[0].cast("long").alias("nation"), F.col("c")[1].alias("name"))
+
+
+@_query("SELECT s_suppkey, s_name AS name FROM supplier")
+def json_ld(spark, sf):
+    html = F.concat(F.lit('<script type="application/ld+json">['), F.to_json(F.struct("s_name")), F.lit(', 3]</script><script type="application/ld+json">{bad</script>'))
+    return _t(spark, sf, "supplier").select("s_suppkey", F.explode(P.json_ld(html)).alias("j")).select("s_suppkey", F.get_json_object("j", "$.s_name").alias("name"))
+
+
+@_query("SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'next' ELSE 'nuxt_inline' END AS source FROM customer")
+def hydration(spark, sf):
+    state = F.to_json(F.struct("c_name"))
+    next_ = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":'), state, F.lit("}}</script>"))
+    nuxt = F.concat(F.lit('<script>window.__NUXT__={"state":'), state, F.lit("};</script>"))
+    found = _t(spark, sf, "customer").select("c_custkey", P.hydration(F.when(F.col("c_custkey") % 2 == 0, next_).otherwise(nuxt)).alias("h"))
+    return found.select("c_custkey", F.get_json_object(P.hydration_subset(F.col("h.data")), "$.c_name").alias("name"), "h.source")
+
+
+@_query("SELECT c_custkey, c_name AS author, c_mktsegment AS title FROM customer")
+def page_article(spark, sf):
+    html = F.concat(F.lit('<html><head><title>x</title><meta name="author" content="'), "c_name", F.lit('"></head><body><nav>menu</nav><article><h1>'), "c_mktsegment", F.lit("</h1><p>body</article></body></html>"))
+    return _t(spark, sf, "customer").select("c_custkey", P.article(html).alias("a")).select("c_custkey", "a.author", "a.title")
+
+
+@_query("SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS price, floor(o_totalprice)::BIGINT AS whole, o_orderstatus = 'F' AS done, o_orderdate AS day, len(string_split(o_orderpriority, ' '))::BIGINT AS words FROM orders")
+def coercions(spark, sf):
+    money = F.concat(F.lit("$ "), F.format_number(F.floor("o_totalprice"), 0))
+    words = coerce.to_list(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit(" ;,")))
+    return _t(spark, sf, "orders").select(
+        "o_orderkey",
+        coerce.to_currency(money).alias("price"),
+        coerce.to_int(F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit(".9"))).alias("whole"),
+        coerce.to_bool(F.when(F.col("o_orderstatus") == "F", " In Stock").otherwise("no")).alias("done"),
+        coerce.to_date(F.date_format("o_orderdate", "MMM d, yyyy")).cast("timestamp_ntz").alias("day"),
+        F.size(words).cast("long").alias("words"),
+    )
+
+
+@_query("SELECT p_partkey, p_name AS name, p_size::BIGINT AS size, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END AS price, 2::BIGINT AS tags, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS errors FROM part")
+def dsl_products(spark, sf):
+    price = F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice").cast("string"))
+    raw = F.to_json(F.struct(F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("size"), price.alias("price")).alias("item"), F.lit("a, b").alias("tags")))
+    rows = dsl.apply_query(_t(spark, sf, "part").select("p_partkey", raw.alias("raw")), "{ item { name size(int) price(currency) } tags(list, min_count=2) }", "raw")
+    return rows.select("p_partkey", "data.item.name", "data.item.size", "data.item.price", F.size("data.tags").cast("long").alias("tags"), F.size("_errors").cast("long").alias("errors"))
+
+
+@_query(f"SELECT {_HOST} AS domain, count(*) AS pages, sum(CASE WHEN {_HOST} LIKE 'www%' THEN 1 ELSE 0 END)::BIGINT AS hits FROM pages GROUP BY 1")
+def plan_lookup(spark, sf):
+    keyed = extract.templates(_t(spark, sf, "pages"))
+    plans = keyed.where("domain LIKE 'www%'").select("domain", "template").distinct().withColumn("plan", F.lit("h1"))
+    return extract.with_plans(keyed, plans).groupBy("domain").agg(F.count("*").alias("pages"), F.count("plan").alias("hits"))
+
+
+@_query("SELECT o_custkey, count(*) AS rows, bool_or(o_orderkey % 7 = 0) AS heal FROM orders GROUP BY 1")
+def heal_flags(spark, sf):
+    rows = _t(spark, sf, "orders").withColumn("status", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")))
+    return extract.heal_flags(rows, ["o_custkey"], ["status"])
+
+
+@_query("SELECT 'c_name' AS field, count(*) AS rows, sum((c_custkey % 5 = 0)::INT)::BIGINT AS nulls, 0::BIGINT AS empty, 0::BIGINT AS none FROM customer UNION ALL SELECT 'c_mktsegment', count(*), 0, sum((c_custkey % 4 = 0)::INT)::BIGINT, sum((c_custkey % 4 = 1)::INT)::BIGINT FROM customer")
+def field_quality(spark, sf):
+    c = _t(spark, sf, "customer")
+    rows = c.select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 4 == 0, " ").when(F.col("c_custkey") % 4 == 1, "None").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return extract.field_quality(rows, ["c_name", "c_mktsegment"])
+
+
+@_query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ';') AS priorities, max_by(o_orderstatus, o_orderkey) AS status, count(*) AS pages FROM orders GROUP BY 1")
+def paginate_merge(spark, sf):
+    rows = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.array("o_orderpriority").alias("priorities"), F.col("o_orderstatus").alias("status"))
+    merged = changes.merge_pages(rows, "o_custkey", "o_orderkey", ["priorities"], ["status"])
+    return merged.withColumn("priorities", F.array_join(F.array_sort("priorities"), ";"))
+
+
+@_query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def chunk_merge(spark, sf):
+    return changes.distinct_items(_t(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@_query("""
+WITH o AS (SELECT o_orderkey k, o_orderstatus s, o_orderpriority p FROM orders WHERE o_orderkey % 10 <> 0),
+n AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END s, o_orderpriority p FROM orders WHERE o_orderkey % 10 <> 1),
+b AS (SELECT coalesce(o.k, n.k) k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'modified' END t, o.s os, n.s ns, o.p op, n.p np FROM o FULL JOIN n ON o.k = n.k),
+f AS (SELECT k, 'o_orderstatus' field, os old_value, ns new_value, t FROM b UNION ALL SELECT k, 'o_orderpriority', op, np, t FROM b)
+SELECT k AS o_orderkey, field, old_value, new_value, t AS change_type FROM f WHERE t <> 'modified' OR old_value IS DISTINCT FROM new_value
+""")
+def snapshot_diff(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = orders.where("o_orderkey % 10 <> 1").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return changes.diff(orders.where("o_orderkey % 10 <> 0"), new, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@_query("SELECT o_custkey, max(o_orderdate) AS o_orderdate, min(o_orderkey) AS o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) r FROM orders) WHERE r = 1 GROUP BY 1")
+def latest_version(spark, sf):
+    rows = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return changes.latest(rows, "o_custkey", "o_orderdate")
+
+
+@_query("SELECT 'http://h.example/' || i AS url, floor(log2(i))::INT AS depth FROM range(1, 32) t(i)")
+def crawl_levels(spark, sf):
+    ids = spark.range(1, 200)
+    at = lambda c: F.concat(F.lit("http://h.example/"), c.cast("string"))
+    links = ids.select(at(F.col("id")).alias("src"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), "id").select("src", "pos", F.concat(at(F.col("id") * 2 + F.col("pos")), F.lit("#top")).alias("dst"))
+    seeds = spark.createDataFrame([("http://h.example/1#x",), ("mailto:a@b",)], "url string")
+    return crawl.crawl(seeds, links, max_depth=4, max_pages=1000)
+
+
+@_query(f"SELECT {_HOST} AS host, 'urlset' AS kind, (row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1)::BIGINT AS pos, url AS loc FROM pages")
+def sitemap_locations(spark, sf):
+    entry = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    maps = _t(spark, sf, "pages").groupBy(P.host(F.col("url")).alias("url")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "").alias("x"))
+    found = crawl.sitemap_locations(maps.select("url", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>")).alias("xml")))
+    return found.select(F.col("url").alias("host"), "kind", F.col("pos").cast("long").alias("pos"), "loc")
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 3 != 0, "application/json; charset=utf-8").otherwise("text/html")
+    return e.select(
+        "event_id", F.lit("get").alias("method"), F.concat(F.lit("https://api.example/"), "event_type", F.lit("?page="), (F.col("user_id") % 4).cast("string"), F.lit("&q=1")).alias("url"),
+        F.when(F.col("event_id") % 2 == 0, '{"limit": 5}').alias("request_body"), F.create_map(F.lit("content-type"), kind).alias("response_headers"), F.col("props").alias("response_body"),
+    )
+
+
+@_query("SELECT event_type || '?page=' || (user_id % 4) AS path, event_id % 2 = 0 AS with_body, min(event_id) AS first_event, CASE WHEN event_id % 2 = 0 THEN 'limit,page' ELSE 'page' END AS paging FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")
+def endpoint_inventory(spark, sf):
+    kept = endpoints.distinct_endpoints(endpoints.json_calls(_calls(spark, sf)), "event_id")
+    paging = F.array_join(endpoints.pagination_keys(F.col("url"), F.col("request_body")), ",")
+    return kept.select(F.regexp_extract("url", "example/(.*)&q", 1).alias("path"), F.col("request_body").isNotNull().alias("with_body"), F.col("event_id").alias("first_event"), paging.alias("paging"))
+
+
+@_query()
+def endpoint_schemas(spark, sf):
+    calls = endpoints.json_calls(_calls(spark, sf)).withColumn("endpoint", F.split_part("url", F.lit("?"), F.lit(1)))
+    return endpoints.infer_schemas(calls)
+
+
+@_query("SELECT c_custkey, '<redacted>' AS auth, c_name AS agent FROM customer")
+def redact_headers(spark, sf):
+    headers = endpoints.redact(F.create_map(F.lit("Authorization"), F.col("c_mktsegment"), F.lit("User-Agent"), F.col("c_name")))
+    return _t(spark, sf, "customer").select("c_custkey", headers.alias("h")).select("c_custkey", F.col("h")["Authorization"].alias("auth"), F.col("h")["User-Agent"].alias("agent"))
+
+
+@_query()
+def token_chunks(spark, sf):
+    return text.token_chunks(_t(spark, sf, "documents").select("doc_id", "text"), max_tokens=256)
+
+
+@_query()
+def dom_chunks(spark, sf):
+    return text.dom_chunks(_t(spark, sf, "pages").select("page_id", "html"), 50)
+
+
+@_query("""
+WITH w AS (SELECT lang, doc_id AS pos, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM documents),
+s AS (SELECT lang, pos, len(words) AS n FROM w), a AS (SELECT lang, count(*) AS docs, avg(n) AS avg_n FROM s GROUP BY 1),
+t AS (SELECT lang, pos, term, count(*) AS tf FROM (SELECT lang, pos, unnest(words) AS term FROM w) GROUP BY ALL),
+d AS (SELECT lang, term, count(*) AS df FROM t GROUP BY ALL),
+i AS (SELECT d.lang, term, ln((docs - df + 0.5) / (df + 0.5)) AS idf, avg_n FROM d JOIN a USING (lang)),
+m AS (SELECT lang, avg(idf) AS mean FROM i GROUP BY 1),
+q AS (SELECT t.lang, t.pos, sum(CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avg_n))) AS score
+      FROM t JOIN i USING (lang, term) JOIN m USING (lang) JOIN s ON s.lang = t.lang AND s.pos = t.pos WHERE term IN ('token', 'the', 'la') GROUP BY 1, 2),
+r AS (SELECT s.lang, s.pos, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY s.lang ORDER BY round(coalesce(score, 0), 9) DESC, s.pos) AS rank FROM s LEFT JOIN q ON q.lang = s.lang AND q.pos = s.pos)
+SELECT lang, rank::INT AS rank, pos, round(score, 6) AS score FROM r WHERE rank <= 5
+""")
+def bm25_topk(spark, sf):
+    parts = _t(spark, sf, "documents").select("lang", F.col("doc_id").alias("pos"), F.col("text").alias("part"))
+    return text.bm25(parts, "token the la", "lang").withColumn("score", F.round("score", 6))
+
+
+@_query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_next(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return e.join(after, "vec_id").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("after")), 6).alias("sim"))
+
+
+@_query()
+def semantic_groups(spark, sf):
+    parts = _t(spark, sf, "embeddings").select((F.col("vec_id") / 20).cast("long").alias("doc"), F.col("vec_id").alias("pos"), "embedding")
+    return text.semantic_groups(parts, "doc", 0.2)
+
+
+@_query("SELECT doc_id, len(regexp_extract_all(text, '[0-9][0-9.,]*'))::BIGINT AS numbers FROM documents")
+def numeric_tokens(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.numeric_tokens(F.col("text")).cast("long").alias("numbers"))
+
+
+@_query("SELECT page_id, recipe FROM pages JOIN (VALUES ('english_article', '/en/\\d+'), ('secure_page', '^https://'), ('tracked_link', '[?&]utm_')) r(recipe, p) ON regexp_matches(url, p)")
+def recipe_match(spark, sf):
+    return RECIPES.match(_t(spark, sf, "pages")).select("page_id", "recipe")
