@@ -129,12 +129,10 @@ def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def train_scorer(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-5) -> np.ndarray:
     """Weights, then the bias, of a logistic scorer over hashed features, from soft labels; adaptive gradient steps over all rows."""
     width = BUCKETS + 2
-    rows = np.repeat(np.arange(len(features)), [len(f[0]) + 2 for f in features])
-    columns = np.concatenate([x for f in features for x in (f[0], np.arange(BUCKETS, width))]).astype(np.int64)
-    values = np.concatenate([x for f in features for x in (np.full(len(f[0]), SCALE / (len(f[0]) + EASE)), f[1])])
-    cell, back = np.unique(rows * width + columns, return_inverse=True)
-    values = np.bincount(back, values)
-    rows, columns = cell // width, cell % width
+    cells = [np.unique(hashed, return_counts=True) for hashed, _ in features]  # a text at a time, so that no array of all trigrams is made
+    rows = np.repeat(np.arange(len(features), dtype=np.int32), [len(c[0]) + 2 for c in cells])
+    columns = np.concatenate([x for c in cells for x in (c[0].astype(np.int32), np.arange(BUCKETS, width, dtype=np.int32))])
+    values = np.concatenate([x for c, f in zip(cells, features) for x in (SCALE * c[1] / (len(f[0]) + EASE), f[1])]).astype(np.float32)
     w, squares = np.zeros(width + 1), np.full(width + 1, 1e-8)
     for _ in range(rounds):
         z = np.bincount(rows, w[columns] * values, len(features)) + w[-1]
@@ -176,7 +174,7 @@ class QualityModel:
     weights: np.ndarray
 
 
-def fit_quality(docs: DataFrame, train_rows: int = 3000, train_bytes: int = 20_000_000) -> QualityModel:
+def fit_quality(docs: DataFrame, train_rows: int = 3000, train_bytes: int = 8_000_000) -> QualityModel:
     """Fits the label model on the votes of all texts, and the scorer on a bounded sample.
 
     The sample is the distinct texts least by a hash, ``train_rows`` of them and
@@ -197,7 +195,7 @@ def fit_quality(docs: DataFrame, train_rows: int = 3000, train_bytes: int = 20_0
         texts.append(row.text)
     if not texts:
         return QualityModel(labels, np.append(np.zeros(BUCKETS + 2), 1.0))
-    soft = labels.posterior(np.array([pattern_of(votes(t)) for t in texts]))
+    soft = labels.posterior(np.array([pattern_of(votes(t)) for t in texts], np.int64))
     return QualityModel(labels, train_scorer([hashed_features(t) for t in texts], soft))
 
 
