@@ -1,0 +1,299 @@
+"""Brute force, round trips, held-out accuracy and odd rows for the training-data operators."""
+
+import io
+import zlib
+
+import numpy as np
+import pytest
+from conftest import DATA, rows_of
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pagequery.llm import embedding_dedup, mixing, multi_index, order_minhash, packing, queries, secret_forest, sharding, token_file, warc, weak_quality, words
+
+ODD = [
+    (1, None, None, None, None, 9), (None, "a b c", "en", "s", 5, 9), (2, "", "en", "s", 0, 9), (2, "", "en", "s", 0, 9), (3, "!!! ???", "de", "s", 7, 9),
+    (4, "word " * 60000, "fr", "t", 300000, 9), (5, "The cat sat on the mat. é 漢字 <|endoftext|>\n\tEND", "en", "t", 40, 9), (5, "another text for five", "en", "t", 20, 9),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, shard long")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(words.vocabulary_path())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(), max_size=6))
+def test_word_encoder_gives_the_tokenizers_ids(tokenizer, texts):
+    coder = words.encoder(words.vocabulary_path())
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["It's Word, a.b. c... d?! É. ΟΔΟΣ ²x İ <|endoftext|>. x_y."]
+    for got, text in zip(coder.encode(texts), texts, strict=True):
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_forgets(tokenizer):
+    coder = words.WordEncoder(words.vocabulary_path(), cap=50)
+    for k in range(30):
+        text = " ".join(f"w{k}x{i} common" for i in range(20))
+        assert next(coder.encode([text])).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(0, 2**32 - 1)))
+def test_blocks_round_trip(values):
+    ranks = np.array(values, np.uint32)
+    assert np.array_equal(token_file.decode_block(*token_file.encode_block(ranks), len(ranks)), ranks)
+
+
+def test_token_file_round_trip(monkeypatch):
+    monkeypatch.setattr(token_file, "BLOCK", 8)
+    given_docs = [(None, [7]), (3, []), (3, list(range(30))), (9, [5, 5, 400000])]
+    out = io.BytesIO()
+    writer = token_file.TokenFileWriter(out, np.unique(np.array([x for _, d in given_docs for x in d], np.uint32))[::-1].copy())
+    for doc_id, ids in given_docs:
+        writer.add(doc_id, np.array(ids, np.uint32))
+    writer.close()
+    out.seek(0)
+    assert [(d, ids.tolist()) for d, ids in token_file.read_token_file(out)] == given_docs
+
+
+def _ids(tokenizer, text, end):
+    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_token_files(request, tokenizer, which):
+    df = request.getfixturevalue(which)
+    got = token_file.read_token_files(token_file.write_token_files(df)).collect()
+    want = sorted((r.doc_id is not None, r.doc_id or 0, zlib.crc32(_ids(tokenizer, r.text, 2).tobytes())) for r in df.select("doc_id", "text").collect())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == [w[:2] for w in want]
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_packing(request, tokenizer, which):
+    df = request.getfixturevalue(which)
+    rows = packing.pack_documents(df).collect()
+    by_sequence = {}
+    for r in rows:
+        assert r.length == len(r.ids) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        places.sort()
+        assert [p[0] for p in places] == np.cumsum([0] + [p[1] for p in places])[:-1].tolist() and sum(p[1] for p in places) <= 4096
+    sizes = [len(_ids(tokenizer, r.text, 1)) for r in df.select("text").collect()]
+    assert sum(r.length for r in rows) == sum(sizes) and len(rows) == sum(-(-n // 4096) for n in sizes)
+    assert len(by_sequence) <= 1.02 * sum(sizes) / 4096 + 1
+
+
+@given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 5))
+def test_best_fit_takes_the_fullest_bin_that_fits(lengths, open_bins):
+    bins, free, live = packing.BestFit(64, open_bins), {}, []
+    for n in lengths:
+        where, offset = bins.place(n)
+        fits = [b for b in live if free[b] >= n]
+        if fits:
+            assert free[where] == min(free[b] for b in fits)
+        else:
+            if len(live) >= open_bins:
+                live.remove(min((b for b in live), key=lambda b: free[b])) if len({free[b] for b in live}) == len(live) else live.remove(max((b for b in live if free[b] == min(free[x] for x in live)), key=live.index))
+            free[where] = 64
+            live.append(where)
+        assert offset == 64 - free[where]
+        live.remove(where)
+        free[where] -= n
+        if free[where]:
+            live.append(where)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_sharding(request, which):
+    df = request.getfixturevalue(which)
+    rows = sharding.shard_by_bytes(df, 4).select("doc_id", "text", "__size", "__shard", "__slot").collect()
+    assert len(rows) == df.count() and all(r["__size"] == 16 + len((r.text or "").encode()) for r in rows)
+    for s in range(4):
+        assert sorted(r["__slot"] for r in rows if r["__shard"] == s) == list(range(sum(r["__shard"] == s for r in rows)))
+    largest, total = max(r["__size"] for r in rows), sum(r["__size"] for r in rows)
+    for s in range(4):
+        assert abs(sum(r["__size"] for r in rows if r["__shard"] == s) - total / 4) <= largest + total / 100
+
+
+def test_raking_meets_its_targets(spark):
+    cells = spark.createDataFrame([(f"={s}", f"={l}", f"={t}", 100 + 37 * s + 11 * l + 5 * t * s) for s in range(4) for l in range(3) for t in range(2)], "__d0 string, __d1 string, __d2 string, __tokens long")
+    out = mixing.rake(cells, 0.3, 0.7).toPandas()
+    total = out["__tokens"].sum()
+    for d in ("__d0", "__d1", "__d2"):
+        share = out.groupby(d)["__tokens"].sum() / total
+        want = 0.3 * total * share**0.7 / (share**0.7).sum()
+        assert np.allclose(out.groupby(d)["__weight"].sum(), want, rtol=1e-6)
+    assert (out["__weight"] <= out["__tokens"] + 1e-9).all()
+
+
+def test_mixing_on_odd_rows(odd):
+    out = mixing.mix_documents(odd, keep=1.0, sharpness=1.0)
+    assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=300)
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30), st.integers(0, 30))
+def test_banded_distance(a, b, most):
+    assert order_minhash.bounded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most) == min(_edits(a, b), most + 1)
+
+
+def test_near_duplicates_against_brute_force(docs):
+    texts = {r.doc_id: order_minhash.WordHashes()(order_minhash._WORD.findall(r.text.lower())).astype("<u4") for r in docs.select("doc_id", "text").collect()}
+    label = {i: i for i in texts}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and order_minhash.similar(texts[i], texts[j], 0.8):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    assert sum(got[i] == root(i) for i in texts) >= 0.98 * len(texts)
+    assert all(root(i) == root(c) for i, c in got.items())  # nothing is joined that alignment does not join
+    kept = order_minhash.keep_one_of_each(docs)
+    assert kept.count() == len(set(got.values())) and kept.columns == docs.columns
+
+
+def test_near_duplicates_on_odd_rows(spark, odd):
+    rows = order_minhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD)
+    assert sorted((r.doc_id, r.kept) for r in rows if r.doc_id == 2) == [(2, False), (2, True)]  # equal empty texts
+    assert [r.kept for r in rows if r.doc_id == 1] == [True]
+    base = " ".join(f"w{i}" for i in range(200))
+    near = spark.createDataFrame([(7, base), (3, base.replace("w50 ", "x ").replace("w120 ", "")), (9, base.upper()), (1, "quite another text " * 9)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(near).collect()} == {7: 3, 3: 3, 9: 3, 1: 1}
+
+
+def test_quality_against_labels(spark):
+    sf = DATA.replace("sf0.001", "sf0.01")
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = weak_quality.quality_scores(df, weak_quality.fit_quality(df)).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good = scored[scored["quality"] == 1]
+    assert (scored["__kept"] == (scored["quality"] == 1)).mean() > 0.98 and good["__kept"].mean() > 0.99
+
+
+def test_quality_on_odd_rows(odd):
+    out = weak_quality.quality_scores(odd, weak_quality.fit_quality(odd)).collect()
+    assert len(out) == len(ODD) and not any(r["__kept"] for r in out if not (r.text or "").strip())
+
+
+def test_warc_round_trip_and_links(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/a/", '<title>T &amp; x</title><script>var a="<p>";</script><p>Hé<br>llo <a href="b?c=1&amp;d">l</a>'), (2, None, None)], "page_id long, url string, html string")
+    responses = warc.page_responses(pages)
+    made = warc.build_derivatives(responses)
+    rows = {(r.headers["WARC-Refers-To"], r.headers["WARC-Type"]): r for r in made.collect()}
+    assert len(rows) == 4
+    first = next(r for r in responses.collect() if r.page_id == 1)
+    name = first.headers["WARC-Record-ID"]
+    assert bytes(rows[name, "conversion"].block).decode() == "T & x\nHé\nllo l"
+    import json
+
+    about = json.loads(bytes(rows[name, "metadata"].block))
+    assert about["links"] == ["http://h/a/b?c=1&d"] and about["title"] == "T & x" and about["source_headers"] == dict(sorted(first.headers.items()))
+    assert about["block_digest"] == warc.digest(bytes(first.block)) and rows[name, "conversion"].headers["WARC-Refers-To-Payload-Digest"] == about["payload_digest"]
+    back = warc.read_warc(warc.write_warc(made, f"file://{tmp_path}/w")).collect()
+    strip = lambda r: (tuple(sorted(r.headers.items())), bytes(r.block))
+    assert sorted(map(strip, back)) == sorted(map(strip, rows.values()))
+
+
+def test_forest_on_held_out_findings():
+    found = secret_forest.labelled_findings(2500)
+    forest = secret_forest.fit_forest(found[:2000])
+    known = secret_forest.dictionary(words.vocabulary_path())
+    p = forest.predict(np.array([secret_forest.features(t, c, w, known) for t, w, c, _ in found[2000:]]))
+    assert ((p > 0.5) == [y for *_, y in found[2000:]]).mean() > 0.97
+
+
+def test_secrets(spark, odd):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    df = spark.createDataFrame([(1, f'prose token = "{key}" prose', "s", 70), (2, f"commit: {key}", "s", 50), (3, "plain prose", "s", 11), (4, None, None, None)], "doc_id long, text string, source string, n_chars long")
+    found = {r.doc_id: r.is_secret for r in secret_forest.scan_secrets(df).collect()}
+    assert found == {1: True, 2: False}
+    clean = {r.doc_id: r for r in secret_forest.redact_secrets(df).collect()}
+    assert clean[1].text == 'prose token = "[SECRET]" prose' and clean[1].n_chars == len(clean[1].text) and clean[2].text.endswith(key) and clean[4].text is None
+    assert secret_forest.redact_secrets(odd).count() == len(ODD)
+
+
+def test_embedding_dedup(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 16))
+    rows = [(int(i), [float(x) for x in base[i % 40] + 0.02 * (i % 3) * r.normal(size=16)]) for i in range(120)] + [(500, base[0].tolist()), (501, base[0].tolist()), (502, None), (503, [0.0] * 16), (504, [float("nan")] * 16), (505, [None] * 16), (506, [1.0, 2.0]), (None, base[1].tolist())]
+    got = {x.vec_id: x for x in embedding_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    ok = [(i, np.array(v)) for i, v in rows if v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    for i, v in ok:
+        links = sum(float(v @ w) / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.95 for _, w in ok) - 1
+        assert got[i].n_links == links
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in (502, 503, 504, 505, 506)] == [(0, i, True) for i in (502, 503, 504, 505, 506)]
+
+
+def test_search_recall_and_ties(spark):
+    sf = DATA.replace("sf0.001", "sf0.1")
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    p = df.toPandas()
+    x, ids = np.array(p["embedding"].tolist()).astype(float), p["vec_id"].to_numpy()
+    got = queries.op10_multi_index(spark, sf).toPandas()
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and (np.diff(own["score"]) <= 0).all()
+        hits += (own["score"] >= np.sort(scores)[-20] - 1e-12).sum()
+    assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["rank"], r.vec_id, r.score) for r in multi_index.nearest_neighbours(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 2.0), (2, 2, 2.0)]
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_sql(spark, duck, name):
+    assert rows_of(queries.QUERIES[name](spark, DATA).toPandas()) == rows_of(duck.execute(queries.ORACLES[name]).fetchdf())
+
+
+def test_empty_tables(docs):
+    empty = docs.limit(0)
+    assert mixing.mix_documents(empty).count() == sharding.shard_by_bytes(empty).count() == packing.pack_documents(empty).count() == 0
+    assert order_minhash.near_duplicates(empty).count() == secret_forest.scan_secrets(empty).count() == 0
+    assert weak_quality.keep_good(empty).count() == token_file.read_token_files(token_file.write_token_files(empty)).count() == 0
+
+
+def test_pipeline(spark, tokenizer):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, DATA)
+        assert kept.columns == docs.columns, name
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert out and len({r.doc_id for r in out}) <= docs.count()
