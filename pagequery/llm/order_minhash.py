@@ -201,13 +201,18 @@ def _prepared(docs: DataFrame, k: int, count: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, sig1 long, sig2 long, fp binary, n int, words binary, bits array<long>, keys array<long>, first array<int>, second array<int>")
 
 
-def _perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose fp is in ``wanted``, and a few others: a filter of 512 bitmaps of 4 KB each, whatever the number of rows, keeps most texts that no pair needs out of the shuffle."""
-    spot = F.pmod(F.xxhash64("fp"), F.lit(512 * 32768))
+def _marked(rows: DataFrame, wanted: DataFrame, keys: list[str], mark: str = "__perhaps") -> DataFrame:
+    """Adds whether a row's keys are perhaps in ``wanted``: never false for one that is. A filter of 512 bitmaps of 4 KB each, whatever the number of rows."""
+    spot = F.pmod(F.xxhash64(*keys), F.lit(512 * 32768))
     maps = wanted.select(F.bitmap_bucket_number(spot).alias("__map"), F.bitmap_bit_position(spot).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    marked = rows.withColumns({"__map": F.bitmap_bucket_number(spot), "__bit": F.bitmap_bit_position(spot)}).join(F.broadcast(maps), "__map")
+    joined = rows.withColumns({"__map": F.bitmap_bucket_number(spot), "__bit": F.bitmap_bit_position(spot)}).join(F.broadcast(maps), "__map", "left")
     bit = F.expr("cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(__bit % 8 as int) & 1")
-    return marked.where(bit == 1).select(*rows.columns)
+    return joined.withColumn(mark, F.coalesce(bit == 1, F.lit(False))).drop("__map", "__bit", "__bits")
+
+
+def _perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose fp is in ``wanted``, and a few others: keeps most texts that no pair needs out of the shuffle."""
+    return _marked(rows, wanted, ["fp"]).where("__perhaps").drop("__perhaps")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -319,6 +324,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_count: int = 32) -> DataFrame:
-    """The kept rows of ``docs`` with their columns. Rows alike in every column count as one, those with a null text too."""
-    kept = near_duplicates(docs, threshold, k, sketch_count).where("kept").select(F.col("sig1").alias("__sig1"), F.col("sig2").alias("__sig2")).distinct()
-    return _signed(docs).join(kept, ["__sig1", "__sig2"], "left_semi").dropDuplicates(["__sig1", "__sig2"]).drop("__sig1", "__sig2")
+    """The kept rows of ``docs`` with their columns. Of rows alike in every column one stays, but all with a null text do.
+
+    Only rows that share the hashes of a row that goes, or a bit of the filter
+    with one, are shuffled; the others stay where they are.
+    """
+    sigs = ["__sig1", "__sig2"]
+    found = stored(near_duplicates(docs, threshold, k, sketch_count).select("kept", F.col("sig1").alias("__sig1"), F.col("sig2").alias("__sig2")), "kept")
+    marked = _marked(_signed(docs), found.where("NOT kept").select(*sigs), sigs).withColumn("__perhaps", F.col("__perhaps") & F.col("text").isNotNull())
+    unsure = marked.where("__perhaps").join(found.where("kept").select(*sigs).distinct(), sigs, "left_semi").dropDuplicates(sigs)
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return marked.where("NOT __perhaps").select(*names).unionByName(unsure.select(*names))
