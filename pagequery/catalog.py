@@ -136,7 +136,7 @@ def json_ld(spark, sf):
     return _t(spark, sf, "supplier").select("s_suppkey", F.explode(P.json_ld(html)).alias("j")).select("s_suppkey", F.get_json_object("j", "$.s_name").alias("name"))
 
 
-@_query("SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'next' ELSE 'nuxt_inline' END AS source FROM customer")
+@_query("SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN '__NEXT_DATA__' ELSE '__NUXT__' END AS source FROM customer")
 def hydration(spark, sf):
     state = F.to_json(F.struct("c_name"))
     next_ = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":'), state, F.lit("}}</script>"))
@@ -309,7 +309,7 @@ def semantic_groups(spark, sf):
     return text.semantic_groups(parts, "doc", 0.2)
 
 
-@_query("SELECT doc_id, len(regexp_extract_all(text, '[0-9][0-9.,]*'))::BIGINT AS numbers FROM documents")
+@_query("SELECT doc_id, len(regexp_extract_all(text, '\\b\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?\\b|\\b\\d{4,}(?:\\.\\d+)?\\b|\\b\\d{2,3}(?:\\.\\d+)?\\b'))::BIGINT AS numbers FROM documents")
 def numeric_tokens(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.numeric_tokens(F.col("text")).cast("long").alias("numbers"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRUE = ("true", "yes", "y", "1", "on", "in stock", "available")
-FALSE = ("false", "no", "n", "0", "off", "out of stock", "unavailable", "none", "")
+# Fixed values.
+TRUE = ("1", "true", "yes", "y", "in stock", "available")
+FALSE = ("0", "false", "no", "n", "out of stock", "unavailable")
 
 
 def _clean(value: Column) -> Column:
@@ -33,6 +34,7 @@ def to_currency(value: Column) -> Column:
 
 
 def to_bool(value: Column) -> Column:
+    """Text that neither list holds is true unless it is blank."""
     low = F.lower(_clean(value))
     return F.when(value.isNull(), F.lit(None).cast("boolean")).when(low.isin(*TRUE), True).when(low.isin(*FALSE), False).otherwise(low != "")
 

@@ -9,6 +9,7 @@ empty page.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
@@ -136,10 +137,23 @@ class Page:
                 stack.extend(reversed(self.nodes[top].content))
         return "".join(out)
 
-    def html(self, node: Node) -> str:
-        inner = "".join((c if node.tag in ("script", "style") else escape(c, quote=False)) if isinstance(c, str) else self.html(self.nodes[c]) for c in node.content)
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-        return f"<{node.tag}{attrs}>" + ("" if node.tag in VOID else f"{inner}</{node.tag}>")
+    def html(self, node: Node, without: Callable[[Node], bool] = lambda n: False) -> str:
+        """Markup of a node; elements below it that ``without`` names are left out with all they hold."""
+        out: list[str] = []
+        stack: list[tuple[int | str, bool]] = [(node.pre, False)]  # what is to write, and whether it is markup already
+        while stack:
+            top, ready = stack.pop()
+            if isinstance(top, str):
+                out.append(top if ready else escape(top, quote=False))
+                continue
+            n = self.nodes[top]
+            if n.pre != node.pre and without(n):
+                continue
+            out.append("<" + n.tag + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items()) + ">")
+            if n.tag not in VOID:
+                stack.append((f"</{n.tag}>", True))
+                stack.extend((c, n.tag in ("script", "style")) for c in reversed(n.content))
+        return "".join(out)
 
     def xpath(self, node: Node) -> str:
         """Canonical path; an index only where siblings share the tag."""
@@ -155,13 +169,8 @@ class Page:
     def skeleton(self) -> str:
         """Opening and closing tags in order, without text or attributes."""
         out: list[str] = []
-
-        def walk(node: Node) -> None:
-            out.append(f"<{node.tag}>")
-            for c in self.children(node):
-                walk(c)
-            out.append("/")
-
-        if self.nodes:
-            walk(self.nodes[0])
-        return "".join(out)
+        level = 0
+        for n in self.nodes:
+            out.append("/" * (level - n.level) + f"<{n.tag}>")
+            level = n.level + 1
+        return "".join(out) + "/" * level

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .dom import Node, Page
 from .selectors import select, values
 
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|consent|header|footer|sidebar|popup)(?:$|[\s_-])", re.I)
+_BLOCK = re.compile(r"h[1-6]|p|br|li|tr|td|th|div|ul|ol|table|section|article|header|blockquote|pre")
+# Fixed values.
+_NOISE = re.compile(r"(cookie|consent|banner|subscribe|newsletter|promo|ad-|ads|advert|navbar|footer|header|modal)", re.I)
 
 
 def _udf(kind: str, function: Callable):
@@ -163,14 +165,14 @@ def hydration(html: Column) -> Column:
 
     def run(h):
         page = Page(h)
-        for source, name in (("next", "__NEXT_DATA__"), ("nuxt", "__NUXT_DATA__")):
-            for s in _scripts(page, lambda n: n.attrs.get("id") == name):
+        for source in ("__NEXT_DATA__", "__NUXT_DATA__"):
+            for s in _scripts(page, lambda n: n.attrs.get("id") == source):
                 if isinstance(data := _load(s), dict):
                     return {"source": source, "data": json.dumps(data, sort_keys=True, ensure_ascii=False)}
         for s in _scripts(page, lambda n: True):
             m = re.search(r"__NUXT__\s*=\s*(\{.*\})\s*;?\s*$", s, re.S)
             if m and isinstance(data := _load(m[1]), dict):
-                return {"source": "nuxt_inline", "data": json.dumps(data, sort_keys=True, ensure_ascii=False)}
+                return {"source": "__NUXT__", "data": json.dumps(data, sort_keys=True, ensure_ascii=False)}
         return None
 
     return _udf("struct<source:string,data:string>", run)(html)
@@ -202,35 +204,86 @@ def _noise(node: Node) -> bool:
     return node.tag in ("script", "style", "noscript", "nav", "footer", "aside", "template") or bool(_NOISE.search(f"{node.attrs.get('id', '')} {node.attrs.get('class', '')}"))
 
 
-def _main_text(page: Page) -> str:
-    """Lines of the page without noise; of article or main alone, if there is one."""
+def _main_lines(page: Page) -> list[tuple[str, str]]:
+    """Lines of the page without noise, each with the tag of the block that it begins; of article or main alone, if there is one."""
     if not page.nodes:
-        return ""
+        return []
     root = next((n for n in page.nodes if n.tag in ("article", "main")), next((n for n in page.nodes if n.tag == "body"), page.nodes[0]))
-    lines: list[str] = [""]
-
-    def walk(node: Node) -> None:
-        if node.pre != root.pre and _noise(node):
-            return
-        block = node.tag in ("br", "li", "tr", "td", "th", "div") or re.fullmatch(r"h[1-6]|p|ul|ol|table|section|article|header|blockquote|pre", node.tag)
-        if block:
-            lines.append("")
-        for c in node.content:
-            if isinstance(c, str):
-                lines[-1] += c
-            else:
-                walk(page.nodes[c])
-        if block:
-            lines.append("")
-
-    walk(root)
-    return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
+    lines: list[list[str]] = [[""]]  # the tag, then pieces of text
+    stack: list[int | str | None] = [root.pre]
+    while stack:
+        top = stack.pop()
+        if top is None:  # the end of a block
+            lines.append([""])
+        elif isinstance(top, str):
+            lines[-1].append(top)
+        elif top == root.pre or not _noise(page.nodes[top]):
+            node = page.nodes[top]
+            if _BLOCK.fullmatch(node.tag):
+                lines.append([node.tag])
+                stack.append(None)
+            stack.extend(reversed(node.content))
+    told = ((tag, " ".join("".join(parts).split())) for tag, *parts in lines)
+    return [(tag, text) for tag, text in told if text]
+
+
+def _main_text(page: Page) -> str:
+    return "\n".join(text for _, text in _main_lines(page))
+
+
+def _markdown(page: Page) -> str:
+    mark = lambda tag: "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else ""
+    return "\n\n".join(mark(tag) + text for tag, text in _main_lines(page))
 
 
 def main_text(html: Column) -> Column:
+    """The page's main text, a line for each block."""
     return _udf("string", lambda h: _main_text(Page(h)))(html)
 
 
+def markdown(html: Column) -> Column:
+    """The main text with marks for headings and list items, blocks apart by empty lines."""
+    return _udf("string", lambda h: _markdown(Page(h)))(html)
+
+
+def _heading(page: Page) -> str:
+    told = ((tag, page.text(n).strip()) for tag in ("h1", "title") for n in [next((n for n in page.nodes if n.tag == tag), None)] if n is not None)
+    return next((text for _, text in told if text), "")
+
+
+def _items(text: str, heading: str) -> tuple[str, list[str]]:
+    """Heading and items of marked text: points of lists, and other lines of up to 240 characters; the first marked heading, else the first item, stands in for a missing heading."""
+    items: list[str] = []
+    for line in filter(None, map(str.strip, text.splitlines())):
+        if line[0] == "#" and not heading:
+            heading = line.lstrip("#").strip()
+        elif line[0] in "-*":
+            items.append(line.lstrip("-* ").strip())
+        elif len(line) <= 240:
+            items.append(line)
+    return heading or (items[0][:120] if items else ""), items
+
+
+def clean(html: Column) -> Column:
+    """What a reader of the page needs: heading, markdown, items, flat_json (heading and items) and html_excerpt, the markup without noise. A page without elements gives empty ones."""
+
+    def run(h):
+        page = Page(h)
+        text = _markdown(page)
+        heading, items = _items(text, _heading(page))
+        flat = json.dumps({"heading": heading, "items": items}, ensure_ascii=False)
+        return {"heading": heading, "markdown": text, "items": items, "flat_json": flat, "html_excerpt": page.html(page.nodes[0], _noise) if page.nodes else ""}
+
+    return _udf("struct<heading:string,markdown:string,items:array<string>,flat_json:string,html_excerpt:string>", run)(html)
+
+
+def cleaned_state(data: Column, heading: Column) -> Column:
+    """The fields of ``clean`` for a page's embedded state: its JSON is the markdown and the only item."""
+    items = F.array(data)
+    flat = F.to_json(F.struct(F.coalesce(heading, F.lit("")).alias("heading"), items.alias("items")))
+    return F.struct(F.coalesce(heading, F.lit("")).alias("heading"), data.alias("markdown"), items.alias("items"), flat.alias("flat_json"), F.lit("").alias("html_excerpt"))
+
+
 def article(html: Column) -> Column:
     """Title (first h1, else the title), text, author, date and language."""
 
@@ -239,27 +292,27 @@ def article(html: Column) -> Column:
         meta = _metadata(page)
         h1 = next((page.text(n).strip() for n in page.nodes if n.tag == "h1"), None)
         pick = lambda *keys: next((meta[k] for k in keys if k in meta), None)
-        language = page.nodes[0].attrs.get("lang") if page.nodes else None
-        return {"title": h1 or meta.get("title"), "text": _main_text(page), "author": pick("author", "article:author"), "published": pick("article:published_time", "date", "publish_date"), "language": pick("og:locale", "language") or language}
+        return {"title": h1 or meta.get("title"), "text": _main_text(page), "author": pick("author", "article:author"), "published": pick("date", "article:published_time"), "language": pick("language")}
 
     return _udf("struct<title:string,text:string,author:string,published:string,language:string>", run)(html)
 
 
+def repeated(page: Page, root: Node | None) -> dict[int, Node]:
+    """Elements of the commonest (tag, class) below ``root`` with two or more, ties to the first."""
+    named = [(n, (n.tag, c)) for n in (page.descendants(root) if root else ()) if (c := n.attrs.get("class", "").strip())]
+    best = Counter(key for _, key in named).most_common(1)
+    return {n.pre: n for n, key in named if best[0][1] >= 2 and key == best[0][0]} if best else {}
+
+
 def detect_records(url: Column, html: Column) -> Column:
     """The commonest (tag, class) below body with two elements or more, ties to the first: text, path and first link of each."""
 
     def run(u, h):
         page = Page(h)
-        body = next((n for n in page.nodes if n.tag == "body"), None)
-        if body is None:
-            return []
-        counts = Counter((n.tag, n.attrs.get("class", "").strip()) for n in page.descendants(body) if n.attrs.get("class", "").strip())
-        best = next(((k, n) for k, n in counts.most_common() if n >= 2), None)
         out = []
-        for n in page.descendants(body) if best else ():
-            if (n.tag, n.attrs.get("class", "").strip()) == best[0]:
-                href = next((d.attrs["href"] for d in [n, *page.descendants(n)] if d.tag == "a" and "href" in d.attrs), None)
-                out.append({"text": " ".join(page.text(n).split()), "xpath": page.xpath(n), "url": urljoin(u or "", href) if href else None})
+        for n in repeated(page, next((n for n in page.nodes if n.tag == "body"), None)).values():
+            href = next((d.attrs["href"] for d in page.descendants(n) if d.tag == "a" and "href" in d.attrs), None)
+            out.append({"text": page.text(n).strip(), "xpath": page.xpath(n), "url": urljoin(u or "", href) if href else None})
         return out
 
     return _udf("array<struct<text:string,xpath:string,url:string>>", run)(url, html)
@@ -280,13 +333,22 @@ def visible_length(html: Column) -> Column:
 
 
 def looks_like_shell(html: Column) -> Column:
-    """Pages that only scripts fill: framework roots, or 25 scripts and more."""
-    low = F.lower(html)
-    marks = ('id="__next"', 'id="root"', 'id="app"', "data-reactroot", "ng-app", "__nuxt")
-    found = F.lit(False)
-    for m in marks:
-        found = found | low.contains(m)
-    return found | (F.regexp_count(low, F.lit("<script")) >= 25)
+    """Pages that only scripts fill: marks of frameworks, a request for scripts, 25 scripts and more, or no markup at all."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    has = lambda *marks: low.rlike("|".join(marks))
+    # Fixed values.
+    framework = has("__next_data__", "id=[\"']__next[\"']", "data-reactroot", "react-dom", "__nuxt")
+    app = has("id=[\"']app[\"']") & has("webpack", "vite", "modulepreload")
+    asks = has("<noscript") & has("enable javascript")
+    return (low == "") | framework | app | asks | (F.regexp_count(low, F.lit("<script")) >= 25)
+
+
+def looks_challenged(title: Column, headers: Column) -> Column:
+    """Pages of a bot check in place of the content, by title or headers."""
+    # Fixed values.
+    waits = F.lower(F.coalesce(title, F.lit(""))).rlike("just a moment|checking your browser")
+    marked = F.exists(F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>")), lambda e: (F.lower(e["key"]) == "cf-ray") | ((F.lower(e["key"]) == "set-cookie") & e["value"].contains("cf-ray")))
+    return waits | F.coalesce(marked, F.lit(False))
 
 
 def meaningful(html: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE_KEYS = ("page", "offset", "limit", "cursor", "per_page", "page_size", "start", "after", "next")
-SENSITIVE = ("authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token", "x-csrf-token", "proxy-authorization")
+# Fixed values.
+PAGE_KEYS = ("page", "offset", "cursor", "limit", "per_page", "page_size", "next", "after", "before")
+AUTH = ("authorization", "x-api-key", "x-auth-token")
+SENSITIVE = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token")
 
 
 def json_calls(calls: DataFrame) -> DataFrame:
@@ -35,7 +37,8 @@ def pagination_keys(url: Column, body: Column) -> Column:
 
 
 def auth_headers(headers: Column) -> Column:
-    return F.map_filter(headers, lambda k, v: F.lower(k).isin("authorization", "x-api-key", "x-auth-token", "cookie"))
+    """Names of the headers that carry credentials, in lower case, sorted; empty where there is none."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.map_keys(headers), F.array().cast("array<string>")), F.lower), lambda k: k.isin(*AUTH))))
 
 
 def redact(headers: Column) -> Column:
@@ -49,5 +52,10 @@ def infer_schemas(calls: DataFrame, key: str = "endpoint", body: str = "response
 
 
 def captured_json(body: Column, content_type: Column, max_bytes: int) -> Column:
-    """The body where it says JSON, is JSON and is not over the limit."""
-    return F.when(F.lower(content_type).contains("json") & (F.octet_length(body) <= max_bytes) & F.try_parse_json(body).isNotNull(), body)
+    """``json``: the body where it says JSON and is JSON; ``truncated`` and ``size`` instead where it is over ``max_bytes`` (0: no limit); null for all others."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    says = (kind.contains("application/json") | kind.contains("+json")) & (F.length(body) > 0)
+    size = F.octet_length(body)
+    large = (size > max_bytes) & F.lit(max_bytes > 0)
+    made = lambda json, truncated, n: F.struct(json.cast("string").alias("json"), F.lit(truncated).alias("truncated"), n.cast("int").alias("size"))
+    return F.when(says & large, made(F.lit(None), True, size)).when(says & F.try_parse_json(body).isNotNull(), made(body, False, F.lit(None)))

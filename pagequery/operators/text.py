@@ -10,34 +10,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequery.functions.dom import Page
-from pagequery.functions.pages import _main_text
+from pagequery.functions.dom import Node, Page
+from pagequery.functions.pages import repeated
 
 _CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯]"
 
 
 def token_estimate(text: Column) -> Column:
-    """CJK characters by 1.5, others by 4, at least 1."""
-    cjk = F.regexp_count(text, F.lit(_CJK))
-    return F.greatest(F.lit(1), F.floor(cjk / 1.5) + F.floor((F.length(text) - cjk) / 4)).cast("long")
+    """CJK characters by 1.5, others by 4, at least 1; white space at the ends does not count."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    cjk = F.regexp_count(bare, F.lit(_CJK))
+    return F.greatest(F.lit(1), F.floor(cjk / 1.5) + F.floor((F.length(bare) - cjk) / 4)).cast("long")
+
+
+def _tokens(text: str) -> int:
+    bare = text.strip()
+    cjk = len(re.findall(_CJK, bare))
+    return max(1, int(cjk / 1.5) + (len(bare) - cjk) // 4)
 
 
 def pack_paragraphs(text: str, max_tokens: int) -> list[str]:
-    """Paragraphs packed greedily into chunks of 4 x ``max_tokens`` characters; longer paragraphs are cut."""
+    """Paragraphs packed greedily into chunks of 4 x ``max_tokens`` characters, where each counts two more; longer paragraphs are cut."""
     if max_tokens < 32:
         raise ValueError("max_tokens must be 32 or more")
     limit, chunks, held = 4 * max_tokens, [], ""
-    for part in (p.strip() for p in re.split(r"\n{2,}|\n(?=#{1,6}\s)", text)):
+    for part in (p.strip() for p in text.split("\n\n")):
         if not part:
             continue
-        if held and len(held) + len(part) + 2 > limit:
+        if held and len(held) + len(part) + 4 > limit:
             chunks.append(held)
             held = ""
         if len(part) > limit:
             if held:
                 chunks.append(held)
                 held = ""
-            chunks += [part[i : i + limit] for i in range(0, len(part), limit)]
+            chunks += filter(None, (part[i : i + limit].strip() for i in range(0, len(part), limit)))
         else:
             held = f"{held}\n\n{part}" if held else part
     return chunks + [held] if held else chunks
@@ -55,29 +62,43 @@ def token_chunks(docs: DataFrame, text: str = "text", max_tokens: int = 2000) ->
 
 
 def dom_chunks(pages: DataFrame, min_tokens: int = 200) -> DataFrame:
-    """Text of sections, articles, main and div elements, gathered in order until ``min_tokens``; each text once, with the path of the first."""
+    """Text of sections, articles, main and div elements, gathered in document order until ``min_tokens``: pos, text, tokens, xpath (of the first).
+
+    Repeated records (the commonest tag and class) are chunks of their own. An
+    element inside another gives its text again, so no place of a page is left
+    to the outer one alone.
+    """
 
     def cut(h: str) -> list[dict]:
-        page, out, held, at = Page(h), [], [], ""
-        for n in page.nodes:
-            if n.tag in ("section", "article", "main", "div") and not any(d.tag in ("section", "article", "main", "div") for d in page.descendants(n)):
-                text = " ".join(page.text(n).split())
-                if text:
-                    at = at or page.xpath(n)
-                    held.append(text)
-                    if sum(map(len, held)) / 4 >= min_tokens:
-                        out.append({"text": "\n".join(held), "xpath": at})
-                        held, at = [], ""
-        if not out and not held:
-            held, at = [_main_text(page)], "/html"
-        return out + ([{"text": "\n".join(held), "xpath": at}] if held and held[0] else [])
-
-    @F.pandas_udf("array<struct<text:string,xpath:string>>")
+        page, out, held = Page(h), [], []
+        records = repeated(page, next((n for n in page.nodes if n.tag == "body"), None) or (page.nodes[0] if page.nodes else None))
+
+        def put(nodes: list[tuple[Node, str]]) -> None:
+            if nodes:
+                text = "\n".join(t for _, t in nodes)
+                out.append({"text": text, "tokens": _tokens(text), "xpath": page.xpath(nodes[0][0])})
+
+        for n in page.nodes[1:]:
+            text = page.text(n).strip() if n.tag in ("section", "article", "main", "div") else ""
+            if text and n.pre in records:
+                put(held)
+                put([(n, text)])
+                held = []
+            elif text:
+                full = sum(_tokens(t) for _, t in held) + _tokens(text) >= min_tokens
+                held.append((n, text))
+                if full:
+                    put(held)
+                    held = []
+        put(held)
+        return out
+
+    @F.pandas_udf("array<struct<text:string,tokens:int,xpath:string>>")
     def split(s: pd.Series) -> pd.Series:
         return pd.Series([cut(h) for h in s], dtype=object)
 
     rest = [c for c in pages.columns if c != "html"]
-    return pages.select(*rest, F.posexplode(split("html")).alias("pos", "c")).select(*rest, "pos", "c.text", "c.xpath")
+    return pages.select(*rest, F.posexplode(split("html")).alias("pos", "c")).select(*rest, "pos", "c.text", "c.tokens", "c.xpath")
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,23 +162,83 @@ def semantic_groups(parts: DataFrame, key: str, threshold: float = 0.75) -> Data
     return parts.select(key, "pos", "embedding").groupBy(key).applyInArrow(group, f"{key} {dict(parts.dtypes)[key]}, pos {dict(parts.dtypes)['pos']}, grp int")
 
 
+# Numbers as people write them, words for stock, signs of prices.
+NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d{4,}(?:\.\d+)?\b|\b\d{2,3}(?:\.\d+)?\b"
+STOCK = ("in stock", "out of stock", "pre-order", "available")
+PRICE_SIGNS = r"[\d\s.,€£$¥₹₽\-]+"
+
+
 def numeric_tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\d[\d.,]*"))
+    """Numbers of two digits and more."""
+    return F.coalesce(F.regexp_count(text, F.lit("(?U)" + NUMBER)), F.lit(0))
+
 
+def price_or_stock(line: Column) -> Column:
+    """Lines that only say a price or whether there is stock."""
+    bare = F.lower(F.trim(line))
+    return (bare != "") & (bare.isin(*STOCK) | ((F.length(bare) <= 28) & (F.length(F.regexp_replace(bare, "(?U)" + PRICE_SIGNS, "")) <= 1)))
 
-def degraded_catalog(text: Column) -> Column:
-    """Six lines or more, of which 28 % or more are prices or stock marks and few are long."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    marked = F.size(F.filter(lines, lambda x: x.rlike(r"(?i)[$€£]\s*\d|\d\s*[$€£]|in stock|out of stock")))
-    long = F.size(F.filter(lines, lambda x: F.length(x) > 120))
-    return (F.size(lines) >= 6) & (marked >= 0.28 * F.size(lines)) & (long <= 0.2 * F.size(lines))
 
+def degraded_catalog(lines: Column) -> Column:
+    """Of an array of lines: six or more that are not blank, 28 % or more of them prices or stock marks, and few others of substance."""
+    told = F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    marked = F.size(F.filter(told, price_or_stock))
+    real = F.size(F.filter(told, lambda x: (F.length(x) > 22) & ~price_or_stock(x)))
+    return (F.size(told) >= 6) & (marked >= 0.28 * F.size(told)) & (real <= F.greatest(F.lit(4), F.floor(F.size(told) / 4)))
 
-def choose_payload(flat: Column, markdown: Column, excerpt: Column) -> Column:
-    """Which view of a page to read records from: slim HTML where the text has lost its numbers, flat JSON for catalogues, else markdown."""
-    plain = F.regexp_replace(excerpt, r"<[^>]+>", " ")
-    richer = (numeric_tokens(plain) > 2 * numeric_tokens(markdown) + 5) & (F.length(plain) > F.length(markdown))
-    return F.when(richer, "slim_html").when(degraded_catalog(markdown), "slim_html").when(F.length(flat) > 2, "flat_json").otherwise("markdown")
+
+def tag_stripped(html: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]+>", " "), r"\s+", " "))
+
+
+def markup_richer(cleaned: Column) -> Column:
+    """Whether a cleaned page's markup holds many numbers that its text has lost."""
+    plain = tag_stripped(cleaned["html_excerpt"])
+    text = F.trim(F.regexp_replace(F.concat_ws("\n", cleaned["markdown"], cleaned["heading"], F.array_join(cleaned["items"], "\n")), r"\s+", " "))
+    there, here = numeric_tokens(plain), numeric_tokens(text)
+    # Fixed values.
+    lost = (there >= 8) & (here <= F.greatest(F.lit(4), F.floor(there / 4)))
+    return (F.length(F.trim(cleaned["html_excerpt"])) >= 200) & lost & (F.length(text) <= 14_000) & (F.length(text) <= F.greatest(F.lit(2500), F.floor(F.length(plain) * 0.42)))
+
+
+def choose_payload(cleaned: Column, view: str = "auto", max_markdown: int = 400_000, max_html: int = 400_000, max_body: int = 100_000) -> Column:
+    """The view of a cleaned page (``clean``) to read records from, as JSON.
+
+    ``markdown`` and ``slim_html`` give a format and a body, ``flat_json`` gives
+    heading and items; ``auto`` takes slim HTML where the text is a catalogue
+    that lost its names or the markup holds more numbers, else flat JSON. The
+    lengths bound a model's prompt; a view without markup is flat JSON.
+    """
+    if view not in ("auto", "markdown", "slim_html", "flat_json"):
+        raise ValueError(f"unknown view: {view}")
+
+    def body(name: str, text: Column, most: int) -> Column:
+        return F.to_json(F.struct(F.lit(name).alias("format"), F.left(text, F.lit(min(max(1024, most), max(256, max_body)))).alias("body")))
+
+    slim = F.when(F.length(F.trim(cleaned["html_excerpt"])) > 0, body("html_excerpt", F.trim(cleaned["html_excerpt"]), max_html)).otherwise(cleaned["flat_json"])
+    if view == "markdown":
+        return body("markdown", F.coalesce(cleaned["markdown"], F.lit("")), max_markdown)
+    if view != "auto":
+        return slim if view == "slim_html" else cleaned["flat_json"]
+    poor = degraded_catalog(cleaned["items"]) | degraded_catalog(F.split(cleaned["markdown"], "\n"))
+    return F.when(poor | markup_richer(cleaned), slim).otherwise(cleaned["flat_json"])
+
+
+def chunk(docs: DataFrame, strategy: str = "token", query: str | None = None, max_tokens: int = 2000, top_k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chunks by one strategy: ``token``; ``dom`` (of a column html); ``bm25``, which needs a query; ``semantic``, whose ``docs`` are parts with embeddings."""
+    if strategy == "token":
+        return token_chunks(docs.select(key, text), text, max_tokens)
+    if strategy == "dom":
+        return dom_chunks(docs.select(key, "html"))
+    if strategy == "bm25":
+        if not query:
+            raise ValueError("bm25 needs a query")
+        return bm25(paragraphs(docs, key, text), query, key, top_k)
+    if strategy == "semantic":
+        if "embedding" not in docs.columns:
+            raise ValueError("semantic needs embeddings")
+        return semantic_groups(docs, key)
+    raise ValueError(f"unknown strategy: {strategy}")
 
 
 def budget(tokens: Column, window: int, reserved: int) -> Column:

@@ -26,7 +26,7 @@ def signature(schema: dict[str, str]) -> str:
 
 
 def matched(html: Column, plan: Column) -> Column:
-    """For each field of a plan (map of field to selectors) the values of the first selector that yields text; the page is parsed once."""
+    """For each field of a plan (map of field to selectors) the texts of the first selector that yields any, blank ones left out; the page is parsed once."""
 
     @F.pandas_udf("map<string,array<string>>")
     def run(h: pd.Series, p: pd.Series) -> pd.Series:
@@ -36,10 +36,10 @@ def matched(html: Column, plan: Column) -> Column:
                 out[name] = []
                 for s in selectors:
                     try:
-                        found = values(page, s)
+                        found = [v for v in values(page, s) if v]
                     except ValueError:
                         continue
-                    if any(found):
+                    if found:
                         out[name] = found
                         break
             return out

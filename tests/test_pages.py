@@ -56,3 +56,50 @@ def test_coercions_of_a_record(spark):
 def test_induced_selectors_give_the_examples_back():
     found = extract.induce_selectors(HTML, {"name": ["A", "B"], "first": ["one"]})
     assert found["name"] and all(values(Page(HTML), s) == ["A", "B"] for s in found["name"]) and "li.x" in found["first"]
+
+
+def test_trees_of_any_depth_are_written_out():
+    page = Page("<div>" * 5000 + "x")
+    assert page.html(page.nodes[0]).count("</div>") == 5000 and page.skeleton().count("<div>") == 5000
+
+
+def test_cleaning_and_the_choice_of_a_view(spark):
+    from pyspark.sql import functions as F
+
+    from pagequery.functions import pages as P
+    from pagequery.operators import text
+
+    cells = "".join(f"<tr><td>{1000 + i}</td><td>{i + 20}.50</td></tr>" for i in range(30))
+    told = "<h1>Top</h1><h2>Part</h2><p>First.</p><ul><li>one</li><li>two</li></ul><nav>menu</nav><div class='cookie-note'>no</div>"
+    rows = spark.createDataFrame([(1, f"<body>{told}</body>"), (2, f"<body><article>Numbers</article><div id=d>{'<table>' + cells}</table></div></body>"), (3, None), (4, "<body>" + "<p>$12.00</p>" * 4 + "<p>A name that is long enough to count</p>" * 2)], "id long, html string")
+    got = {r.id: r for r in rows.select("id", P.clean(F.col("html")).alias("c")).select("id", "c", text.choose_payload(F.col("c")).alias("view"), text.choose_payload(F.col("c"), "markdown").alias("md")).collect()}
+    assert got[1].c.markdown == "# Top\n\n## Part\n\nFirst.\n\n- one\n\n- two" and got[1].c["items"] == ["# Top", "## Part", "First.", "one", "two"]
+    assert "menu" not in got[1].c.html_excerpt and "cookie" not in got[1].c.html_excerpt and got[1].view == got[1].c.flat_json
+    assert '"format":"html_excerpt"' in got[2].view and "1029" in got[2].view
+    assert got[3].c.markdown == "" and got[3].view == '{"heading": "", "items": []}'
+    assert '"format":"html_excerpt"' in got[4].view and got[4].md.startswith('{"format":"markdown"')
+    with pytest.raises(ValueError):
+        text.choose_payload(F.col("c"), "pdf")
+
+
+def test_shells_challenges_and_words_for_true(spark):
+    from pyspark.sql import functions as F
+
+    from pagequery.functions import coerce
+    from pagequery.functions import pages as P
+
+    shells = ["", None, "<div id='app'></div><script src=webpack.js>", "<div id='root'></div>", "<script>" * 25]
+    frame = spark.createDataFrame(list(enumerate(shells)), "i int, h string")
+    assert [r.s for r in frame.select("i", P.looks_like_shell(F.col("h")).alias("s")).orderBy("i").collect()] == [True, True, True, False, True]
+    calls = spark.createDataFrame([("Just a moment...", None), ("x", {"CF-Ray": "1"}), ("x", {"Set-Cookie": "a=cf-ray"}), (None, {"a": "b"})], "t string, h map<string,string>")
+    assert [r[0] for r in calls.select(P.looks_challenged(F.col("t"), F.col("h"))).collect()] == [True, True, True, False]
+    words = spark.createDataFrame([("off",), ("none",), (" NO ",), ("",), (None,), ("Available",)], "w string")
+    assert [r[0] for r in words.select(coerce.to_bool(F.col("w"))).collect()] == [True, True, False, False, None, True]
+
+
+def test_dom_chunks_keep_records_apart(spark):
+    from pagequery.operators import text
+
+    html = "<body><div>intro <section>inner</section></div><div class=c>r1</div><div class=c>r2</div><main>end</main></body>"
+    rows = text.dom_chunks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"), 200).orderBy("pos").collect()
+    assert [(r.page_id, r.text) for r in rows] == [(1, "intro inner\ninner"), (1, "r1"), (1, "r2"), (1, "end")]
