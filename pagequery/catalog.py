@@ -6,14 +6,17 @@ through the engine, and compared with a plain SELECT on the table.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequery.functions import coerce, pages as P
-from pagequery.operators import changes, crawl, endpoints, text
-from pagequery.plans import dsl, extract
+from pagequery.functions import coerce, loose, pages as P
+from pagequery.operators import changes, crawl, endpoints, fetching, text
+from pagequery.plans import dsl, extract, learn
 from pagequery.sources.stores import RECIPES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,7 +76,7 @@ def template_groups(spark, sf):
     return extract.representatives(keyed).select("domain", "template", "url", "pages")
 
 
-@_query("SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents")
+@_query("SELECT doc_id, greatest(1, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) // 4)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
@@ -317,3 +320,132 @@ def numeric_tokens(spark, sf):
 @_query("SELECT page_id, recipe FROM pages JOIN (VALUES ('english_article', '/en/\\d+'), ('secure_page', '^https://'), ('tracked_link', '[?&]utm_')) r(recipe, p) ON regexp_matches(url, p)")
 def recipe_match(spark, sf):
     return RECIPES.match(_t(spark, sf, "pages")).select("page_id", "recipe")
+
+
+@_query("SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h1 FROM pages")
+def page_h1(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", F.coalesce(F.get(P.css_text(F.col("html"), "h1"), F.lit(0)), F.lit("")).alias("h1"))
+
+
+@_query("SELECT c_custkey, pos, url, external FROM (SELECT c_custkey, unnest([0, 1, 2, 3, 4])::BIGINT AS pos, unnest(['https://a.example/d/x', 'https://a.example/r', 'https://b.example/' || c_custkey, 'mailto:c@b.example', 'https://a.example:8443/p#f']) AS url, unnest([false, false, true, false, true]) AS external FROM customer)")
+def links_external(spark, sf):
+    refs = ("x", "/r", "//b.example/{}", "mailto:c@b.example", "https://a.example:8443/p#f")
+    html = F.concat(*[y for r in refs for y in (F.lit('<a href="'), F.replace(F.lit(r), F.lit("{}"), F.col("c_custkey").cast("string")), F.lit('">t</a><a>no</a>'))])
+    found = _t(spark, sf, "customer").select("c_custkey", F.posexplode(P.links(F.lit("https://a.example/d/i.html"), html)).alias("pos", "l"))
+    return found.select("c_custkey", F.col("pos").cast("long").alias("pos"), "l.url", "l.external")
+
+
+@_query("SELECT c_custkey, c_custkey % 5 IN (0, 1, 2) OR c_custkey % 5 = 4 AS shell, c_custkey % 3 = 0 AS challenged FROM customer")
+def page_predicates(spark, sf):
+    at = F.col("c_custkey")
+    html = F.element_at(F.array(*map(F.lit, ("<div id='__next'></div>", "<script src='react-dom.js'>", '<div id="app"><link rel="modulepreload">', '<div id="app">plain</div>', "<noscript>Please enable JavaScript</noscript>"))), (at % 5).cast("int") + 1)
+    return _t(spark, sf, "customer").select("c_custkey", P.looks_like_shell(html).alias("shell"), P.looks_challenged(F.when(at % 3 == 0, "Just a moment...").otherwise(F.col("c_name")), F.create_map(F.lit("Server"), F.col("c_name"))).alias("challenged"))
+
+
+@_query("SELECT c_custkey, c_custkey % 7 IN (0, 1, 2, 5) AS yes FROM customer")
+def coerce_bool(spark, sf):
+    word = F.element_at(F.array(*map(F.lit, (" Yes", "IN STOCK", "off", "0", "Unavailable ", "other", " "))), (F.col("c_custkey") % 7).cast("int") + 1)
+    return _t(spark, sf, "customer").select("c_custkey", coerce.to_bool(word).alias("yes"))
+
+
+@_query("SELECT o_custkey, o_orderkey AS key, o_totalprice AS price, o_orderdate AS day, o_orderstatus = 'O' AS open FROM orders")
+def dsl_nested(spark, sf):
+    order = F.struct(F.col("o_orderkey").cast("string").alias("key"), F.struct(F.format_string("%.2f", "o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("day")).alias("about"), F.when(F.col("o_orderstatus") == "O", "available").otherwise("no").alias("open"))
+    raw = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(order).alias("orders"))).alias("raw"))
+    rows = dsl.apply_query(raw, "{ orders[] { key(int) about { price(float) day(iso_date, optional) } open(bool) } }", "raw")
+    return rows.select("o_custkey", F.explode("data.orders").alias("o")).select("o_custkey", "o.key", "o.about.price", F.col("o.about.day").cast("timestamp_ntz").alias("day"), "o.open")
+
+
+@_query("SELECT p_brand, count(*) >= 6 AS poor, count(*)::BIGINT AS lines FROM part GROUP BY 1")
+def degraded_catalog(spark, sf):
+    line = F.concat(F.lit("$ "), F.format_number("p_size", 2))
+    lines = _t(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(line).alias("lines"))
+    return lines.select("p_brand", text.degraded_catalog(F.col("lines")).alias("poor"), F.size("lines").cast("long").alias("lines"))
+
+
+@_query("SELECT n_regionkey::BIGINT AS region, n_regionkey % 2 = 0 AS slim FROM nation GROUP BY ALL")
+def payload_choice(spark, sf):
+    line = F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit("<p>€ "), (F.col("n_nationkey") + 10).cast("string"), F.lit(",00</p><p>In stock</p>"))).otherwise(F.concat(F.lit("<p>A longer line of text about the nation "), "n_name", F.lit("</p>")))
+    html = _t(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<body>"), F.array_join(F.collect_list(line), ""), F.lit("</body>")).alias("html"))
+    return html.select(F.col("n_regionkey").cast("long").alias("region"), F.startswith(text.choose_payload(P.clean(F.col("html"))), F.lit('{"format":"html_excerpt"')).alias("slim"))
+
+
+@_query("SELECT n_nationkey::BIGINT AS nation, '{\"heading\": \"' || n_name || '\", \"items\": [\"# ' || n_name || '\", \"one\", \"two\"]}' AS flat, '# ' || n_name || chr(10) || chr(10) || '- one' || chr(10) || chr(10) || 'two' AS markdown FROM nation")
+def clean_page(spark, sf):
+    html = F.concat(F.lit("<html><body><nav>n</nav><h1>"), "n_name", F.lit("</h1><ul><li>one</li></ul><div class='advert'>x</div><p>two</p><footer>f</footer></body></html>"))
+    return _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), P.clean(html).alias("c")).select("nation", F.col("c.flat_json").alias("flat"), "c.markdown")
+
+
+@_query("SELECT event_id, props::JSON ->> 'k' AS k FROM events")
+def loose_json(spark, sf):
+    told = F.concat(F.lit("The answer is:\n```json\n"), "props", F.lit("\n``` {as asked"))
+    return _t(spark, sf, "events").select("event_id", F.get_json_object(loose.loose_json(told), "$.k").alias("k"))
+
+
+@_query("SELECT s_suppkey, (s_suppkey % 10 + 0.5)::DOUBLE AS delay FROM supplier")
+def crawl_delay(spark, sf):
+    robots = F.concat(F.lit("User-agent: other\nCrawl-delay: 99\nUser-agent: *\nCrawl-delay: "), (F.col("s_suppkey") % 10).cast("string"), F.lit(".5 # seconds\nDisallow: /x"))
+    return _t(spark, sf, "supplier").select("s_suppkey", loose.crawl_delay(robots).alias("delay"))
+
+
+@_query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'cached' ELSE 'fetched' END AS told, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 2 END AS tier FROM (SELECT min(page_id) AS page_id FROM pages GROUP BY url)")
+def fetch_tiers(spark, sf):
+    """Half of the pages come from the cache; the others are refused at tier 0 and come from tier 2."""
+    pages = _t(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    at = [F.lit(200).alias("status"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.lit(0).alias("tier")]
+    old = pages.where("page_id % 2 = 0").select("url", F.lit("cached").alias("html"), *at, F.to_timestamp(F.lit("2024-01-01")).alias("fetched_at"))
+    older = old.withColumns({"html": F.lit("older"), "fetched_at": F.to_timestamp(F.lit("2023-01-01"))})
+    got = fetching.fetch(pages.select("url"), {0: lambda url: fetching.Fetched("no", 403), 2: lambda url: fetching.Fetched("fetched")}, old.unionByName(older), per_second=0)
+    return got.join(pages, "url").select("page_id", F.col("html").alias("told"), "tier")
+
+
+@_query(f"SELECT p_brand, {_CARD_POS}, p_name AS name, p_size::DOUBLE AS price FROM part")
+def learned_extraction(spark, sf):
+    """A model is asked once for each brand's template; the plan made of its answer reads the pages."""
+
+    def reader(told: str, view: str) -> str:
+        cards = re.findall(r'<h2 class="name">([^<]*)</h2></a><span class="price">([^<]*)</span>', json.loads(view)["body"])
+        return json.dumps({"items": [{"name": unescape(n), "price": p} for n, p in cards]})
+
+    rows, _, _ = learn.extract_pages(_cards(spark, sf), {"name": "string", "price": "currency"}, reader, required=["name"], view="slim_html")
+    return rows.where("_error IS NULL").select("p_brand", F.col("pos").cast("long").alias("pos"), "name", "price")
+
+
+@_query("SELECT count(DISTINCT l_suppkey || ':' || l_partkey)::BIGINT AS plans, count(DISTINCT l_suppkey)::BIGINT AS domains, (2 * count(DISTINCT l_suppkey || ':' || l_partkey))::BIGINT AS selectors FROM lineitem")
+def plan_stats(spark, sf):
+    plans = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("domain"), F.col("l_partkey").alias("template")).distinct()
+    return learn.plan_stats(plans.withColumn("plan", F.create_map(F.lit("name"), F.array(F.lit("h2"), F.lit("h3")))))
+
+
+@_query("SELECT DISTINCT 'http://h.example/' || l_partkey AS url FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def unseen_urls(spark, sf):
+    at = lambda c: F.concat(F.lit(" http://h.example/"), F.col(c).cast("string")).alias("url")
+    return crawl.unseen(_t(spark, sf, "lineitem").select(at("l_partkey")), _t(spark, sf, "part").where("p_size > 10").select(at("p_partkey")))
+
+
+@_query("SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND url LIKE '%/en/%'")
+def sitemap_crawl(spark, sf):
+    pages = _t(spark, sf, "pages")
+    part = F.col("page_id") % 3
+    entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    files = pages.where(part != 0).groupBy(part.alias("n")).agg(F.array_join(F.collect_list(entry), "").alias("x")).select(F.concat(F.lit("http://m.example/"), F.col("n").cast("string")).alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
+    index = spark.range(1).select(F.lit("http://m.example/").alias("url"), F.lit("<sitemapindex><sitemap><loc>http://m.example/1</loc></sitemap><sitemap><loc>http://m.example/2</loc></sitemap></sitemapindex>").alias("xml"))
+    return crawl.crawl_sitemap("http://m.example/", files.unionByName(index), pages, pattern="/en/", max_pages=1_000_000).select("page_id")
+
+
+@_query("SELECT c_custkey, c_name AS name, coalesce(nullif(trim(c_mktsegment), ''), '') AS segment, 'ok' AS state FROM customer")
+def merged_maps(spark, sf):
+    left = F.create_map(F.lit("name"), F.lit("old"), F.lit("state"), F.lit("ok"))
+    right = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
+    return _t(spark, sf, "customer").select("c_custkey", changes.merge_maps(left, right).alias("m")).select("c_custkey", F.col("m")["name"].alias("name"), F.col("m")["segment"].alias("segment"), F.col("m")["state"].alias("state"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 4 <> 0 AND length(props) > 8 THEN length(props) ELSE 0 END::INT AS cut, event_id % 4 <> 0 AND length(props) <= 8 AS kept FROM events")
+def captured_bodies(spark, sf):
+    kind = F.when(F.col("event_id") % 4 != 0, "application/problem+json").otherwise("text/plain")
+    return _t(spark, sf, "events").select("event_id", endpoints.captured_json(F.col("props"), kind, 8).alias("b")).select("event_id", F.coalesce("b.size", F.lit(0)).alias("cut"), F.col("b.json").isNotNull().alias("kept"))
+
+
+@_query("SELECT doc_id, CASE WHEN n <= 1000 THEN 'single_call' ELSE 'chunk' END AS call FROM (SELECT doc_id, greatest(1, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) // 4) AS n FROM documents)")
+def prompt_budget(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.budget(text.token_estimate(F.col("text")), 1500, 500).alias("call"))

@@ -205,10 +205,11 @@ def _noise(node: Node) -> bool:
 
 
 def _main_lines(page: Page) -> list[tuple[str, str]]:
-    """Lines of the page without noise, each with the tag of the block that it begins; of article or main alone, if there is one."""
+    """Lines of the page without noise, each with the tag of the block that it begins; of the main element or the article alone, if there is just one."""
     if not page.nodes:
         return []
-    root = next((n for n in page.nodes if n.tag in ("article", "main")), next((n for n in page.nodes if n.tag == "body"), page.nodes[0]))
+    alone = [found[0] for tag in ("main", "article") if len(found := [n for n in page.nodes if n.tag == tag]) == 1]
+    root = next(iter(alone), next((n for n in page.nodes if n.tag == "body"), page.nodes[0]))
     lines: list[list[str]] = [[""]]  # the tag, then pieces of text
     stack: list[int | str | None] = [root.pre]
     while stack:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pagequery.functions.pages import host, normal_link
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a level by a table in the shared folder, or in a local one where none is set."""
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder, or in a local one where none is set."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pagequery-crawl"
     path = f"{base.rstrip('/')}/crawl-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
@@ -37,7 +37,7 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int
     The cap is the crawl's own limit.
     """
     first = admitted(seeds.select(normal_link(F.col("url")).alias("url")).where("url IS NOT NULL").distinct(), hosts, pattern)
-    level = _written(first.withColumn("rank", F.row_number().over(Window.orderBy("url"))).where(F.col("rank") <= max_pages).withColumn("depth", F.lit(0)))
+    level = written(first.withColumn("rank", F.row_number().over(Window.orderBy("url"))).where(F.col("rank") <= max_pages).withColumn("depth", F.lit(0)))
     seen = level
     edges = links.select(normal_link(F.col("src")).alias("src"), "pos", normal_link(F.col("dst")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").where(host(F.col("src")) == host(F.col("dst")))
     for depth in range(1, max_depth + 1):
@@ -46,7 +46,7 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int
             break
         found = level.join(edges, level.url == edges.src).groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("rank", "pos", "dst")).alias("at"))
         found = admitted(found, hosts, pattern).join(seen.select("url"), "url", "left_anti").orderBy("at").limit(left)  # bounded by the cap
-        level = _written(found.withColumn("rank", F.row_number().over(Window.orderBy("at"))).select("url", "rank", F.lit(depth).alias("depth")))
+        level = written(found.withColumn("rank", F.row_number().over(Window.orderBy("at"))).select("url", "rank", F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -84,3 +84,14 @@ def expand_sitemaps(root: str, sitemaps: DataFrame, max_levels: int = 2, max_fil
         here = files.join(found, files.file == found.url).select("url", "kind", (F.col("at") * 100_000 + F.col("pos")).alias("pos"), "loc")
         pages = pages.unionByName(here.where("kind = 'urlset'").select(F.lit(level).alias("level"), F.col("url").alias("file"), "pos", F.col("loc").alias("url")))
     return pages.orderBy("level", "pos").limit(max_pages).select("url")
+
+
+def crawl_sitemap(root: str, sitemaps: DataFrame, pages: DataFrame, hosts: list[str] | None = None, pattern: str | None = None, max_pages: int = 1000) -> DataFrame:
+    """The pages (url and more) that a sitemap lists and that are admitted, each once; no link is followed."""
+    listed = admitted(expand_sitemaps(root, sitemaps, max_pages=max_pages).select(normal_link(F.col("url")).alias("_at")).where("_at IS NOT NULL").distinct().withColumnRenamed("_at", "url"), hosts, pattern)
+    return pages.withColumn("_at", normal_link(F.col("url"))).join(listed.withColumnRenamed("url", "_at"), "_at", "left_semi").drop("_at")
+
+
+def unseen(urls: DataFrame, seen: DataFrame) -> DataFrame:
+    """URLs (trimmed, not blank, each once) that are not in ``seen``."""
+    return urls.select(F.trim("url").alias("url")).where("trim(url) <> ''").distinct().join(seen.select(F.trim("url").alias("url")), "url", "left_anti")

@@ -46,6 +46,22 @@ def redact(headers: Column) -> Column:
     return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE), F.lit("<redacted>")).otherwise(v))
 
 
+def discover(calls: DataFrame, order: str) -> DataFrame:
+    """The inventory of captured calls: the first of each endpoint that answers in JSON, its paging parameters, the names of its credential headers, and the schema of all its answers."""
+    json = json_calls(calls).withColumn("endpoint", endpoint_key(F.col("method"), F.col("url"), F.col("request_body")))
+    found = distinct_endpoints(json, order).withColumn("paging", pagination_keys(F.col("url"), F.col("request_body"))).withColumn("auth", auth_headers(F.col("request_headers")))
+    return found.drop("request_headers", "response_headers", "response_body").join(infer_schemas(json), "endpoint")
+
+
+def client_code(endpoints: list[dict]) -> str:
+    """Source of a Python module with a function for each endpoint (method, url, request_body, names of its credential headers in ``auth``), which the caller's secrets are passed to."""
+    out = ["import json", "from urllib.request import Request, urlopen", ""]
+    for i, e in enumerate(endpoints, 1):
+        out += ["", f"def endpoint_{i}(secrets):", f"    headers = {{name: secrets[name] for name in {sorted(e.get('auth') or [])!r}}}", f"    body = {e.get('request_body')!r}"]
+        out += [f"    request = Request({e['url']!r}, body.encode() if body else None, headers, method={e['method'].upper()!r})", "    with urlopen(request) as answer:", "        return json.load(answer)", ""]
+    return "\n".join(out)
+
+
 def infer_schemas(calls: DataFrame, key: str = "endpoint", body: str = "response_body") -> DataFrame:
     """The schema of all bodies of each endpoint."""
     return calls.groupBy(key).agg(F.schema_of_variant_agg(F.try_parse_json(body)).alias("schema"), F.count("*").alias("calls"))

@@ -87,8 +87,8 @@ def invalidate(plans: DataFrame, keys: DataFrame) -> DataFrame:
     return plans.join(keys.select("domain", "template").distinct(), ["domain", "template"], "left_anti")
 
 
-def induce_selectors(html: str, examples: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Selectors whose values on a page equal the examples: by class, by attribute, by tag, then by path."""
+def induce_selectors(html: str, examples: dict[str, list[str]], cut: bool = False) -> dict[str, list[str]]:
+    """Selectors whose values on a page equal the examples (or, where these were ``cut``, begin with them): by class, by attribute, by tag, then by path."""
     page = Page(html)
     out: dict[str, list[str]] = {}
     for name, wanted in examples.items():
@@ -98,7 +98,7 @@ def induce_selectors(html: str, examples: dict[str, list[str]]) -> dict[str, lis
                 options = [f"{n.tag}.{c}" for c in n.attrs.get("class", "").split()] + ([f"#{n.attrs['id']}"] if n.attrs.get("id") else []) + [n.tag, page.xpath(n)]
                 for s in options:
                     try:
-                        if s not in found and values(page, s) == wanted:
+                        if s not in found and values(page, s)[: len(wanted) if cut else None] == wanted:
                             found.append(s)
                     except ValueError:
                         continue
