@@ -11,12 +11,12 @@ import re
 from collections.abc import Callable
 from html import unescape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequery.functions import coerce, loose, pages as P
-from pagequery.operators import changes, crawl, endpoints, fetching, text
-from pagequery.plans import dsl, extract, learn
+from pagequery.operators import changes, crawl, endpoints, fetching, paging, text
+from pagequery.plans import ask, dsl, extract, learn
 from pagequery.sources.stores import RECIPES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,3 +449,26 @@ def captured_bodies(spark, sf):
 @_query("SELECT doc_id, CASE WHEN n <= 1000 THEN 'single_call' ELSE 'chunk' END AS call FROM (SELECT doc_id, greatest(1, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) // 4) AS n FROM documents)")
 def prompt_budget(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.budget(text.token_estimate(F.col("text")), 1500, 500).alias("call"))
+
+
+@_query("SELECT n_regionkey::BIGINT AS region, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS page, n_name AS name FROM nation")
+def followed_pages(spark, sf):
+    """The nations of a region, each on a page that leads to the next; the last leads back to the first."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    at = lambda c: F.concat(F.lit("http://n.example/"), c.cast("string"))
+    first, next_ = F.first("n_nationkey").over(w), F.lead("n_nationkey").over(w)
+    placed = _t(spark, sf, "nation").withColumns({"first": first, "next": F.coalesce(next_, first)})
+    pages = placed.select(at(F.col("n_nationkey")).alias("url"), F.concat(F.lit("<h1>"), "n_name", F.lit('</h1><a class="next" href="/'), F.col("next").cast("string"), F.lit('#x">more</a>')).alias("html"))
+    seeds = placed.where("n_nationkey = first").select(at(F.col("first")).alias("url"), at(F.col("first")).alias("root"), F.col("n_regionkey").cast("long").alias("region"))
+    led = paging.follow(seeds, pages, ["//a[@class='next']/@href"])
+    return led.join(F.broadcast(seeds.select("root", "region")), "root").select("region", "page", F.get(P.css_text(F.col("html"), "h1"), F.lit(0)).alias("name"))  # a row per region
+
+
+@_query(f"SELECT p_brand, {_CARD_POS}, p_name AS name, '$' || p_size AS price FROM part")
+def asked_records(spark, sf):
+    def reader(told: str, view: str) -> str:
+        found = re.findall(r'<h2 class="name">([^<]*)</h2></a><span class="price">([^<]*)</span>', json.loads(view)["body"])
+        return json.dumps({"items": [{"name": unescape(n), "price": p} for n, p in found]})
+
+    rows, _, _ = ask.query_pages(_cards(spark, sf), "{ products[] { name price(list, min_count=1) } }", reader, view="slim_html")
+    return rows.where("_error IS NULL").select("p_brand", F.col("pos").cast("long").alias("pos"), "name", F.array_join("price", ";").alias("price"))

@@ -37,7 +37,8 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int
     The cap is the crawl's own limit.
     """
     first = admitted(seeds.select(normal_link(F.col("url")).alias("url")).where("url IS NOT NULL").distinct(), hosts, pattern)
-    level = written(first.withColumn("rank", F.row_number().over(Window.orderBy("url"))).where(F.col("rank") <= max_pages).withColumn("depth", F.lit(0)))
+    first = first.orderBy("url").limit(max_pages)  # bounded ahead of the window, which has one partition
+    level = written(first.withColumn("rank", F.row_number().over(Window.orderBy("url"))).withColumn("depth", F.lit(0)))
     seen = level
     edges = links.select(normal_link(F.col("src")).alias("src"), "pos", normal_link(F.col("dst")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").where(host(F.col("src")) == host(F.col("dst")))
     for depth in range(1, max_depth + 1):

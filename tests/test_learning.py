@@ -99,3 +99,38 @@ def test_discovery_and_client_code(spark):
     assert [(r.id, r.paging, r.auth, r.calls) for r in rows] == [(1, ["page"], ["x-api-key"], 2)] and "x" in rows[0].schema.lower() and "y" in rows[0].schema.lower()
     code = endpoints.client_code([r.asDict() for r in rows])
     assert ast.parse(code) and "s3cret" not in code
+
+
+def test_queries_over_pages(spark):
+    from pagequery.plans.ask import query_pages
+
+    pages = spark.createDataFrame([(1, "http://a/1", page("XY")), (2, "http://b/1", page("Z"))], "id long, url string, html string")
+    rows, _, _ = query_pages(pages, "{ name price(currency) }", make_reader(), view="slim_html")
+    assert sorted((r.id, r.name, r._error) for r in rows.collect()) == [(1, "X", None), (1, "Y", "more than one record"), (2, "Z", None)]
+    rows, _, _ = query_pages(pages, "{ all[] { name price(int) } }", make_reader(), view="slim_html")
+    assert {r._error for r in rows.collect()} == {"price: missing"}  # a currency sign is no number
+    for bad in ("{}", "{ a { b } }", "{ a[] { b } c[] { d } }"):
+        with pytest.raises(ValueError):
+            query_pages(pages, bad, make_reader())
+
+
+def test_following_ends_at_a_loop_a_gap_and_the_limit(spark):
+    from pagequery.operators.paging import follow
+
+    link = lambda to: f"<a class=next href='{to}'>more</a>"
+    pages = spark.createDataFrame([("http://a/1", link("2")), ("http://a/2", link("1#x")), ("http://b/1", link("/gone")), ("http://c/1", None), ("http://c/1", "<p>"), (None, "x")], "url string, html string")
+    seeds = spark.createDataFrame([("http://a/1#top",), ("http://b/1",), ("http://c/1",), ("http://none/",), (None,)], "url string")
+    found = follow(seeds, pages, ["//a[@class='next']/@href"])
+    assert sorted((r.root, r.page, r.url) for r in found.collect()) == [("http://a/1", 0, "http://a/1"), ("http://a/1", 1, "http://a/2"), ("http://b/1", 0, "http://b/1"), ("http://c/1", 0, "http://c/1")]
+    assert follow(seeds, pages, ["//a/@href"], max_pages=1).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagequery.__main__ import main
+
+    assert main(["check", "{ a(int) }"]) == 0 and "bigint" in capsys.readouterr().out
+    assert main(["check", "{ a("]) == 1 and main(["run", "nothing", "x", "y"]) == 1 and main(["queries"]) == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.html").write_text("<h1>Top</h1><a href=/x>x</a>")
+    assert main(["select", "h1", str(tmp_path / "in"), str(tmp_path / "o.jsonl")]) == 0
+    assert json.loads((tmp_path / "o.jsonl").read_text())["value"] == ["Top"]
