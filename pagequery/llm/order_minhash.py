@@ -74,7 +74,7 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
         starts = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         occurrence = np.empty(n, np.uint64)
         occurrence[order] = np.arange(n) - starts
-        value = _mixed(value + occurrence * np.uint64(0xD1B54A32D192ED03))
+        value = np.where(occurrence > 0, _mixed(value + occurrence * np.uint64(0xD1B54A32D192ED03)), value)  # a first one is the same whether or not others follow
     return value
 
 
