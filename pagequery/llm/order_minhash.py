@@ -282,9 +282,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
     """
     rows = stored(_prepared(docs, k, sketch_count).withColumn("row", F.monotonically_increasing_id()), "sketches")
     sketched = rows.where("size(keys) > 0")
-    buckets = sketched.select("fp", "n", F.explode(F.arrays_zip("keys", "first", "second")).alias("s")).select("fp", "n", F.col("s.keys").alias("key"), "s.first", "s.second")
-    several = buckets.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("top")).where("low < top").select("key")
-    members = stored(buckets.join(several, "key", "left_semi").distinct(), "buckets")
+    # The many buckets of one text are found by small rows: a 64-bit hash in place of the fingerprint, the row's number in place of what it holds.
+    buckets = sketched.select("row", F.xxhash64("fp").alias("hash"), F.explode(F.arrays_zip("keys", "first", "second")).alias("s")).select("row", "hash", F.col("s.keys").alias("key"), "s.first", "s.second")
+    several = buckets.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("top")).where("low < top").select("key")
+    shared = buckets.select("key", "row", "first", "second").join(several, "key", "left_semi")
+    members = stored(shared.join(sketched.select("row", "fp", "n"), "row").select("fp", "n", "key", "first", "second").distinct(), "buckets")
     words = sketched.select("fp", "words")
     labels, tried, open_ = None, None, members.withColumn("label", F.col("fp"))
     for lead in _LEADS:  # each bucket's members against one of them
