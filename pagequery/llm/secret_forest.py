@@ -1,7 +1,7 @@
 """Secret scan: loose candidates, then a random forest that removes false positives.
 
 Candidates are values behind an assignment, values of known shape, and long bare
-runs of letters and digits. The forest (Breiman, 2001) sees length, character
+runs of letters and digits, each to its end however long. The forest (Breiman, 2001) sees length, character
 transitions, dictionary coverage, path and neighbouring words. It is trained
 from labelled findings; unless others are given, a seeded generator writes them.
 """
@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 from .token_file import batches
 from .words import vocabulary_path
 
-_ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}([\"'`]?)([^\s\"'`,;<>{}()\[\]=]{8,512}={0,2})")
+_ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}([\"'`]?)([^\s\"'`,;<>{}()\[\]=]{8,}={0,2})")
 _NAME = re.compile(r"([A-Za-z][\w.-]{0,60})[\"']?[ \t]{0,3}:?$")
-_BARE = re.compile(r"[A-Za-z0-9+/_-]{24,512}={0,2}")
+_BARE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Shapes that providers publish, by their first characters.
 SHAPES = {
-    "AKIA": r"AKIA[0-9A-Z]{16}", "ASIA": r"ASIA[0-9A-Z]{16}", "ghp_": r"ghp_\w{30,80}", "gho_": r"gho_\w{30,80}", "github_pat_": r"github_pat_\w{30,100}",
-    "glpat-": r"glpat-[\w-]{20,60}", "xox": r"xox[abprs]-[\w-]{10,120}", "sk_live_": r"sk_live_\w{16,80}", "sk-": r"sk-[\w-]{20,120}", "AIza": r"AIza[\w-]{35}",
-    "eyJ": r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "-----BEGIN": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]{16,8000}?-----END [A-Z ]*PRIVATE KEY-----",
+    "AKIA": r"AKIA[0-9A-Z]{16}", "ASIA": r"ASIA[0-9A-Z]{16}", "ghp_": r"ghp_\w{30,}", "gho_": r"gho_\w{30,}", "github_pat_": r"github_pat_\w{30,}",
+    "glpat-": r"glpat-[\w-]{20,}", "xox": r"xox[abprs]-[\w-]{10,}", "sk_live_": r"sk_live_\w{16,}", "sk-": r"sk-[\w-]{20,}", "AIza": r"AIza[\w-]{35}",
+    "eyJ": r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}",
 }
 _SHAPES = {k: re.compile(v) for k, v in SHAPES.items()}
+_KEY_LINE = re.compile(r"-----(?:(BEGIN)|END) [A-Z ]*PRIVATE KEY-----")
 #: Words of neighbourhoods.
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "bearer", "private_key", "client_key", "signing")
 HASH_WORDS = ("sha", "md5", "commit", "checksum", "digest", "uuid", "guid", "etag", "revision", "integrity", "hash", "build", "trace", "span_id", "request_id")
@@ -54,12 +55,24 @@ class Candidate:
     quoted: bool
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each private key, from a BEGIN line to the END line that follows with no other BEGIN between, however far. One pass."""
+    begun = None
+    for m in _KEY_LINE.finditer(text) if "-----BEGIN" in text else ():
+        if m[1]:
+            begun = m
+        elif begun and m.start() - begun.end() >= 16:
+            yield begun.start(), m.end()
+            begun = None
+
+
 def candidates(text: str) -> list[Candidate]:
     """Values that might be secrets, in order; of overlapping ones the longest, then the more telling rule."""
     found: list[Candidate] = []
     for first, shape in _SHAPES.items():
         if first in text:
             found += [Candidate(m.start(), m.end(), "shape", "", text[m.start() - 1 : m.start()] in "\"'`") for m in shape.finditer(text)]
+    found += [Candidate(a, b, "shape", "", text[a - 1 : a] in "\"'`") for a, b in key_blocks(text)]
     for m in _ASSIGNED.finditer(text):
         value = m[2].rstrip(".,!?:")
         if len(value) < 8 or value.startswith("//"):
@@ -125,7 +138,7 @@ def features(text: str, c: Candidate, path: str | None, words: frozenset[str]) -
     has = lambda words, where: float(any(w in where for w in words))
     return [
         math.log2(n), *(seen[k] / n for k in (0, 2, 1, 3)), changes / n, -sum(k / n * math.log2(k / n) for k in counts.values()), len(counts) / min(n, 64),
-        coverage(value[:512], words), best / n, float(re.fullmatch(r"[0-9a-fA-F-]+", value) is not None), float(c.rule == "shape"),
+        coverage(value, words), best / n, float(re.fullmatch(r"[0-9a-fA-F-]+", value) is not None), float(c.rule == "shape"),
         has(SECRET_WORDS, name), has(HASH_WORDS, name), has(SAMPLE_WORDS, low), has(SECRET_WORDS, near), has(HASH_WORDS, near), has(SAMPLE_WORDS, near),
         has(TEST_PATHS, place), float(c.quoted), float(c.rule == "bare"), steps / n,
     ]
