@@ -15,13 +15,14 @@ still no candidate pair of different components goes unverified.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -30,6 +31,8 @@ from .scratch import stored
 from .token_file import batches
 
 _WORD = re.compile(r"\w+")
+#: Texts of at most this many words have sketches of 2-word k-mers; texts of more than ``threshold`` times it have those of k words (so any two that may be alike share a kind).
+SHORT = 60
 #: Members of a bucket in a block of the second pass.
 BLOCK = 512
 BITS = 4096
@@ -94,6 +97,19 @@ def sketches(kmers: np.ndarray, count: int, seed: int = 31) -> tuple[np.ndarray,
     return _mixed(kmers[first] * np.uint64(3) + _mixed(kmers[second] + salts[:, 0])).view(np.int64), first, second
 
 
+def sketches_needed(threshold: float, k: int, miss: float) -> int:
+    """Sketches of two k-mers by which a pair at ``threshold``, its edits at random places of a long text, is missed with probability ``miss``."""
+    alive = threshold**k  # share of k-mers that no edit touches
+    return max(1, math.ceil(math.log(miss) / math.log1p(-min((alive / (2 - alive)) ** 2, 1 - 1e-9))))
+
+
+def all_sketches(words: np.ndarray, threshold: float, k: int, count: int) -> tuple[np.ndarray, ...]:
+    """Keys and places of the sketches of a text, of one kind or, near the limit, both."""
+    kinds = [sketches(labelled_kmers(words, k), count)] if len(words) > threshold * SHORT else []
+    kinds += [sketches(labelled_kmers(words, min(k, 2)), count, 37)] if len(words) <= SHORT else []
+    return tuple(np.concatenate(parts) for parts in zip(*kinds))
+
+
 def word_bits(words: np.ndarray) -> np.ndarray:
     """The words, each with its occurrence number, hashed to ``BITS`` bits. A word more than the other text has costs an edit, so a bit that the other lacks does."""
     seen = np.zeros(BITS, bool)
@@ -169,7 +185,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.xxhash64(*columns).alias("__sig1"), F.xxhash64(F.lit(41), *columns).alias("__sig2"))
 
 
-def _prepared(docs: DataFrame, k: int, count: int) -> DataFrame:
+def _prepared(docs: DataFrame, threshold: float, k: int, count: int) -> DataFrame:
     """Fingerprint of the words, the words' hashes and the sketches of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +204,14 @@ def _prepared(docs: DataFrame, k: int, count: int) -> DataFrame:
             if len(met) > 200_000:
                 met.clear()
             met.add(fp)
-            return fp, len(words), ids.astype("<u4").tobytes(), word_bits(ids), *sketches(labelled_kmers(ids, k), count)
+            return fp, len(words), ids.astype("<u4").tobytes(), word_bits(ids), *all_sketches(ids, threshold, k, count)
 
         def rows():
             for part in parts:
                 for doc_id, sig1, sig2, text in zip(*(c.to_pylist() for c in part.columns)):
                     yield doc_id, sig1, sig2, *one(text)
 
-        yield from batches(rows(), _PREPARED, lambda row: len(row[5] or b"") + 16 * count)
+        yield from batches(rows(), _PREPARED, lambda row: len(row[5] or b"") + 16 * len(row[7] if row[7] is not None else ()))
 
     own = _signed(docs).select(F.col("doc_id").cast("long"), "__sig1", "__sig2", F.col("text").cast("string"))
     return own.mapInArrow(run, "doc_id long, sig1 long, sig2 long, fp binary, n int, words binary, bits array<long>, keys array<long>, first array<int>, second array<int>")
@@ -264,28 +280,30 @@ def _few_other_words(a: str, b: str, threshold: float) -> str:
     return f"greatest({lacks(a, b)}, {lacks(b, a)}) <= {1 - threshold!r} * greatest({a}.n, {b}.n) + 1e-9"
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_count: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: float = 1e-3) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_rows, kept, sig1, sig2.
 
     ``docs`` needs doc_id and text; the other columns only tell rows apart.
     Texts are compared as lower-case words. Two are near-duplicates if their
     word edit similarity is ``threshold`` or more; candidates are texts that
-    share one of ``sketch_count`` sketches of two k-mers each. A class is a
+    share one of the sketches of two k-mers each, as many as leave a pair at
+    ``threshold`` unfound with probability ``miss``. A class is a
     component of these links, class_id its least doc_id, and the row that has
     it is kept (of rows that repeat it, one).
 
     Null texts link with nothing and are kept. Texts without words, the empty
-    one among them, are alike if they are equal. Texts of fewer than ``k`` words
-    are one k-mer. Null doc_ids come after all others in a class; a class of
+    one among them, are alike if they are equal. Texts of at most ``SHORT``
+    words have k-mers of two words; a single word is one k-mer. Null doc_ids come after all others in a class; a class of
     none but null doc_ids has a null class_id. An empty table gives no rows.
     Texts are taken whole; no bucket, class or candidate list is capped.
     """
-    rows = stored(_prepared(docs, k, sketch_count).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = stored(_prepared(docs, threshold, k, sketches_needed(threshold, k, miss)).withColumn("row", F.monotonically_increasing_id()), "sketches")
     sketched = rows.where("size(keys) > 0")
-    # The many buckets of one text are found by small rows: a 64-bit hash in place of the fingerprint, the row's number in place of what it holds.
-    buckets = sketched.select("row", F.xxhash64("fp").alias("hash"), F.explode(F.arrays_zip("keys", "first", "second")).alias("s")).select("row", "hash", F.col("s.keys").alias("key"), "s.first", "s.second")
-    several = buckets.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("top")).where("low < top").select("key")
-    shared = buckets.select("key", "row", "first", "second").join(several, "key", "left_semi")
+    # The many buckets of one text are found by small rows: a 64-bit hash in place of the fingerprint, the row's number in place of what it holds. They are shuffled once.
+    buckets = sketched.select("row", F.xxhash64("fp").alias("hash"), F.explode(F.arrays_zip("keys", "first", "second")).alias("s")).select("row", "hash", F.col("s.keys").alias("key"), (F.shiftleft(F.col("s.first").cast("long"), 32) + F.col("s.second")).alias("places"))
+    whole = Window.partitionBy("key")
+    several = buckets.withColumns({"low": F.min("hash").over(whole), "top": F.max("hash").over(whole)}).where("low < top")
+    shared = several.select("key", "row", F.shiftright("places", 32).cast("int").alias("first"), F.col("places").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("second"))
     members = stored(shared.join(sketched.select("row", "fp", "n"), "row").select("fp", "n", "key", "first", "second").distinct(), "buckets")
     words = sketched.select("fp", "words")
     labels, tried, open_ = None, None, members.withColumn("label", F.col("fp"))
@@ -297,7 +315,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
         tried = pairs if tried is None else tried.union(pairs)
         labels = _joined_up(labels, _verified(pairs, words, threshold))
         open_ = _still_mixed(open_, labels)  # buckets that are whole stay so
-    # All pairs across the components that a bucket still holds, each at the first sketch that they share.
+    # All pairs across the components that a bucket still holds, each at the least key that they share.
     sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     marks = _perhaps_in(sketched.select("fp", "bits", "keys"), open_.select("fp").distinct()).dropDuplicates(["fp"])
     mixed = open_.select("key", "fp", "n", "label").join(sizes, "key").join(marks, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -305,7 +323,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
     a, b = dealt.alias("a"), dealt.alias("b")
     met = F.expr(
         "a.key = b.key AND a.b0 = b.b0 AND a.b1 = b.b1 AND a.fp < b.fp AND a.label <> b.label AND (a.own <> b.own OR a.b0 = a.b1)"
-        " AND a.key = get(filter(zip_with(a.keys, b.keys, (x, y) -> if(x = y, x, null)), x -> x IS NOT NULL), 0)"
+        " AND a.key = array_min(array_intersect(a.keys, b.keys))"
         f" AND least(a.n, b.n) >= {threshold!r} * greatest(a.n, b.n) - 1e-9 AND " + _few_other_words("a", "b", threshold)
     )
     across = a.join(b, met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
@@ -325,14 +343,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_
     )
 
 
-def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, sketch_count: int = 32) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: float = 1e-3) -> DataFrame:
     """The kept rows of ``docs`` with their columns. Of rows alike in every column one stays, but all with a null text do.
 
     Only rows that share the hashes of a row that goes, or a bit of the filter
     with one, are shuffled; the others stay where they are.
     """
     sigs = ["__sig1", "__sig2"]
-    found = stored(near_duplicates(docs, threshold, k, sketch_count).select("kept", F.col("sig1").alias("__sig1"), F.col("sig2").alias("__sig2")), "kept")
+    found = stored(near_duplicates(docs, threshold, k, miss).select("kept", F.col("sig1").alias("__sig1"), F.col("sig2").alias("__sig2")), "kept")
     marked = _marked(_signed(docs), found.where("NOT kept").select(*sigs), sigs).withColumn("__perhaps", F.col("__perhaps") & F.col("text").isNotNull())
     unsure = marked.where("__perhaps").join(found.where("kept").select(*sigs).distinct(), sigs, "left_semi").dropDuplicates(sigs)
     names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]

@@ -315,3 +315,18 @@ def test_long_values_are_whole(spark):
     df = spark.createDataFrame([(1, f'token = "{value}" end', "s", 0)], "doc_id long, text string, source string, n_chars long")
     assert [(f.start, f.end, f.is_secret) for f in secret_forest.scan_secrets(df).collect()] == [(9, 2209, True)]
     assert secret_forest.redact_secrets(df).first().text == 'token = "[SECRET]" end'
+
+
+def test_near_duplicates_with_scattered_edits(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        n = (5, 10, 20, 60, 70, 100, 200, 400)[i % 8]
+        a = [f"w{x}" for x in r.integers(0, 1_000_000, n)]
+        b = list(a)
+        for at in r.choice(n, n // 5, replace=False):
+            b[at] = f"x{i}y{at}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(400))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) >= 396
