@@ -1,6 +1,6 @@
 """Secret scan: loose candidates, then a random forest that removes false positives.
 
-Candidates are values behind an assignment, values of known shape, and long bare
+Candidates are values behind an assignment, passwords of URLs, values of known shape, and long bare
 runs of letters and digits, each to its end however long. The forest (Breiman, 2001) sees length, character
 transitions, dictionary coverage, path and neighbouring words. It is trained
 from labelled findings; unless others are given, a seeded generator writes them.
@@ -26,6 +26,7 @@ from .words import vocabulary_path
 
 _ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}([\"'`]?)([^\s\"'`,;<>{}()\[\]=]{8,}={0,2})")
 _NAME = re.compile(r"([A-Za-z][\w.-]{0,60})[\"']?[ \t]{0,3}:?$")
+_LOGIN = re.compile(r"://[^\s/?#@:\"'`<>]*:([^\s/?#\"'`<>]+)@")  # user:password of a URL
 _BARE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Shapes that providers publish, by their first characters.
 SHAPES = {
@@ -81,6 +82,8 @@ def candidates(text: str) -> list[Candidate]:
         named = name[1] if name else ""
         if any(w in named.lower() for w in SECRET_WORDS) or (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
             found.append(Candidate(m.start(2), m.start(2) + len(value), "assigned", named, bool(m[1])))
+    for m in _LOGIN.finditer(text):
+        found.append(Candidate(m.start(1), m.end(1), "assigned", "password", False))
     for m in _BARE.finditer(text):
         if re.search(r"\d", m[0]) and re.search(r"[A-Za-z]", m[0]):
             found.append(Candidate(m.start(), m.end(), "bare", "", text[m.start() - 1 : m.start()] in "\"'`"))

@@ -330,3 +330,11 @@ def test_near_duplicates_with_scattered_edits(spark):
     got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * i] == 2 * i for i in range(400))
     assert sum(got[2 * i + 1] == 2 * i for i in range(400)) >= 396
+
+
+def test_password_of_a_url_in_prose(spark):
+    found = lambda text: [(text[c.start : c.end], c.name) for c in secret_forest.candidates(text)]
+    assert found("use postgres://admin:hunter2pass@db.host/x here") == [("hunter2pass", "password")]
+    assert found("see http://host:8080/a and https://me@host/b") == []
+    df = spark.createDataFrame([(1, "use postgres://admin:hunter2pass@db.host/x here", "s")], "doc_id long, text string, source string")
+    assert [(r.start, r.end, r.name) for r in secret_forest.scan_secrets(df).collect()] == [(21, 32, "password")]
