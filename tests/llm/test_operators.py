@@ -338,3 +338,9 @@ def test_password_of_a_url_in_prose(spark):
     assert found("see http://host:8080/a and https://me@host/b") == []
     df = spark.createDataFrame([(1, "use postgres://admin:hunter2pass@db.host/x here", "s")], "doc_id long, text string, source string")
     assert [(r.start, r.end, r.name) for r in secret_forest.scan_secrets(df).collect()] == [(21, 32, "password")]
+
+
+def test_raking_that_has_not_settled_raises(spark):
+    cells = spark.createDataFrame([("=a", "=x", "=t", 1000), ("=a", "=y", "=t", 10), ("=b", "=x", "=t", 10), ("=b", "=y", "=t", 5000)], "__d0 string, __d1 string, __d2 string, __tokens long")
+    with pytest.raises(RuntimeError, match="after 1 blocks"):
+        mixing.rake(cells, 0.3, 0.5, blocks=1)
