@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +65,13 @@ COERCIONS = {
     "string": ("string", to_string), "int": ("bigint", to_int), "float": ("double", to_float), "currency": ("double", to_currency), "bool": ("boolean", to_bool),
     "url": ("string", to_url), "iso_date": ("timestamp", to_date), "list": ("array<string>", to_list), "json": ("string", to_json),
 }
+
+
+def register(name: str, kind: str, made: Callable[[Column], Column]) -> None:
+    """Adds a coercion of the caller's, an expression (or a pandas UDF applied) from a string to a value of type ``kind``; queries then know its name."""
+    if not name.isidentifier() or name in _OWN:
+        raise ValueError(f"a coercion needs a new name: {name!r}")
+    COERCIONS[name] = (kind, made)
+
+
+_OWN = frozenset(COERCIONS)

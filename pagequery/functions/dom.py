@@ -118,6 +118,8 @@ class Page:
             builder.close()
         builder._pop_to(0)
         self.nodes = builder.nodes
+        self._places: list[int] | None = None
+        self._like: dict[tuple[int, str], int] = {}
 
     def descendants(self, node: Node) -> list[Node]:
         return self.nodes[node.pre + 1 : node.pre + 1 + node.size]
@@ -157,11 +159,14 @@ class Page:
 
     def xpath(self, node: Node) -> str:
         """Canonical path; an index only where siblings share the tag."""
+        if self._places is None:  # of all elements at once, so that a long listing costs no more than its length
+            self._places, seen = [0] * len(self.nodes), {}
+            for n in self.nodes:
+                self._places[n.pre] = seen[n.parent, n.tag] = seen.get((n.parent, n.tag), 0) + 1
+            self._like = seen
         steps = []
         while True:
-            same = [c for c in self.children(self.nodes[node.parent]) if c.tag == node.tag] if node.parent >= 0 else [node]
-            at = next(i for i, c in enumerate(same, 1) if c.pre == node.pre)
-            steps.append(node.tag + (f"[{at}]" if len(same) > 1 else ""))
+            steps.append(node.tag + (f"[{self._places[node.pre]}]" if self._like[node.parent, node.tag] > 1 and node.parent >= 0 else ""))
             if node.parent < 0:
                 return "/" + "/".join(reversed(steps))
             node = self.nodes[node.parent]

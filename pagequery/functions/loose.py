@@ -38,25 +38,36 @@ def loose_json(text: Column) -> Column:
 
 
 def without_fences(text: Column) -> Column:
-    """Text without the marks of code blocks at the begin and end of lines."""
-    return F.trim(F.regexp_replace(F.trim(text), r"(?im)^```(?:json)?\s*|\s*```$", ""))
+    """Text without the lines that only open or close a code block, and without such marks at its very ends."""
+    line = lambda x: F.lower(F.trim(x))
+    kept = F.filter(F.split(F.trim(text), "\n"), lambda x: ~line(x).isin("```", "```json"))
+    joined = F.trim(F.array_join(kept, "\n"))
+    opened = F.when(F.startswith(F.lower(joined), F.lit("```json")), F.substr(joined, F.lit(8))).when(F.startswith(joined, F.lit("```")), F.substr(joined, F.lit(4))).otherwise(joined)
+    return F.trim(F.when(F.endswith(opened, F.lit("```")), F.left(opened, F.length(opened) - 3)).otherwise(opened))
 
 
 def crawl_delay(robots: Column) -> Column:
-    """Seconds of the last readable Crawl-delay in a section for all agents; null without one."""
-    lines = F.transform(F.split(F.coalesce(robots, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    """Seconds of the last readable Crawl-delay in a section for all agents; null without one. A line is what stands before a ``#``: a name up to the first colon, and a value."""
+    lines = F.transform(F.split(F.coalesce(robots, F.lit("")), "\n"), lambda x: F.split_part(x, F.lit("#"), F.lit(1)))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("name"), F.trim(F.translate(F.substr(x, F.instr(x, F.lit(":")) + 1), "\r", "")).alias("value")))
     start = F.struct(F.lit(False).alias("all"), F.lit(None).cast("double").alias("delay"))
-    agent = r"(?i)^user-agent\s*:\s*(.+?)\s*$"
-    pause = r"(?i)^crawl-delay\s*:\s*([0-9]+(?:\.[0-9]+)?)\s*$"
 
-    def step(state: Column, line: Column) -> Column:
-        named = F.when(line.rlike(agent), F.regexp_extract(line, agent, 1) == "*").otherwise(state["all"])
-        waits = F.when(state["all"] & line.rlike(pause), F.regexp_extract(line, pause, 1).try_cast("double")).otherwise(state["delay"])
+    def step(state: Column, pair: Column) -> Column:
+        seconds = F.when(F.translate(pair["value"], "0123456789.", "") == "", pair["value"].try_cast("double"))
+        named = F.when((pair["name"] == "user-agent") & (pair["value"] != ""), pair["value"] == "*").otherwise(state["all"])
+        waits = F.when(state["all"] & (pair["name"] == "crawl-delay") & seconds.isNotNull(), seconds).otherwise(state["delay"])
         return F.struct(named.alias("all"), waits.alias("delay"))
 
-    return F.aggregate(lines, start, step)["delay"]
+    return F.aggregate(pairs, start, step)["delay"]
 
 
-def safe_name(text: Column) -> Column:
-    """A name of letters, digits, points, underscores and hyphens."""
-    return F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._-]+", "_")
+def safe_name(text: Column, most: int = 120, default: str = "session") -> Column:
+    """A name for a file: every character that is no letter, digit, point, underscore or hyphen is an underscore; of ``most`` characters at most, ``default`` if there is none."""
+    kept = F.left(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}._-]", "_"), F.lit(most))
+    return F.when(kept == "", F.lit(default)).otherwise(kept)
+
+
+def type_name(prefix: str, text: Column) -> Column:
+    """A name for a type: runs of other characters than ASCII letters, digits and underscores are one underscore, none at the ends; ``Model`` if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9_]+", "_"), "^_+|_+$", "")
+    return F.concat(F.lit(prefix + "_"), F.when(kept == "", F.lit("Model")).otherwise(kept))

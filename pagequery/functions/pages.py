@@ -278,11 +278,21 @@ def clean(html: Column) -> Column:
     return _udf("struct<heading:string,markdown:string,items:array<string>,flat_json:string,html_excerpt:string>", run)(html)
 
 
-def cleaned_state(data: Column, heading: Column) -> Column:
-    """The fields of ``clean`` for a page's embedded state: its JSON is the markdown and the only item."""
+def cleaned_state(data: Column, heading: Column, max_chars: int = 500_000) -> Column:
+    """The fields of ``clean`` and ``tokens``, an estimate, for a page's embedded state: its JSON is the markdown and the only item. Null for state over ``max_chars`` characters, which is no reading matter."""
     items = F.array(data)
     flat = F.to_json(F.struct(F.coalesce(heading, F.lit("")).alias("heading"), items.alias("items")))
-    return F.struct(F.coalesce(heading, F.lit("")).alias("heading"), data.alias("markdown"), items.alias("items"), flat.alias("flat_json"), F.lit("").alias("html_excerpt"))
+    tokens = F.greatest(F.lit(1), F.floor(F.length(data) / 4)).cast("long").alias("tokens")
+    return F.when(F.length(data) <= max_chars, F.struct(F.coalesce(heading, F.lit("")).alias("heading"), data.alias("markdown"), items.alias("items"), flat.alias("flat_json"), F.lit("").alias("html_excerpt"), tokens))
+
+
+def provenance(url: Column, fetched_at: Column, tier: Column, xpath: Column, from_plan: Column, model: Column | None = None, confidence: Column | None = None) -> Column:
+    """Where a record comes from: page, time and tier of its fetch, path of its element, whether a known plan read it, the model that was asked, and how sure it is."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return F.struct(
+        url.alias("url"), fetched_at.cast("timestamp").alias("fetched_at"), F.coalesce(tier.cast("int"), F.lit(-1)).alias("fetch_tier"), F.coalesce(xpath, F.lit("")).alias("xpath"),
+        F.when(from_plan, none("string")).otherwise(model if model is not None else none("string")).alias("model"), from_plan.cast("boolean").alias("from_plan"), (confidence if confidence is not None else none("double")).cast("double").alias("confidence"),
+    )
 
 
 def article(html: Column) -> Column:
@@ -327,6 +337,7 @@ def skeleton(html: Column) -> Column:
 def visible_length(html: Column) -> Column:
     """Characters of visible text: blocks of script, style and noscript and all tags out, white space closed up."""
     text = html
+    # What counts as unseen, and the marks around it.
     for tag in ("script", "style", "noscript"):
         text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?s)<[^>]+>", " "), r"\s+", " ")

@@ -75,3 +75,17 @@ def captured_json(body: Column, content_type: Column, max_bytes: int) -> Column:
     large = (size > max_bytes) & F.lit(max_bytes > 0)
     made = lambda json, truncated, n: F.struct(json.cast("string").alias("json"), F.lit(truncated).alias("truncated"), n.cast("int").alias("size"))
     return F.when(says & large, made(F.lit(None), True, size)).when(says & F.try_parse_json(body).isNotNull(), made(body, False, F.lit(None)))
+
+
+def captured_calls(pages: DataFrame, max_events: int = 200, max_bytes: int = 0) -> DataFrame:
+    """The calls that pages recorded while they were fetched, a row each: url of the page, pos, and the call's own fields.
+
+    ``pages`` has ``network``, an array of calls (method, url, request_headers,
+    request_body, response_headers, response_body). At most ``max_events`` of a
+    page and bodies of at most ``max_bytes`` (0: any) are kept, the capture's own
+    limits; a longer body is null with its size in ``cut``.
+    """
+    each = pages.select(F.col("url").alias("page"), F.posexplode(F.slice("network", 1, max_events)).alias("pos", "call")).select("page", "pos", "call.*")
+    size = F.octet_length("response_body")
+    large = (size > max_bytes) & F.lit(max_bytes > 0)
+    return each.withColumn("cut", F.when(large, size)).withColumn("response_body", F.when(~F.coalesce(large, F.lit(False)), F.col("response_body")))

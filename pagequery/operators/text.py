@@ -115,20 +115,21 @@ def bm25(parts: DataFrame, query: str, key: str = "doc_id", top_k: int = 5, k1:
     come together before the ranking.
     """
     words = parts.select(key, "pos", F.regexp_extract_all(F.lower("part"), F.lit(r"(?U)(\w+)"), F.lit(1)).alias("words"))
-    sized = words.select(key, "pos", F.size("words").alias("len"))
-    about = sized.groupBy(key).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = words.select(key, "pos", F.explode("words").alias("term")).groupBy(key, "pos", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(key, "term").agg(F.count("*").alias("df")).join(about, key).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.groupBy(key).agg(F.avg("idf").alias("mean_idf"))
     asked = [w.lower() for w in re.findall(r"\w+", query)]
-    weights = F.create_map(*[x for w in sorted(set(asked)) for x in (F.lit(w), F.lit(float(asked.count(w))))])
-    idf = df.where(F.col("term").isin(*asked)).join(mean, key).select(key, "term", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    scored = (
-        tf.where(F.col("term").isin(*asked)).join(idf, [key, "term"]).join(sized, [key, "pos"])
-        .withColumn("s", weights[F.col("term")] * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
-        .groupBy(key, "pos").agg(F.sum("s").alias("score"))
-    )
-    ranked = sized.join(scored, [key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    terms = sorted(set(asked))
+    times = lambda w: F.size(F.filter("words", lambda x: x == w))
+    found = [times(w).alias(f"tf{i}") for i, w in enumerate(terms)]
+    rows = words.select(key, "pos", F.size("words").alias("len"), *found)  # only what is asked for stays of a part
+    about = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = words.select(key, F.explode(F.array_distinct("words")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("df"))
+    rarity = df.join(about, key).select(key, "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    stats = rarity.groupBy(key).agg(F.avg("idf").alias("mean"), *[F.max(F.when(F.col("term") == w, F.col("idf"))).alias(f"idf{i}") for i, w in enumerate(terms)]).join(about, key)
+    score = F.lit(0.0)
+    for i, w in enumerate(terms):
+        idf, tf = F.col(f"idf{i}"), F.col(f"tf{i}")
+        weight = F.when(idf < 0, epsilon * F.col("mean")).otherwise(idf) * float(asked.count(w))
+        score = score + F.when(tf > 0, weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).otherwise(F.lit(0.0))
+    ranked = rows.join(stats, key, "left").select(key, "pos", F.coalesce(score, F.lit(0.0)).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "pos")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(key, "rank", "pos", "score")
 
@@ -243,3 +244,14 @@ def chunk(docs: DataFrame, strategy: str = "token", query: str | None = None, ma
 
 def budget(tokens: Column, window: int, reserved: int) -> Column:
     return F.when(tokens <= max(256, window - reserved), "single_call").otherwise("chunk")
+
+
+def custom_chunks(docs: DataFrame, chunker, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chunks by the caller's function from a text to a list of texts: key, pos, chunk. Blank chunks are left out; a null text has none. The function must be picklable."""
+
+    def run(parts):
+        for part in parts:
+            told = [(k, [c for c in chunker(t) if c and c.strip()] if isinstance(t, str) else []) for k, t in zip(part[key], part[text])]
+            yield pd.DataFrame([(k, n, c) for k, chunks in told for n, c in enumerate(chunks)], columns=[key, "pos", "chunk"])
+
+    return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, pos int, chunk string")

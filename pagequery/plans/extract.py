@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,8 @@ from pagequery.functions.dom import Page
 from pagequery.functions.pages import host, skeleton
 from pagequery.functions.selectors import values
 
-#: A plan table up to this number of rows is broadcast; a larger one is joined by a shuffle.
-SMALL_PLANS = 20_000
+#: A plan table up to this number of characters of selectors is broadcast; a larger one is joined by a shuffle.
+SMALL_PLANS = 4_000_000
 
 
 def templates(pages: DataFrame, signature: str = "") -> DataFrame:
@@ -68,7 +69,8 @@ def zip_fields(pages: DataFrame, fields: list[str], required: list[str] = (), fo
 
 def with_plans(pages: DataFrame, plans: DataFrame) -> DataFrame:
     """Looks up each page's plan (domain, template, plan); null where there is none yet."""
-    small = plans.limit(SMALL_PLANS + 1).count() <= SMALL_PLANS
+    size = F.length(F.to_json(F.struct("plan"))) + F.length("domain") + F.length("template")
+    small = (plans.agg(F.sum(size)).first()[0] or 0) <= SMALL_PLANS
     return pages.join(F.broadcast(plans) if small else plans, ["domain", "template"], "left")
 
 
@@ -106,13 +108,40 @@ def induce_selectors(html: str, examples: dict[str, list[str]], cut: bool = Fals
     return out
 
 
-def heal_flags(rows: DataFrame, keys: list[str], required: list[str], optional: list[str] = (), threshold: float = 0.9) -> DataFrame:
-    """Per key whether its rows call for a new plan: a required field is null, or, without required ones, too few rows hold anything."""
+def heal_flags(
+    rows: DataFrame, keys: list[str], required: list[str], optional: list[str] = (), threshold: float | None = 0.9,
+    expected: DataFrame | None = None, check: Callable[[pd.DataFrame], bool] | None = None,
+) -> DataFrame:
+    """Per key whether its rows call for a new plan.
+
+    They do where a required field is null; where, without required fields, the
+    share of rows that hold anything is below ``threshold`` (None: no such
+    test); where a key of ``expected`` has no rows; and where the caller's
+    ``check`` of a key's rows is false or fails. Without a ``check`` nothing
+    leaves the JVM.
+    """
     if required:
         bad = F.bool_or(F.array_contains(F.array(*[F.col(c).isNull() for c in required]), True))
+    elif threshold is not None and optional:
+        bad = F.avg(F.when(F.coalesce(*[F.when(F.col(c).isNotNull(), 1) for c in optional]).isNotNull(), 1.0).otherwise(0.0)) < threshold
     else:
-        bad = F.avg(F.when(F.coalesce(*[F.col(c).isNotNull().cast("int") for c in optional]) > 0, 1.0).otherwise(0.0)) < threshold
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), bad.alias("heal"))
+        bad = F.lit(False)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("rows"), bad.alias("heal"))
+    if check is not None:
+        kinds = dict(rows.dtypes)
+
+        def judge(part: pd.DataFrame) -> pd.DataFrame:
+            try:
+                fails = not check(part)
+            except Exception:  # a test that can't be made is no proof that the rows are good
+                fails = True
+            return part[keys].head(1).assign(_fails=fails)
+
+        judged = rows.groupBy(*keys).applyInPandas(judge, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _fails boolean")
+        out = out.join(judged, keys).select(*keys, "rows", (F.col("heal") | F.col("_fails")).alias("heal"))
+    if expected is not None:
+        out = expected.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("heal", F.lit(True)).alias("heal"))
+    return out
 
 
 def field_quality(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequery.errors import ExtractionError
 from pagequery.functions.coerce import COERCIONS
 from pagequery.functions.loose import first_object
 from pagequery.functions.pages import clean
 from pagequery.operators.crawl import written
 from pagequery.operators.text import choose_payload
-from pagequery.plans.extract import induce_selectors, matched, representatives, signature, templates, upsert_plans, with_plans, zip_fields
+from pagequery.plans.extract import heal_flags, induce_selectors, invalidate, matched, representatives, signature, templates, upsert_plans, with_plans, zip_fields
 from pagequery.plans.schema import schema_line
 
 #: A model: from an instruction and a page's view to JSON text with a list ``items``. It must be picklable; it runs on the executors.
@@ -27,6 +28,14 @@ def instruction(fields: dict[str, str], prompt: str = "", error: str | None = No
     return "\n".join(filter(None, lines))
 
 
+def flat_item(item, prefix: str = "") -> dict:
+    """An answer's item with the fields of its objects beside its own, their names joined by two underscores; anything but an object is empty."""
+    out: dict = {}
+    for k, v in item.items() if isinstance(item, dict) else ():
+        out |= flat_item(v, f"{prefix}{k}__") if isinstance(v, dict) else {f"{prefix}{k}": v}
+    return out
+
+
 def learn_plan(html: str, view: str, fields: dict[str, str], client: ModelClient, required: Sequence[str] = (), prompt: str = "", attempts: int = 2) -> tuple[dict | None, str | None, int]:
     """Plan, error and number of questions for one page.
 
@@ -43,7 +52,7 @@ def learn_plan(html: str, view: str, fields: dict[str, str], client: ModelClient
             found, error = None, f"{type(e).__name__}: {e}"
         else:
             error = "no items" if not isinstance(found, list) else "no item is valid"
-        told = [{f: str(i[f]).strip() for f in fields if i.get(f) is not None and str(i[f]).strip()} for i in found or [] if isinstance(i, dict)]
+        told = [{f: str(i[f]).strip() for f in fields if i.get(f) is not None and str(i[f]).strip()} for i in map(flat_item, found or []) if i]
         told = [i for i in told if i and all(f in i for f in required)]
         if told:
             plan = induce_selectors(html, {f: wanted for f in fields if (wanted := [i[f] for i in told if f in i])}, cut=len(view) >= MAX_BODY)
@@ -94,6 +103,30 @@ def extract_pages(
     return typed(first.where("_error IS NULL")).unionByName(typed(second)), upsert_plans(plans, learned), asked.withColumnRenamed("_why", "error")
 
 
+def heal(
+    pages: DataFrame, plans: DataFrame, fields: dict[str, str], client: ModelClient, required: Sequence[str] = (),
+    threshold: float | None = None, check: Callable[[pd.DataFrame], bool] | None = None, attempts: int = 2, strict: bool = False, **options,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Extraction that mends its plans: rows, plans, and the templates (domain, template) that still fail.
+
+    After each reading the templates whose rows call for it (see
+    ``heal_flags``) lose their plan and their pages are learned again, up to
+    ``attempts`` readings in all. What fails to the end keeps no plan, and with
+    ``strict`` raises.
+    """
+    for attempt in range(attempts):
+        rows, plans, _ = extract_pages(pages, fields, client, plans, required=required, **options)
+        keyed = templates(pages, signature(fields)).select("url", "domain", "template").distinct()
+        placed = written(rows.join(keyed, "url", "left"))
+        failing = written(heal_flags(placed.where("_error IS NULL"), ["domain", "template"], list(required), list(fields), threshold, keyed, check).where("heal").select("domain", "template"))
+        if failing.isEmpty():
+            break
+        plans = written(invalidate(plans, failing))
+    if strict and not failing.isEmpty():
+        raise ExtractionError("templates fail after healing", templates=failing.count(), attempts=attempts)
+    return rows, plans, failing
+
+
 def plan_stats(plans: DataFrame) -> DataFrame:
     """Number of plans, of domains and of selectors."""
     size = F.aggregate(F.map_values("plan"), F.lit(0), lambda n, s: n + F.size(s))

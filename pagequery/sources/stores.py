@@ -6,13 +6,19 @@ import gzip
 import json
 import re
 import sqlite3
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequery.errors import OutputError
+from pagequery.functions.loose import safe_name
+
 
 def safe_table(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z_]\w*", name):
@@ -73,11 +79,45 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_replays(spark: SparkSession, folder: str) -> DataFrame:
-    """Recorded fetches: JSON files with url, status and headers, joined with the HTML files of the same name."""
+    """Recorded fetches: JSON files with url, status and headers, joined with the HTML files of the same name. A recording without its HTML file raises when it is read."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
     meta = spark.read.option("multiLine", True).json(f"{folder}/*.json").withColumn("name", name)
     html = spark.read.text(f"{folder}/*.html", wholetext=True).select(name.alias("name"), F.col("value").alias("html"))
-    return meta.join(html, "name")
+    lacks = F.raise_error(F.concat(F.lit("a recorded fetch has no HTML file: "), F.col("name")))
+    return meta.join(html, "name", "left").withColumn("html", F.coalesce("html", lacks.cast("string")))
+
+
+def record_pages(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes each page (url, html, and status, headers, tier if there) as an HTML file and a JSON file of one name, as ``read_replays`` reads them: name, url.
+
+    Names are of the URL and a hash, so a page that is recorded again is
+    replaced. ``folder`` is a URI that executors can write, or a path they share.
+    """
+    about = [c for c in ("url", "status", "headers", "tier") if c in pages.columns]
+    named = pages.select(F.concat(safe_name(F.regexp_replace("url", "^[a-z]+://", ""), 80), F.lit("-"), F.substring(F.sha2("url", 256), 1, 12)).alias("name"), "url", F.to_json(F.struct(*about)).alias("meta"), F.coalesce("html", F.lit("")).alias("html"))
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else Path(folder).absolute().as_uri())
+        store.create_dir(base, recursive=True)
+        for part in parts:
+            for name, meta, html in zip(part["name"], part["meta"], part["html"]):
+                for kind, text in (("json", meta), ("html", html)):
+                    with store.open_output_stream(f"{base}/{name}.{kind}") as out:
+                        out.write(text.encode("utf-8", "replace"))
+            yield part[["name", "url"]]
+
+    from pagequery.operators.crawl import written
+
+    return written(named.mapInPandas(write, "name string, url string"))
+
+
+def to_frame(df: DataFrame, engine: str = "auto"):
+    """A small result outside Spark: a pandas or Arrow table, or None for ``none``. ``auto`` takes what the caller has imported already, pandas first."""
+    if engine == "auto":
+        engine = next((kind for kind, module in (("pandas", "pandas"), ("arrow", "pyarrow")) if module in sys.modules), "none")
+    if engine not in ("pandas", "arrow", "none"):
+        raise OutputError("unknown kind of table", engine=engine)
+    return df.toPandas() if engine == "pandas" else df.toArrow() if engine == "arrow" else None
 
 
 @dataclass(frozen=True)
@@ -106,6 +146,27 @@ class RecipeBook:
             except (ValueError, re.error) as e:
                 self.rejected[r.name] = str(e)
 
+    @classmethod
+    def load(cls, folder: str) -> RecipeBook:
+        """The recipes of a folder's JSON files (name, url_pattern, query, description), in order of their names; files that begin with an underscore are left out, and those that can't be read are ``rejected``."""
+        recipes, bad = [], {}
+        for path in sorted(Path(folder).glob("*.json")):
+            if path.name.startswith("_"):
+                continue
+            try:
+                held = json.loads(path.read_text(encoding="utf-8"))
+                recipes.append(Recipe(str(held.get("name") or path.stem), held["url_pattern"], held["query"], str(held.get("description", ""))))
+            except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
+                bad[path.stem] = f"{type(e).__name__}: {e}"
+        book = cls(recipes)
+        book.rejected |= bad
+        return book
+
+    def show(self, name: str) -> Recipe:
+        if name not in self.recipes:
+            raise KeyError(f"no recipe {name!r}; there are: {', '.join(sorted(self.recipes))}")
+        return self.recipes[name]
+
     def match(self, pages: DataFrame) -> DataFrame:
         """Pages with the name of each recipe whose pattern they match."""
         named = F.array_compact(F.array(*[F.when(F.col("url").rlike(r.url_pattern), F.lit(r.name)) for r in sorted(self.recipes.values(), key=lambda r: r.name)]))
