@@ -3,7 +3,8 @@
 Alternates the large-star and small-star steps of Kiveris et al., "Connected
 Components in MapReduce and Beyond" (2014): every step is a grouped minimum and
 a join, no node's neighbours are ever collected, and the number of rounds grows
-with the logarithm of the longest path.
+with the logarithm of the longest path. Both sides of each join are read from
+tables, so Spark can split a hub's edges among tasks.
 """
 
 from __future__ import annotations
@@ -11,49 +12,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import drop, stored
 
 
-def _hang_on_least(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Links the neighbours of each node to the least node of its neighbourhood.
-
-    ``larger_only`` takes both directions and moves the neighbours above the
-    node (large star); otherwise only neighbours below count, and the node
-    itself moves with them (small star).
-    """
-    if larger_only:
-        near = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    else:
-        near = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = near.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    joined = near.join(least, "src")
-    if larger_only:
-        moved = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    else:
-        moved = joined.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(least.select("src", F.col("low").alias("dst")))
-    return moved.where("src <> dst").distinct()
+def _lowest(edges: DataFrame) -> DataFrame:
+    """The least neighbour below each node that has one."""
+    return stored(edges.groupBy("src").agg(F.min("dst").alias("low")), "least")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``edges`` (src, dst, of one orderable type) to (node, label): label is the least node of the component.
+    """``edges`` (src, dst, of one orderable type) to a stored table (node, label): label is the least node of the component.
 
-    Nodes without an edge do not appear; self-loops, nulls and repeated edges
-    are ignored. ``rounds`` only guards against an endless loop: running out
-    raises, nothing is cut short.
+    Nodes without an edge and the least node of each component do not appear;
+    self-loops, nulls and repeated edges are ignored. ``rounds`` only guards
+    against an endless loop: running out raises, nothing is cut short.
     """
     edges = stored(
         edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(),
         "edges",
     )
-    before = None
     for _ in range(rounds):
-        edges = stored(_hang_on_least(_hang_on_least(edges, True), False), "edges")
-        # Stars only change while a node still moves: count and checksum of the edges settle together.
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum")).first()
-        if before == now:
-            return edges.select(F.col("src").alias("node"), F.col("dst").alias("label")).union(
-                edges.select(F.col("dst").alias("node"), F.col("dst").alias("label")).distinct()
-            )
-        before = now
+        # Large star: an edge hangs on the least neighbour of its lower end. If none moves, all are stars.
+        low = _lowest(edges)
+        risen = stored(edges.join(low.select(F.col("src").alias("dst"), "low"), "dst", "left").select("src", F.coalesce("low", "dst").alias("dst"), F.col("low").isNotNull().alias("moved")), "edges", edges, low)
+        if risen.where("moved").isEmpty():
+            labels = stored(risen.select(F.col("src").alias("node"), F.col("dst").alias("label")), "labels", risen)
+            return labels
+        # Small star: a node and its lower neighbours hang on the least of them.
+        low = _lowest(risen)
+        hung = risen.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").union(low.select("src", F.col("low").alias("dst")))
+        edges = stored(hung.distinct(), "edges", risen, low)
+    drop(edges)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -6,10 +6,12 @@ keeps them in the order of the text, so it agrees with a probability that
 follows edit similarity. Documents that share a sketch are candidates; an
 alignment inside a band decides.
 
-Equal texts are one class first. Then each bucket's members are held against
-one of them, thrice with another, and components are formed. Only where a bucket
-still spans several components are the rest of its pairs compared, across
-components alone and in blocks. So large groups of copies cost one comparison a member, and
+Equal texts are one class first. The sketches travel as packed numbers, dealt by
+key, and only buckets of several texts go on. Each bucket's members are held
+against the least of them and components are formed; where a bucket still spans
+several, the others are held against one of its largest, another in each bucket.
+Only what is apart after that is compared pair by pair, across components alone
+and in blocks. So large groups of copies cost few comparisons a member, and
 still no candidate pair of different components goes unverified.
 """
 
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .components import connected_components
-from .scratch import stored
+from .scratch import drop, free_names, quoted, stored
 from .token_file import batches
 
 _WORD = re.compile(r"\w+")
@@ -36,6 +40,10 @@ SHORT = 60
 #: Members of a bucket in a block of the second pass.
 BLOCK = 512
 BITS = 4096
+#: A sketch of a text on its way: bucket, text, words of the text, places of the two k-mers in 256ths of the text.
+ENTRY = np.dtype([("key", "<i8"), ("h", "<i8"), ("n", "<i4"), ("first", "u1"), ("second", "u1")])
+#: Bytes of entries that a task holds before it sends them, and that meet in a group on average.
+SENT, MET = 32 << 20, 16 << 20
 
 
 class WordHashes:
@@ -81,10 +89,15 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
     return value
 
 
+@lru_cache(maxsize=8)
+def _hashers(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(seed)
+    return tuple(r.integers(0, 2**63, (count, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
 def sketches(kmers: np.ndarray, count: int, seed: int = 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each sketch its key and the places in the text of its two k-mers of least hash; a text of one k-mer takes it twice."""
-    r = np.random.default_rng(seed)
-    salts, odds = (r.integers(0, 2**63, (count, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    salts, odds = _hashers(count, seed)
     one, two = np.zeros(count, np.int64), np.zeros(count, np.int64)
     if len(kmers) > 1:
         step = max(1, (1 << 19) // len(kmers))  # sketches at once, so that long texts take no more memory
@@ -176,63 +189,180 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return bounded_distance(a, b, most) <= most
 
 
-_PREPARED = pa.schema([("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("words", pa.binary()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("second", pa.list_(pa.int32()))])
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """Adds ``__sig1`` and ``__sig2``, hashes of all columns, by which rows are found again."""
-    columns = [F.to_json(F.col(f"`{c.replace('`', '``')}`")) if kind.startswith(("map", "variant")) else F.col(f"`{c.replace('`', '``')}`") for c, kind in docs.dtypes]
-    return docs.select("*", F.xxhash64(*columns).alias("__sig1"), F.xxhash64(F.lit(41), *columns).alias("__sig2"))
+def _signed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Adds two hashes of all columns, called ``names``, by which rows are found again."""
+    columns = [F.to_json(quoted(c)) if kind.startswith(("map", "variant")) else quoted(c) for c, kind in docs.dtypes]
+    return docs.select("*", F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit(41), *columns).alias(names[1]))
 
 
-def _prepared(docs: DataFrame, threshold: float, k: int, count: int) -> DataFrame:
-    """Fingerprint of the words, the words' hashes and the sketches of each text."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """Fingerprint (h, g) of the words, their number and hashes. A copy that the same task has met lacks the hashes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
 
         def one(text: str | None):
             if text is None:
-                return None, 0, None, None, None, None, None
+                return None, None, 0, None
             words = _WORD.findall(text.lower())
-            if not words:
-                return blake2b(b"\0" + text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), 0, b"", [], [], [], []
-            fp = blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            ids = hashes(words)
-            if fp in met:  # its sketches are there already
-                return fp, len(words), None, None, None, None, None
+            whole = " ".join(words) if words else "\0" + text
+            h, g = struct.unpack("<qq", blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            if not words or (h, g) in met:
+                return h, g, len(words), None
             if len(met) > 200_000:
                 met.clear()
-            met.add(fp)
-            return fp, len(words), ids.astype("<u4").tobytes(), word_bits(ids), *all_sketches(ids, threshold, k, count)
+            met.add((h, g))
+            return h, g, len(words), hashes(words).astype("<u4").tobytes()
 
         def rows():
             for part in parts:
                 for doc_id, sig1, sig2, text in zip(*(c.to_pylist() for c in part.columns)):
                     yield doc_id, sig1, sig2, *one(text)
 
-        yield from batches(rows(), _PREPARED, lambda row: len(row[5] or b"") + 16 * len(row[7] if row[7] is not None else ()))
+        yield from batches(rows(), _TEXTS, lambda row: len(row[6] or b"") + 48)
+
+    sigs = free_names(docs.columns, "__sig1", "__sig2")
+    own = _signed(docs, sigs).select(F.col("doc_id").cast("long"), *sigs, F.col("text").cast("string"))
+    return own.mapInArrow(run, "doc_id long, sig1 long, sig2 long, h long, g long, n int, words binary")
+
 
-    own = _signed(docs).select(F.col("doc_id").cast("long"), "__sig1", "__sig2", F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, sig1 long, sig2 long, fp binary, n int, words binary, bits array<long>, keys array<long>, first array<int>, second array<int>")
+def entries_of(h: int, words: np.ndarray, threshold: float, k: int, count: int) -> np.ndarray:
+    """The sketches of a text as ``ENTRY``."""
+    key, first, second = all_sketches(words.astype(np.uint64), threshold, k, count)
+    out = np.empty(len(key), ENTRY)
+    out["key"], out["h"], out["n"] = key, h, len(words)
+    out["first"], out["second"] = first * 256 // len(words), second * 256 // len(words)
+    return out
+
+
+def fits(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether an alignment through the two k-mers that sketches share can be inside the band; the places' rounding counts for it."""
+    x, y = ({"n": e["n"].astype(float), "first": (e["first"] + 0.5) * e["n"] / 256, "second": (e["second"] + 0.5) * e["n"] / 256} for e in (a, b))
+    off = np.abs(x["first"] - y["first"]) + np.abs(x["second"] - x["first"] - y["second"] + y["first"]) + np.abs(x["n"] - x["second"] - y["n"] + y["second"])
+    return (off <= (1 - threshold) * np.maximum(x["n"], y["n"]) + (x["n"] + y["n"]) / 128 + 1e-9) & (np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9)
+
+
+def _fits(a: str, b: str, threshold: float) -> str:
+    """The same in SQL."""
+    first, second = (lambda t, place=place: f"(({t}.{place} + 0.5) * {t}.n / 256)" for place in ("first", "second"))
+    return (
+        f"least({a}.n, {b}.n) >= {threshold!r} * greatest({a}.n, {b}.n) - 1e-9 AND"
+        f" abs({first(a)} - {first(b)}) + abs({second(a)} - {first(a)} - {second(b)} + {first(b)}) + abs({a}.n - {second(a)} - {b}.n + {second(b)})"
+        f" <= {1 - threshold!r} * greatest({a}.n, {b}.n) + ({a}.n + {b}.n) / 128 + 1e-9"
+    )
+
+
+def led(entries: np.ndarray, leads: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of buckets of several texts, in order, each with the least of its bucket.
+
+    ``leads`` (in order of key) names them instead; then all entries are of such buckets.
+    """
+    entries = entries[np.lexsort((entries["h"], entries["key"]))]
+    entries = entries[np.append(True, (entries["key"][1:] != entries["key"][:-1]) | (entries["h"][1:] != entries["h"][:-1]))] if len(entries) else entries
+    if leads is not None:
+        return entries, leads[np.searchsorted(leads["key"], entries["key"])]
+    new = np.flatnonzero(np.append(True, entries["key"][1:] != entries["key"][:-1])) if len(entries) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(entries)))
+    lead = np.repeat(new, size)
+    several = np.repeat(size, size) > 1
+    return entries[several], entries[lead[several]]
+
+
+def _hot_leads(sketched: DataFrame, rows: int, hot_rows: int, make) -> np.ndarray:
+    """An entry for each key that some ``hot_rows`` texts share, from a sample in which such a key shows about 32 times and counts from 16 on.
+
+    At most rows x sketches / (hot_rows / 2) entries of 22 bytes come to the
+    driver: 150 MB for 5 x 10^10 texts. Tables below ``hot_rows`` have none.
+    """
+    if rows <= hot_rows:
+        return np.zeros(0, ENTRY)
+    drawn = sketched.where(F.pmod(F.xxhash64("h", "g", F.lit(77)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 32 / hot_rows)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for h, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                e = make(h, words)
+                yield pa.RecordBatch.from_arrays([pa.array(e["key"]), pa.array([h] * len(e), pa.int64()), pa.array([x.tobytes() for x in e], pa.binary())], names=["key", "h", "data"])
 
+    seen = drawn.select("h", "words").mapInArrow(run, "key long, h long, data binary").groupBy("key").agg(F.count_distinct("h").alias("times"), F.min("data").alias("data")).where("times >= 16")
+    found = np.frombuffer(b"".join(bytes(r.data) for r in seen.select("data").collect()), ENTRY)
+    return found[np.argsort(found["key"])]
 
-def _marked(rows: DataFrame, wanted: DataFrame, keys: list[str], mark: str = "__perhaps") -> DataFrame:
+
+def _members(sketched: DataFrame, rows: int, threshold: float, k: int, miss: float, hot_rows: int) -> DataFrame:
+    """Buckets of several texts: key, h, n, first, second and lead, the text to be compared with (null where none can be).
+
+    Entries are dealt by key and packed, so a task sends a row for each group,
+    not for each sketch. Buckets that a sample shows to be hot are not gathered
+    at all: their leads are known everywhere.
+    """
+    count = sketches_needed(threshold, k, miss)
+    groups = max(64, -(-rows * count * ENTRY.itemsize // MET))
+
+    def make(h: int, words: bytes) -> np.ndarray:
+        return entries_of(h, np.frombuffer(words, "<u4"), threshold, k, count)
+
+    leads = sketched.sparkSession.sparkContext.broadcast(_hot_leads(sketched, rows, hot_rows, make))
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        hot = leads.value["key"]
+
+        def flush():
+            own = np.concatenate(held)
+            held.clear()
+            bag = ((own["key"].view(np.uint64) >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+            if len(hot):
+                near = np.minimum(np.searchsorted(hot, own["key"]), len(hot) - 1)
+                bag = np.where(hot[near] == own["key"], -1 - own["h"] % groups, bag)
+            order = np.argsort(bag, kind="stable")
+            own, bag = own[order], bag[order]
+            starts = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
+            ends = np.append(starts[1:], len(bag))
+            yield from batches(((int(bag[a]), own[a:b].tobytes()) for a, b in zip(starts, ends)), pa.schema([("bag", pa.int64()), ("data", pa.binary())]), lambda row: len(row[1]))
+
+        size = 0
+        for part in parts:
+            for h, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                held.append(make(h, words))
+                size += held[-1].nbytes
+                if size > SENT:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        entries = np.frombuffer(b"".join(table.column("data").to_pylist()), ENTRY)
+        own, lead = led(entries, leads.value if key[0].as_py() < 0 else None)
+        alone = (own["h"] == lead["h"]) | ~fits(own, lead, threshold)
+        return pa.table({"key": own["key"], "h": own["h"], "n": own["n"], "first": own["first"].astype(np.int16), "second": own["second"].astype(np.int16), "lead": pa.array(lead["h"], mask=alone)})
+
+    sent = sketched.select("h", "words").mapInArrow(send, "bag long, data binary")
+    return stored(sent.groupBy("bag").applyInArrow(meet, "key long, h long, n int, first short, second short, lead long"), "buckets")
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, keys: list[str], mark: str) -> DataFrame:
     """Adds whether a row's keys are perhaps in ``wanted``: never false for one that is. A filter of 512 bitmaps of 4 KB each, whatever the number of rows."""
-    spot = F.pmod(F.xxhash64(*keys), F.lit(512 * 32768))
-    maps = wanted.select(F.bitmap_bucket_number(spot).alias("__map"), F.bitmap_bit_position(spot).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    joined = rows.withColumns({"__map": F.bitmap_bucket_number(spot), "__bit": F.bitmap_bit_position(spot)}).join(F.broadcast(maps), "__map", "left")
-    bit = F.expr("cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(__bit % 8 as int) & 1")
-    return joined.withColumn(mark, F.coalesce(bit == 1, F.lit(False))).drop("__map", "__bit", "__bits")
+    spot = F.pmod(F.xxhash64(*map(quoted, keys)), F.lit(512 * 32768))
+    bucket, bit, bits = free_names(rows.columns, "__map", "__bit", "__bits")
+    maps = wanted.select(F.bitmap_bucket_number(spot).alias(bucket), F.bitmap_bit_position(spot).alias(bit)).groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias(bits))
+    joined = rows.withColumns({bucket: F.bitmap_bucket_number(spot), bit: F.bitmap_bit_position(spot)}).join(F.broadcast(maps), bucket, "left")
+    found = F.expr(f"cast(conv(hex(substring({bits}, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int) >> cast({bit} % 8 as int) & 1")
+    return joined.withColumn(mark, F.coalesce(found == 1, F.lit(False))).drop(bucket, bit, bits)
 
 
-def _perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose fp is in ``wanted``, and a few others: keeps most texts that no pair needs out of the shuffle."""
-    return _marked(rows, wanted, ["fp"]).where("__perhaps").drop("__perhaps")
+def _held(sketched: DataFrame, heads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, h and words of the texts whose h is in ``wanted``, and a few others: keeps most texts that no pair needs out of the shuffle."""
+    near = _marked(sketched.select("row", "h", "words"), wanted, ["h"], "__perhaps").where("__perhaps").select(F.col("row").alias("id"), "h", "words")
+    return stored(near.join(heads.select("id"), "id", "left_semi"), "words")
 
 
-def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) that an alignment confirms, as src and dst."""
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of h those that an alignment confirms, as ids src and dst."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -240,56 +370,139 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             good = [similar(np.frombuffer(p.as_buffer(), "<u4"), np.frombuffer(q.as_buffer(), "<u4"), threshold) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([a, b], names=["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    held = stored(_perhaps_in(words, needed).join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
-    joined = pairs.join(held.select(F.col("fp").alias("a"), F.col("words").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("words").alias("y")), "b")
-    return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "src binary, dst binary"), "edges")
+    joined = pairs.join(held.select(F.col("h").alias("a"), F.col("id").alias("src"), F.col("words").alias("x")), "a")
+    joined = joined.join(held.select(F.col("h").alias("b"), F.col("id").alias("dst"), F.col("words").alias("y")), "b").where("src <> dst")
+    return stored(joined.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"), "edges")
 
 
-def _fits(a: str, b: str, threshold: float) -> str:
-    """SQL: an alignment through the two k-mers that the sketches share can be inside the band."""
-    return (
-        f"abs({a}.first - {b}.first) + abs(({a}.second - {a}.first) - ({b}.second - {b}.first)) + abs(({a}.n - {a}.second) - ({b}.n - {b}.second))"
-        f" <= {1 - threshold!r} * greatest({a}.n, {b}.n) + 1e-9"
-    )
+def _named(members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components, with id and label."""
+    ids = heads.select("h", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
+    named = stored(members.select("key", "h", "n", "first", "second").join(ids, "h"), "named")
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return stored(named.join(several, "key", "left_semi"), "open", named)
 
 
-#: SQL orders; the first member of a bucket by each is held against the others in turn.
-_LEADS = ("fp", "reverse(hex(fp))", "xxhash64(fp)")
+def _sided(open_: DataFrame) -> DataFrame:
+    """Adds to the members whether they are ``inside`` the largest component of their bucket, and the blocks of both sides."""
+    main = open_.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = main.select("key", "main", blocks(F.col("most")).alias("large"), blocks(F.col("all") - F.col("most")).alias("small"))
+    return stored(open_.join(sizes, "key").withColumn("inside", F.col("label") == F.col("main")).drop("main"), "sided", open_)
 
 
-def _still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members under their components now, of the buckets that hold several."""
-    named = stored(members.drop("label").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
-    found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return stored(named.join(found, "key", "left_semi"), "open")
+def _against_main(sided: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of h: each member outside the largest component with one inside, chosen by a hash of text and bucket, so that many are met over all buckets."""
+    leads = sided.where("inside").groupBy("key").agg(F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead"))
+    met = sided.where("NOT inside").alias("m").join(leads, "key").where(_fits("lead", "m", threshold))
+    return met.select(F.least("m.h", "lead.h").alias("a"), F.greatest("m.h", "lead.h").alias("b")).distinct()
 
 
-def _joined_up(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Components after more edges."""
-    if labels is None:
-        return connected_components(edges)
-    if edges.isEmpty():
-        return labels
-    return connected_components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).union(edges))
+def _bits(held: DataFrame) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            bits = [word_bits(np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64)).tobytes() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary())], names=["id", "bits"])
+
+    return held.select("id", "words").mapInArrow(run, "id long, bits binary")
+
+
+def pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i before j, of all pairs of rows inside each of some groups that lie one behind another; about ``most`` pairs at a time."""
+    first = np.repeat(starts + sizes, sizes)  # the end of each row's group
+    rows = np.arange(int(sizes.sum())) + (starts[0] if len(starts) else 0)
+    after = first - rows - 1
+    at, total = 0, np.concatenate([[0], np.cumsum(after)])
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+        n = after[at:upto]
+        i = np.repeat(rows[at:upto], n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = upto
+
 
+def alike_pairs(block: dict[str, np.ndarray], keys: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of members that share a block, are of different components, and may be alike by size, places and words; each pair only in the least bucket that both share.
 
-def _few_other_words(a: str, b: str, threshold: float) -> str:
-    """SQL: no more bits of either text are missing from the other than edits are allowed."""
-    lacks = lambda x, y: f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p & ~q)), 0, (s, c) -> s + c)"
-    return f"greatest({lacks(a, b)}, {lacks(b, a)}) <= {1 - threshold!r} * greatest({a}.n, {b}.n) + 1e-9"
+    ``block`` holds columns in order of (key, kind, b0, b1). Kind 0 is of
+    members inside the largest component and others, which pair across; in
+    kind 1 two blocks pair across, one with itself.
+    """
+    names = ("key", "kind", "b0", "b1")
+    new = np.flatnonzero(np.append(True, np.any([block[c][1:] != block[c][:-1] for c in names], axis=0)))
+    for i, j in pairs_within(new, np.diff(np.append(new, len(block["key"])))):
+        take = (block["label"][i] != block["label"][j]) & np.where(block["kind"][i] == 0, block["inside"][i] != block["inside"][j], (block["own"][i] != block["own"][j]) | (block["b0"][i] == block["b1"][i]))
+        i, j = i[take], j[take]
+        take = fits({c: block[c][i] for c in ("n", "first", "second")}, {c: block[c][j] for c in ("n", "first", "second")}, threshold)
+        i, j = i[take], j[take]
+        kept = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 14):  # a word that the other lacks costs an edit
+            x, y = block["bits"][i[at : at + (1 << 14)]], block["bits"][j[at : at + (1 << 14)]]
+            lacks = np.maximum(np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            n = np.maximum(block["n"][i[at : at + len(x)]], block["n"][j[at : at + len(x)]])
+            kept[at : at + len(x)] = lacks <= (1 - threshold) * n + 1e-9
+        i, j = i[kept], j[kept]
+        sets: dict[int, set] = {}
+        least = np.zeros(len(i), bool)
+        for k, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+            if q not in sets:
+                sets[q] = set(keys[q].tolist())
+            least[k] = next(x for x in keys[p].tolist() if x in sets[q]) == block["key"][p]
+        yield i[least], j[least]
+
+
+def _across(sided: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of h that share a bucket and are of different components, and may be alike.
+
+    The largest component of a bucket meets the others, and these each other,
+    block by block; its own members do not meet again. Blocks are dealt by
+    themselves, so a hot bucket is the work of many tasks.
+    """
+    rows = sided.agg(F.sum(F.when(F.col("inside"), F.col("small")).otherwise(F.col("large") + F.col("small")))).first()[0] or 0
+    bags = max(64, -(-rows * 1500 // MET))
+    shared = sided.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # no more than the sketches of a text
+    mixed = sided.join(_bits(held).join(shared, "id"), "id")
+    mixed = mixed.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("large")).otherwise(F.col("small"))).cast("int"))
+    place = lambda kind, x, y: f"named_struct('kind', {kind}, 'b0', {x}, 'b1', {y})"
+    upto = lambda n, made: f"transform(sequence(0, {n} - 1), j -> {made})"
+    places = f"CASE WHEN inside THEN {upto('small', place(0, 'j', 'own'))} ELSE concat({upto('large', place(0, 'own', 'j'))}, {upto('small', place(1, 'least(own, j)', 'greatest(own, j)'))}) END"
+    dealt = mixed.withColumn("place", F.explode(F.expr(places))).select("key", "place.*", "inside", "own", "h", "n", "first", "second", "label", "bits", "keys")
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("key", "kind", "b0", "b1")]).combine_chunks()
+        block = {c: table.column(c).to_numpy() for c in ("key", "kind", "b0", "b1", "inside", "own", "h", "n", "first", "second", "label")}
+        block["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(len(table), -1)
+        lists = table.column("keys").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        found = list(alike_pairs(block, np.split(flat, ends[:-1]), threshold))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(block["h"][i], block["h"][j]), "b": np.maximum(block["h"][i], block["h"][j])})
+
+    bag = F.pmod(F.xxhash64("key", "kind", "b0", "b1"), F.lit(bags))
+    return dealt.withColumn("bag", bag).groupBy("bag").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _joined_up(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges; ``labels`` go if there are others."""
+    if edges.isEmpty():
+        drop(edges)
+        return labels
+    joined = connected_components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).union(edges))
+    drop(labels, edges)
+    return joined
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: float = 1e-3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: float = 1e-3, hot_rows: int = 3_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_rows, kept, sig1, sig2.
 
-    ``docs`` needs doc_id and text; the other columns only tell rows apart.
-    Texts are compared as lower-case words. Two are near-duplicates if their
-    word edit similarity is ``threshold`` or more; candidates are texts that
-    share one of the sketches of two k-mers each, as many as leave a pair at
-    ``threshold`` unfound with probability ``miss``. A class is a
-    component of these links, class_id its least doc_id, and the row that has
-    it is kept (of rows that repeat it, one).
+    ``docs`` needs doc_id and text; the other columns, whatever their names,
+    only tell rows apart. Texts are compared as lower-case words. Two are
+    near-duplicates if their word edit similarity is ``threshold`` or more;
+    candidates are texts that share one of the sketches of two k-mers each, as
+    many as leave a pair at ``threshold`` unfound with probability ``miss``. A
+    class is a component of these links, class_id its least doc_id, and the row
+    that has it is kept (of rows that repeat it, one). Buckets of more than
+    about ``hot_rows`` texts are not gathered in one task.
 
     Null texts link with nothing and are kept. Texts without words, the empty
     one among them, are alike if they are equal. Texts of at most ``SHORT``
@@ -297,43 +510,35 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: f
     none but null doc_ids has a null class_id. An empty table gives no rows.
     Texts are taken whole; no bucket, class or candidate list is capped.
     """
-    rows = stored(_prepared(docs, threshold, k, sketches_needed(threshold, k, miss)).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    sketched = rows.where("size(keys) > 0")
-    # The many buckets of one text are found by small rows: a 64-bit hash in place of the fingerprint, the row's number in place of what it holds. They are shuffled once.
-    buckets = sketched.select("row", F.xxhash64("fp").alias("hash"), F.explode(F.arrays_zip("keys", "first", "second")).alias("s")).select("row", "hash", F.col("s.keys").alias("key"), (F.shiftleft(F.col("s.first").cast("long"), 32) + F.col("s.second")).alias("places"))
-    whole = Window.partitionBy("key")
-    several = buckets.withColumns({"low": F.min("hash").over(whole), "top": F.max("hash").over(whole)}).where("low < top")
-    shared = several.select("key", "row", F.shiftright("places", 32).cast("int").alias("first"), F.col("places").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("second"))
-    members = stored(shared.join(sketched.select("row", "fp", "n"), "row").select("fp", "n", "key", "first", "second").distinct(), "buckets")
-    words = sketched.select("fp", "words")
-    labels, tried, open_ = None, None, members.withColumn("label", F.col("fp"))
-    for lead in _LEADS:  # each bucket's members against one of them
-        leads = open_.groupBy("key").agg(F.min_by(F.struct("fp", "label", "n", "first", "second"), F.expr(lead)).alias("lead"))
-        pairs = open_.alias("m").join(leads, "key").where("m.fp <> lead.fp AND m.label <> lead.label").where(_fits("lead", "m", threshold))
-        pairs = pairs.select(F.least("m.fp", "lead.fp").alias("a"), F.greatest("m.fp", "lead.fp").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = _joined_up(labels, _verified(pairs, words, threshold))
-        open_ = _still_mixed(open_, labels)  # buckets that are whole stay so
-    # All pairs across the components that a bucket still holds, each at the least key that they share.
-    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    marks = _perhaps_in(sketched.select("fp", "bits", "keys"), open_.select("fp").distinct()).dropDuplicates(["fp"])
-    mixed = open_.select("key", "fp", "n", "label").join(sizes, "key").join(marks, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b0": F.least("own", "other"), "b1": F.greatest("own", "other")}).drop("other", "blocks")
-    a, b = dealt.alias("a"), dealt.alias("b")
-    met = F.expr(
-        "a.key = b.key AND a.b0 = b.b0 AND a.b1 = b.b1 AND a.fp < b.fp AND a.label <> b.label AND (a.own <> b.own OR a.b0 = a.b1)"
-        " AND a.key = array_min(array_intersect(a.keys, b.keys))"
-        f" AND least(a.n, b.n) >= {threshold!r} * greatest(a.n, b.n) - 1e-9 AND " + _few_other_words("a", "b", threshold)
-    )
-    across = a.join(b, met).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    labels = _joined_up(labels, _verified(stored(across.join(tried, ["a", "b"], "left_anti"), "pairs"), words, threshold))
-    texts = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
-    classed = texts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    heads = classed.groupBy("label").agg(F.min("least").alias("head"), F.sum("copies").alias("class_rows"))
-    found = classed.select("fp", "label").join(heads, "label").select("fp", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"), "class_rows")
-    alone = F.col("fp").isNull()
-    return rows.select("doc_id", "sig1", "sig2", "fp", "row").join(found, "fp", "left").select(
+    rows = stored(_texts(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    heads = stored(rows.where("h IS NOT NULL").groupBy("h", "g").agg(F.min(least).alias("least"), F.count("*").alias("copies"), F.coalesce(F.min(F.when(F.col("words").isNotNull(), F.col("row"))), F.min("row")).alias("id")), "heads")
+    sketched = rows.where("words IS NOT NULL")
+    members = _members(sketched, sketched.count(), threshold, k, miss, hot_rows)
+    # Each bucket's members against the least of them.
+    pairs = stored(members.where("lead IS NOT NULL").select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b")).distinct(), "pairs")
+    held = _held(sketched, heads, pairs.select(F.explode(F.array("a", "b")).alias("h")))
+    edges = _verified(pairs, held, threshold)
+    labels = connected_components(edges)
+    drop(held, edges)
+    # The members of those that are not whole against one of the largest component.
+    sided = _sided(_named(members, heads, labels))
+    drop(members)
+    held = _held(sketched, heads, sided.select("h"))
+    more = stored(_against_main(sided, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    labels = _joined_up(labels, _verified(more, held, threshold))
+    # All pairs across the components that a bucket still holds.
+    before, sided = sided, _sided(_named(sided, heads, labels))
+    drop(before)
+    tried = stored(pairs.union(more), "pairs", pairs, more)
+    last = stored(_across(sided, held, threshold).join(tried, ["a", "b"], "left_anti"), "pairs", tried, sided)
+    labels = _joined_up(labels, _verified(last, held, threshold))
+    drop(last, held)
+    classed = heads.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    classes = classed.groupBy("label").agg(F.min("least").alias("head"), F.sum("copies").alias("class_rows"))
+    found = stored(classed.select("h", "g", "label").join(classes, "label").select("h", "g", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"), "class_rows"), "classes", heads, labels)
+    alone = F.col("h").isNull()
+    result = rows.drop("words").join(found, ["h", "g"], "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_rows")).cast("long").alias("class_rows"),
@@ -341,17 +546,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: f
         "sig1",
         "sig2",
     )
+    return stored(result, "result", rows, found)
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: float = 1e-3) -> DataFrame:
-    """The kept rows of ``docs`` with their columns. Of rows alike in every column one stays, but all with a null text do.
+    """The kept rows of ``docs`` with their columns, whatever their names. Of rows alike in every column one stays, but all with a null text do.
 
     Only rows that share the hashes of a row that goes, or a bit of the filter
-    with one, are shuffled; the others stay where they are.
+    with one, are shuffled; the others stay where they are. An empty table gives none.
     """
-    sigs = ["__sig1", "__sig2"]
-    found = stored(near_duplicates(docs, threshold, k, miss).select("kept", F.col("sig1").alias("__sig1"), F.col("sig2").alias("__sig2")), "kept")
-    marked = _marked(_signed(docs), found.where("NOT kept").select(*sigs), sigs).withColumn("__perhaps", F.col("__perhaps") & F.col("text").isNotNull())
-    unsure = marked.where("__perhaps").join(found.where("kept").select(*sigs).distinct(), sigs, "left_semi").dropDuplicates(sigs)
-    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    return marked.where("NOT __perhaps").select(*names).unionByName(unsure.select(*names))
+    sigs, mark = free_names(docs.columns, "__sig1", "__sig2"), free_names(docs.columns, "__perhaps")[0]
+    found = near_duplicates(docs, threshold, k, miss).select("kept", F.col("sig1").alias(sigs[0]), F.col("sig2").alias(sigs[1]))
+    marked = _marked(_signed(docs, sigs), found.where("NOT kept").select(*sigs), sigs, mark).withColumn(mark, quoted(mark) & F.col("text").isNotNull())
+    unsure = marked.where(quoted(mark)).join(found.where("kept").select(*sigs).distinct(), sigs, "left_semi").dropDuplicates(sigs)
+    names = [quoted(c) for c in docs.columns]
+    return marked.where(~quoted(mark)).select(*names).unionByName(unsure.select(*names))

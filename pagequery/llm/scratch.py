@@ -5,39 +5,92 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders of sessions on one machine that name none, by application.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (single-machine tests) a local folder takes its place."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a local folder; on a cluster that raises, as executors could not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pagequery-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that the driver and all executors share")
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="pagequery-shared-")
+    return _local[app]
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; it goes when the application ends."""
-    root = f"{shared_dir(spark)}/pagequery-{spark.sparkContext.applicationId}"
-    path = f"{root}/{tag}-{uuid.uuid4().hex}"
+def _at(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path below the shared folder; it goes when the application ends, if not before."""
+    target, store = _at(spark, f"{shared_dir(spark)}/pagequery-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}")
     store.deleteOnExit(target)
     return re.sub("^file:/+", "file:///", store.makeQualified(target).toString())
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a working table that no later step reads."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside are deleted when it ends: what it wrote is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with suppress(PySparkException):  # a Spark without this setting leaves it to its cleaner
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        with suppress(PySparkException):
+            spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
 
+def stored(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: this cuts the lineage, and a lost executor costs no recomputation.
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: this cuts the lineage, and a lost executor costs no recomputation."""
+    ``done`` are stored tables that nothing reads from here on; they are deleted.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    drop(*done)
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that no later step reads."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            target, store = _at(table.sparkSession, path)
+            store.delete(target, True)
+            table._stored_at = None
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many more underscores as it takes to differ from all column names in ``taken``."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
