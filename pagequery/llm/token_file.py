@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import new_path, stored
@@ -180,8 +180,8 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
     """Tokenizes every whole text and writes token files in ascending order of doc_id.
 
     ``docs`` needs doc_id and text; other columns, whatever their names, are not
-    read. Returns one row per file: path, start (ids before the file), n_docs,
-    n_tokens. ``folder`` is a URI that pyarrow can write (default: a new one in
+    read. Returns a table of one row per file: path, start (ids before the
+    file), n_docs, n_tokens. ``folder`` is a URI that pyarrow can write (default: a new one in
     the shared folder).
 
     Null texts count as empty: only the end id. Null doc_ids come first. Rows
@@ -218,9 +218,8 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
             writer.close()
             out.close()
             store.move(attempt, name)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task.partitionId()], pa.int64()), pa.array([name]), pa.array([len(writer.counts)], pa.int64()), pa.array([sum(writer.counts)], pa.int64())], names=["part", "path", "n_docs", "n_tokens"]
-            )
+            found = [pa.array([task.partitionId()], pa.int64()), pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), pa.array([len(writer.counts)], pa.int64()), pa.array([sum(writer.counts)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, names=["part", "path", "n_docs", "n_tokens"])
 
     files = (
         tokens.repartitionByRange(max(1, -(-total // tokens_per_file)), F.asc_nulls_first("doc_id"), "tie")
@@ -228,11 +227,9 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
         .select("doc_id", "wide", "ids")
         .mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
     )
-    start, rows = 0, []
-    for f in sorted(files.collect(), key=lambda f: f.part):  # a row for each file
-        rows.append((f"{folder}/{f.path.rsplit('/', 1)[1]}", start, f.n_docs, f.n_tokens))
-        start += f.n_tokens
-    return spark.createDataFrame(rows, "path string, start long, n_docs long, n_tokens long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    start = F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")
+    return stored(files, "manifest", tokens).select("path", start, "n_docs", "n_tokens")
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
