@@ -245,6 +245,23 @@ def template_sizes(spark, sf):
     return extract.representatives(extract.templates(_t(spark, sf, "pages"))).select("domain", "url", "pages")
 
 
+@_query("SELECT p_brand, count(*)::BIGINT AS cards, min(p_partkey)::BIGINT AS first, list_sort(list(p_name))[1] AS name FROM part GROUP BY 1")
+def xpath_scalars(spark, sf):
+    """Functions and attributes by paths that the JVM evaluates."""
+    found = _cards(spark, sf).select("p_brand", P.xpath_values(F.col("html"), "count(//article)")[0].alias("n"), P.xpath_values(F.col("html"), "//article[1]/@data-key")[0].alias("k"), P.xpath_values(F.col("html"), "//h2/text()").alias("names"))
+    return found.select("p_brand", F.col("n").cast("double").cast("long").alias("cards"), F.col("k").cast("long").alias("first"), F.array_min("names").alias("name"))
+
+
+@_query(f"SELECT p_brand, 'large ' || p_partkey AS key FROM {_RANKED} WHERE p_size > 10 AND (rn = n OR rn <= 2) UNION ALL SELECT p_brand, 'before ' || p_partkey FROM {_RANKED} WHERE rn = n - 1")
+def xpath_axes(spark, sf):
+    """Siblings, parents, comparisons and connected rules."""
+    pages = _cards(spark, sf).withColumn("html", F.regexp_replace("html", r'"price">\$', '"price">'))
+    large = P.select_values(F.col("html"), "//article[position() = last() or position() <= 2]/span[. > 10 and not(@id)]/../@data-key")
+    before = P.select_values(F.col("html"), "//article[last()]/preceding-sibling::article[1]/@data-key")
+    told = lambda found, word: pages.select("p_brand", F.explode(found).alias("k")).select("p_brand", F.concat(F.lit(word + " "), "k").alias("key"))
+    return told(large, "large").unionByName(told(before, "before"))
+
+
 # Strings.
 
 
@@ -487,6 +504,22 @@ def healed_extraction(spark, sf):
     return rows.where("_error IS NULL").select("p_brand", F.col("pos").cast("long").alias("pos"), "name", "price")
 
 
+def _cleaning_model(told: str, view: str) -> str:
+    """Stands for a model that cleans: JSON for some pages, plain text for others, nothing for the rest."""
+    name = re.findall("<h1>([^<]*)</h1>", view)[0]
+    key = int(re.findall(r"\d+", name)[0]) % 3
+    return ('{"heading": "' + name + '", "items": ["one", "two"]}', f"# {name}\n- one\n- two", "")[key]
+
+
+@_query("SELECT s_suppkey, s_name AS heading, CASE WHEN k < 2 THEN 'one;two' ELSE 'own text' END AS items, CASE WHEN k < 2 THEN 'model' ELSE 'rules' END AS by FROM (SELECT *, regexp_extract(s_name, '\\d+')::BIGINT % 3 AS k FROM supplier)")
+def model_cleaned(spark, sf):
+    """Pages cleaned by a model, in JSON or plain text, and by rules where it says nothing."""
+    html = F.concat(F.lit("<html><body><h1>"), "s_name", F.lit("</h1><p>own text</p></body></html>"))
+    made = learn.clean_pages(_t(spark, sf, "supplier").select("s_suppkey", html.alias("html")), "auto", _cleaning_model)
+    items = F.filter("cleaned.items", lambda x: (x != F.col("cleaned.heading")) & ~F.startswith(x, F.lit("#")))
+    return made.select("s_suppkey", "cleaned.heading", F.array_join(items, ";").alias("items"), F.col("cleaned_by").alias("by"))
+
+
 class _Refused(Exception):
     def __init__(self, status_code: int):
         super().__init__(status_code)

@@ -9,6 +9,7 @@ empty page.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from html import escape
@@ -157,6 +158,24 @@ class Page:
                 stack.extend((c, n.tag in ("script", "style")) for c in reversed(n.content))
         return "".join(out)
 
+    def xml(self) -> str:
+        """The whole tree as well-formed XML; names and characters that XML forbids are left out, an element of a forbidden name is a ``span``."""
+        out: list[str] = []
+        good = re.compile(r"[A-Za-z_][\w.-]*")
+        plain = lambda text: escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\ud800-\udfff]", "", text))
+        stack: list[int | str] = [0] if self.nodes else []
+        while stack:
+            top = stack.pop()
+            if isinstance(top, str):
+                out.append(top)
+                continue
+            n = self.nodes[top]
+            tag = n.tag if good.fullmatch(n.tag) else "span"
+            out.append(f"<{tag}" + "".join(f' {k}="{plain(v or "")}"' for k, v in n.attrs.items() if good.fullmatch(k) and not k.lower().startswith("xmlns")) + ">")
+            stack.append(f"</{tag}>")
+            stack.extend(c if isinstance(c, int) else plain(c) for c in reversed(n.content))
+        return "".join(out)
+
     def xpath(self, node: Node) -> str:
         """Canonical path; an index only where siblings share the tag."""
         if self._places is None:  # of all elements at once, so that a long listing costs no more than its length

@@ -58,6 +58,21 @@ def select_values(html: Column, selector: str) -> Column:
     return _udf("array<string>", run)(html)
 
 
+_SCALAR = re.compile(r"\s*(count|string|sum|number|boolean|concat|normalize-space|string-length|substring|substring-before|substring-after|translate|not|contains|starts-with|floor|ceiling|round|name|local-name)\(")
+
+
+def well_formed(html: Column) -> Column:
+    """The page as XML: every element closed, names that XML forbids left out."""
+    return _udf("string", lambda h: Page(h).xml())(html)
+
+
+def xpath_values(html: Column, path: str) -> Column:
+    """Attributes and texts that any XPath 1.0 path finds, or the one value of a function, by the JVM's own evaluator. Null or empty pages, and elements without ``text()``, give none."""
+    xml = well_formed(html)
+    value = F.array(F.xpath_string(xml, F.lit(path))) if _SCALAR.match(path) else F.filter(F.xpath(xml, F.lit(path)), lambda v: v.isNotNull())
+    return F.when(F.coalesce(xml, F.lit("")) == "", F.array().cast("array<string>")).otherwise(value)
+
+
 def first_of(html: Column, selectors: Sequence[str]) -> Column:
     """Fallback chain: values of the first selector that yields any text; selectors that fail are skipped."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -103,6 +104,45 @@ def extract_pages(
     return typed(first.where("_error IS NULL")).unionByName(typed(second)), upsert_plans(plans, learned), asked.withColumnRenamed("_why", "error")
 
 
+def clean_pages(pages: DataFrame, strategy: str = "rules", client: ModelClient | None = None) -> DataFrame:
+    """Adds ``cleaned`` (see ``pages.clean``) and ``cleaned_by``.
+
+    ``rules`` is the engine's own cleaning, ``model`` asks the client for a
+    heading and items, as JSON or else plain text with marks, ``auto`` asks if
+    there is a client. A page for which the model fails or says nothing is
+    cleaned by rules.
+    """
+    if strategy not in ("rules", "model", "auto") or (strategy == "model" and client is None):
+        raise ValueError(f"unknown strategy, or no client for it: {strategy}")
+    base = pages.withColumn("cleaned", clean(F.col("html")))
+    if strategy == "rules" or client is None:
+        return base.withColumn("cleaned_by", F.lit("rules"))
+    told = 'Answer with JSON: {"heading": "...", "items": ["..."]}, the text of this page that a reader needs.'
+
+    @F.pandas_udf("struct<heading:string,markdown:string,items:array<string>,flat_json:string>")
+    def asked(html: pd.Series) -> pd.DataFrame:
+        def one(h):
+            try:
+                answer = client(told, (h or "")[:MAX_BODY]).strip()
+            except Exception:  # the rules stand in
+                answer = ""
+            found = first_object(answer) or {}
+            heading, items = str(found.get("heading") or ""), [str(i) for i in found.get("items") or [] if str(i).strip()]
+            if not items and answer and not found:
+                lines = [x.strip() for x in answer.splitlines() if x.strip()]
+                heading = next((x.lstrip("# ") for x in lines if x.startswith("#")), "")
+                items = [x.lstrip("-* ") for x in lines if not x.startswith("#")]
+            text = "\n\n".join([f"# {heading}"] * bool(heading) + [f"- {i}" for i in items])
+            flat = json.dumps({"heading": heading, "items": items}, ensure_ascii=False)
+            return (heading, text, items, flat) if items else (None, None, None, None)
+
+        return pd.DataFrame([one(h) for h in html], columns=["heading", "markdown", "items", "flat_json"])
+
+    both = base.withColumn("_m", asked("html")).withColumn("cleaned_by", F.when(F.col("_m.items").isNotNull(), "model").otherwise("rules"))
+    picked = [F.coalesce(F.col(f"_m.{c}"), F.col(f"cleaned.{c}")).alias(c) for c in ("heading", "markdown", "items", "flat_json")]
+    return both.withColumn("cleaned", F.struct(*picked, F.col("cleaned.html_excerpt").alias("html_excerpt"))).drop("_m")
+
+
 def heal(
     pages: DataFrame, plans: DataFrame, fields: dict[str, str], client: ModelClient, required: Sequence[str] = (),
     threshold: float | None = None, check: Callable[[pd.DataFrame], bool] | None = None, attempts: int = 2, strict: bool = False, **options,
