@@ -379,21 +379,21 @@ def _named(members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame
     """Members of the buckets that span several components, with id and label."""
     ids = heads.select("h", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
     named = stored(members.select("key", "h", "n", "first", "second").join(ids, "h"), "named")
-    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return stored(named.join(several, "key", "left_semi"), "open", named)
+    several = stored(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "several")  # a table, so that the join can split a hot key
+    return stored(named.join(several, "key", "left_semi"), "open", named, several)
 
 
 def _sided(open_: DataFrame) -> DataFrame:
     """Adds to the members whether they are ``inside`` the largest component of their bucket, and the blocks of both sides."""
     main = open_.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = main.select("key", "main", blocks(F.col("most")).alias("large"), blocks(F.col("all") - F.col("most")).alias("small"))
-    return stored(open_.join(sizes, "key").withColumn("inside", F.col("label") == F.col("main")).drop("main"), "sided", open_)
+    sizes = stored(main.select("key", "main", blocks(F.col("most")).alias("large"), blocks(F.col("all") - F.col("most")).alias("small")), "sizes")
+    return stored(open_.join(sizes, "key").withColumn("inside", F.col("label") == F.col("main")).drop("main"), "sided", open_, sizes)
 
 
 def _against_main(sided: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of h: each member outside the largest component with one inside, chosen by a hash of text and bucket, so that many are met over all buckets."""
-    leads = sided.where("inside").groupBy("key").agg(F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead"))
+    leads = stored(sided.where("inside").groupBy("key").agg(F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead")), "leads")
     met = sided.where("NOT inside").alias("m").join(leads, "key").where(_fits("lead", "m", threshold))
     return met.select(F.least("m.h", "lead.h").alias("a"), F.greatest("m.h", "lead.h").alias("b")).distinct()
 

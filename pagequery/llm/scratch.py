@@ -91,6 +91,11 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns called by their place, for functions over all of them: Spark resolves some names with dots only if they are quoted."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, dots and backticks included."""
     return F.col(f"`{name.replace('`', '``')}`")
