@@ -78,7 +78,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, size: int, with_ids: bool
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: int = 4096, open_bins: int = 4096, group_sequences: int = 3000, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: int = 4096, open_bins: int = 64, group_sequences: int = 3000, group_rows: int = 1_000_000, with_ids: bool = True) -> DataFrame:
     """Packs all documents into sequences of at most ``size`` tokens.
 
     ``docs`` needs doc_id and text; other columns, whatever their names, are not
@@ -89,25 +89,27 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     Documents over ``size`` tokens are cut; a piece of exactly ``size`` tokens
     is a sequence by itself. The rest is dealt by a hash of a row number (not
     of a key, so no key can overfill a group) to groups of about
-    ``group_sequences`` sequences' worth of tokens. A group is packed by itself,
-    so tasks stay of one size however large the corpus; its pieces are fed
-    longest first, ties by row number. Each group leaves about one sequence
-    part empty.
+    ``group_sequences`` sequences' worth of tokens and ``group_rows`` pieces at
+    most on average, so tasks stay of one size however large the corpus and
+    however short its texts. Each group is a stream of its own, in the order of
+    the rows, and has at most ``open_bins`` bins open.
 
     A null text is an empty document of one token, the end id. Null and
     repeated doc_ids are documents like others. An empty table gives no rows.
     """
     pieces = stored(pieces_of(docs, tokenizer or vocabulary_path(), end_id, size, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     loose = pieces.where(F.col("length") < size)
-    tokens = loose.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // (size * group_sequences)))
+    tokens, rows = loose.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-tokens // (size * group_sequences)), -(-rows // group_rows))
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        rows, lengths = table.column("row").to_numpy(), table.column("length").to_numpy()
-        order = np.lexsort((rows, -lengths))
+        numbers, lengths = table.column("row").to_numpy(), table.column("length").to_numpy()
+        order = np.argsort(numbers)
         bins = BestFit(size, open_bins)
-        placed = np.array([bins.place(n) for n in lengths[order].tolist()], np.int64).reshape(-1, 2)
-        return pa.table({"row": rows[order], "sequence_id": (np.int64(key[0].as_py()) << 32) + placed[:, 0], "offset": placed[:, 1]})
+        chosen, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        for k, at in enumerate(order):
+            chosen[k], offset[k] = bins.place(int(lengths[at]))
+        return pa.table({"row": numbers[order], "sequence_id": (np.int64(key[0].as_py()) << 32) + chosen, "offset": offset})
 
     placed = (
         loose.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("bag"))
