@@ -13,7 +13,7 @@ from .packing import pack_documents
 from .secret_forest import scan_secrets
 from .sharding import shard_by_bytes
 from .token_file import read_token_files, write_token_files
-from .warc import build_derivatives, page_responses
+from .warc import build_derivatives, page_responses, read_warc, write_warc
 from .weak_quality import fit_quality, quality_scores
 
 
@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = mix_documents(_table(spark, sf_dir, "documents"))
+    kept = mix_documents(_table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
     return kept.select("doc_id", "source", "lang", F.col("__d2").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__probability").alias("probability"), (1 / F.col("__probability")).alias("weight"))
 
 
@@ -42,7 +42,7 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = page_responses(_table(spark, sf_dir, "pages"))
-    made = build_derivatives(responses)
+    made = read_warc(write_warc(build_derivatives(responses)))
     head = lambda name: F.try_element_at("headers", F.lit(name))
     rows = made.select(
         head("WARC-Refers-To").alias("refers_to"),
@@ -64,7 +64,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))  # ahead of the shuffle, which then moves no text
-    return shard_by_bytes(docs, 40).select(
+    return shard_by_bytes(docs, 40, ["doc_id", "text_crc32"]).select(
         "doc_id",
         F.col("__size").alias("size"),
         "text_crc32",

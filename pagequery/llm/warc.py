@@ -8,12 +8,14 @@ response by WARC-Refers-To and keep its target and date.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -22,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import new_path, stored
 from .token_file import batches
 
 RECORD = "headers map<string,string>, block binary"
@@ -52,6 +54,49 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(n.strip(), v.strip()) for n, c, v in (x.partition(":") for x in lines[1:]) if c], body
 
 
+def unchunked(body: bytes) -> bytes:
+    """The body that a chunked one carries. A body that is not chunked, whatever its header says, stays; of one cut short, what is there."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return b"".join(out) if out else body
+        n = int(size, 16)
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def unpacked(body: bytes, encodings: str) -> bytes | None:
+    """The body without its content encodings (gzip, deflate, br, zstd), the last applied first; None if one is unknown or broken."""
+    for name in reversed([x.strip().lower() for x in encodings.split(",")]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif name == "deflate":  # with or without zlib's frame
+                body = zlib.decompress(body, 15 if body[:1] and body[0] & 15 == 8 else -15)
+            elif name in ("br", "zstd"):
+                body = pa.CompressedInputStream(pa.BufferReader(body), {"br": "brotli"}.get(name, name)).read()
+            elif name not in ("", "identity"):
+                return None
+        except (OSError, EOFError, ValueError, zlib.error):
+            return None
+    return body
+
+
+def agrees(named: str | None, data: bytes) -> bool | None:
+    """Whether a digest field ("algorithm:value", the value in hexadecimal or base 32) is that of the data; None if there is none or its algorithm is unknown."""
+    name, _, value = (named or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    raw = hashlib.new(name, data).digest()
+    return value.strip().upper().rstrip("=") in (raw.hex().upper(), base64.b32encode(raw).decode().rstrip("="))
+
+
 def decoded(body: bytes, content_type: str) -> str:
     """Text of a body: by the charset of the header, else of the page's start, else UTF-8; what can't be decoded becomes U+FFFD."""
     named = _CHARSET.search(content_type.encode()) or _CHARSET.search(body[:2048])
@@ -68,10 +113,20 @@ def plain_text(page: str) -> str:
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The metadata record of a response and, if it holds text, its conversion record."""
-    source = headers.get("WARC-Record-ID", "")
+    """The metadata record of a response and, if it holds text, its conversion record.
+
+    Field names count whatever their case. The payload is the body without its
+    transfer encoding; text is read without its content encoding too. A body
+    in an unknown or broken encoding has no conversion record.
+    """
+    own = {k.lower(): v for k, v in headers.items()}
+    source = own.get("warc-record-id", "")
     status, fields, body = split_http(block)
-    kind = next((v for n, v in fields if n.lower() == "content-type"), "")
+    field = lambda name: next((v for n, v in fields if n.lower() == name), "")
+    kind = field("content-type")
+    if "chunked" in field("transfer-encoding").lower():
+        body = unchunked(body)
+    plain = unpacked(body, field("content-encoding"))
     about: dict = {
         "source_headers": dict(sorted(headers.items())),
         "status": status,
@@ -79,24 +134,24 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
         "block_digest": digest(block),
         "payload_digest": digest(body),
         "payload_length": len(body),
+        "source_digests_agree": {"block": agrees(own.get("warc-block-digest"), block), "payload": agrees(own.get("warc-payload-digest"), body)},
+        "decoded": plain is not None,
     }
-    textual = not kind or re.match(r"\s*(text/|application/(xhtml\+xml|xml|json))", kind, re.I)
+    textual = plain is not None and (not kind or re.match(r"\s*(text/|application/(xhtml\+xml|xml|json))", kind, re.I))
     marked = textual and ("html" in kind.lower() or "xml" in kind.lower() or not kind)
     text = ""
     if textual:
-        page = decoded(body, kind)
+        page = decoded(plain, kind)
         text = plain_text(page) if marked else page
         if marked:
             seen = _HIDDEN.sub(" ", page)
             title = _TITLE.search(seen)
             about["title"] = " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else None
-            about["links"] = [_absolute(headers.get("WARC-Target-URI", ""), html.unescape(next(filter(None, m.groups()), ""))) for m in _HREF.finditer(seen)]
-    kept = {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date") if k in headers}
+            about["links"] = [_absolute(own.get("warc-target-uri", ""), html.unescape(next(filter(None, m.groups()), ""))) for m in _HREF.finditer(seen)]
+    names = {"warc-target-uri": "WARC-Target-URI", "warc-date": "WARC-Date"}
+    kept = {name: own[k] for k, name in names.items() if k in own}
     link = {"WARC-Refers-To": source, "WARC-Refers-To-Payload-Digest": about["payload_digest"]}
-    if "WARC-Target-URI" in headers:
-        link["WARC-Refers-To-Target-URI"] = headers["WARC-Target-URI"]
-    if "WARC-Date" in headers:
-        link["WARC-Refers-To-Date"] = headers["WARC-Date"]
+    link |= {f"WARC-Refers-To-{name[5:]}": own[k] for k, name in names.items() if k in own}
     found = [("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"))]
     if textual:
         found.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
@@ -115,7 +170,7 @@ def _absolute(base: str, ref: str) -> str:
 
 def serialize(headers: dict[str, str], block: bytes) -> bytes:
     """A record as it stands in a file."""
-    lines = "".join(f"{n}: {v}\r\n" for n, v in headers.items() if n != "Content-Length")
+    lines = "".join(f"{n}: {v}\r\n" for n, v in headers.items() if n.lower() != "content-length")
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
@@ -135,7 +190,7 @@ def parse_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
             else:
                 name, _, value = text.partition(":")
                 headers[name] = value.strip()
-        yield headers, source.read(int(headers.get("Content-Length", 0)))
+        yield headers, source.read(int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0)))
 
 
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -168,7 +223,7 @@ def build_derivatives(records: DataFrame) -> DataFrame:
                 for headers, block in zip(part.column(0), part.column(1)):
                     if headers.is_valid and block.is_valid:
                         got = {k: v for k, v in headers.as_py() if v is not None}
-                        if got.get("WARC-Type") == "response":
+                        if next((v for k, v in got.items() if k.lower() == "warc-type"), "").lower() == "response":
                             yield from derive(got, block.as_py())
 
         yield from batches(rows(), _RECORD, lambda row: len(row[1]) + 600)
@@ -177,7 +232,7 @@ def build_derivatives(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes a gzipped file per partition, each record a member of its own; returns path and number of records. A task that runs again writes the same file."""
+    """Writes a gzipped file per partition, each record a member of its own; returns the stored manifest, path and number of records. A task that runs again writes the same file. An empty partition writes a file of no records."""
     folder = (folder or new_path(records.sparkSession, "warc")).rstrip("/")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +245,16 @@ def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
         with store.open_output_stream(attempt, compression=None) as out:
             for part in parts:
                 for headers, block in zip(part.column(0), part.column(1)):
-                    out.write(gzip.compress(serialize(dict(headers.as_py()), block.as_py()), mtime=0))
+                    out.write(gzip.compress(serialize(dict(headers.as_py()), block.as_py()), 6, mtime=0))
                     n += 1
         store.move(attempt, f"{base}/part-{task.partitionId():06d}.warc.gz")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{task.partitionId():06d}.warc.gz"]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return records.select("headers", "block").mapInArrow(write, "path string, records long")
+    return stored(records.select("headers", "block").mapInArrow(write, "path string, records long"), "manifest")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """The records of the files named in ``path``, plain or gzipped."""
+    """The records of the files named in ``path``, plain or gzipped; a task for each file. Null paths and empty tables give no records."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -212,4 +267,5 @@ def read_warc(files: DataFrame) -> DataFrame:
 
         yield from batches(rows(), _RECORD, lambda row: len(row[1]) + 600)
 
-    return files.select("path").mapInArrow(read, RECORD)
+    named = files.select("path").where("path IS NOT NULL")
+    return named.repartitionByRange(max(1, named.count()), "path").mapInArrow(read, RECORD)
