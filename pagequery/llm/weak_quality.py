@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_names, numbered, quoted
+
 BUCKETS = 1 << 16
 #: What the shares of a text's trigrams are multiplied by, so that weights stay near one.
 SCALE = 20.0
@@ -177,33 +179,39 @@ class QualityModel:
 def fit_quality(docs: DataFrame, train_rows: int = 3000, train_bytes: int = 8_000_000) -> QualityModel:
     """Fits the label model on the votes of all texts, and the scorer on a bounded sample.
 
-    The sample is the distinct texts least by a hash, ``train_rows`` of them and
-    ``train_bytes`` characters at most; both are bounds of this one step. Pattern counts come to the driver: at most 4 to
-    the power of the number of labellers rows, whatever the corpus.
+    The sample is the distinct texts least by a hash: ``train_rows`` of them at
+    most, as far as they come to ``train_bytes`` characters together (the first
+    in any case). Lengths decide that before any text leaves its executor.
+    Long texts take part like short ones. Pattern counts come to the driver: at
+    most 4 to the power of the number of labellers rows, whatever the corpus.
     """
     counted = _patterns(docs).toPandas()
     labels = fit_label_model(counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
     text = F.col("text").cast("string")
-    unit = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    share = 1.5 * train_rows / max(1, int(counted["n"].sum()))
-    drawn = docs.select(text.alias("text"), unit.alias("u")).where((F.col("u") < share) & (F.length(F.trim("text")) > 0) & (F.octet_length("text") <= train_bytes // 100))
-    texts, held = [], 0
-    for row in sorted(drawn.groupBy("u").agg(F.first("text").alias("text")).collect()):  # copies are one row
-        held += len(row.text)
-        if len(texts) >= train_rows or held > train_bytes:
-            break
-        texts.append(row.text)
+    unit = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 53))
+    share = min(1.0, 50 * train_rows / max(1, int(counted["n"].sum())))  # enough distinct texts at fifty copies each
+    drawn = docs.select(text.alias("text"), unit.alias("u")).where((F.col("u") <= int(share * (1 << 53))) & (F.length(F.trim("text")) > 0))
+    sizes = drawn.groupBy("u").agg(F.max(F.length("text")).alias("n")).orderBy("u").limit(train_rows).collect()
+    within = np.cumsum([r.n for r in sizes]) <= train_bytes
+    last = sizes[max(1, int(within.sum())) - 1].u if sizes else -1
+    texts = [r.text for r in sorted(drawn.where(F.col("u") <= last).groupBy("u").agg(F.min("text").alias("text")).collect())] if sizes else []
     if not texts:
         return QualityModel(labels, np.append(np.zeros(BUCKETS + 2), 1.0))
     soft = labels.posterior(np.array([pattern_of(votes(t)) for t in texts], np.int64))
     return QualityModel(labels, train_scorer([hashed_features(t) for t in texts], soft))
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """Names of the posterior, the score and the decision beside the columns of ``docs``."""
+    return free_names(docs.columns, "__posterior", "__score", "__kept")
+
+
 def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = 0.35) -> DataFrame:
-    """All columns of ``docs`` with ``__posterior`` (of the labellers), ``__score`` (of the scorer) and ``__kept``.
+    """All columns of ``docs`` with ``__posterior`` (of the labellers), ``__score`` (of the scorer) and ``__kept``; ``added_names`` has these names as they are if ``docs`` holds some of them.
 
     Blank and null texts have the prior as posterior, score 0 and are not kept.
-    Rows are scored one by one, so repeated rows get one score; doc_id is not read.
+    Rows are scored one by one, so repeated rows get one score; doc_id is not
+    read. A score at the threshold is kept. An empty table gives no rows.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
@@ -219,10 +227,10 @@ def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = 0.35
             columns = [*part.columns, pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
 
-    added = [StructField("__posterior", DoubleType()), StructField("__score", DoubleType()), StructField("__kept", BooleanType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    added = [StructField(name, kind()) for name, kind in zip(added_names(docs), (DoubleType, DoubleType, BooleanType))]
+    return numbered(docs).mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """The documents that the classifier keeps, with the columns of ``docs``."""
-    return quality_scores(docs, fit_quality(docs), threshold).where("__kept").select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    """The documents that the classifier keeps, with the columns of ``docs``, whatever their names. Blank and null texts go."""
+    return quality_scores(docs, fit_quality(docs), threshold).where(quoted(added_names(docs)[2])).select(*[quoted(c) for c in docs.columns])
