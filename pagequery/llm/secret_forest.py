@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import numbered, quoted
 from .token_file import batches
 from .words import vocabulary_path
 
@@ -37,13 +38,13 @@ SHAPES = {
 _SHAPES = {k: re.compile(v) for k, v in SHAPES.items()}
 _KEY_LINE = re.compile(r"-----(?:(BEGIN)|END) [A-Z ]*PRIVATE KEY-----")
 #: Words of neighbourhoods.
-SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "bearer", "private_key", "client_key", "signing")
-HASH_WORDS = ("sha", "md5", "commit", "checksum", "digest", "uuid", "guid", "etag", "revision", "integrity", "hash", "build", "trace", "span_id", "request_id")
+SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "auth", "credential", "bearer", "private_key", "client_key", "signing", "encryption_key", "connection")
+HASH_WORDS = ("sha", "md5", "commit", "checksum", "digest", "uuid", "guid", "etag", "revision", "integrity", "hash", "build", "trace", "span_id", "request_id", "fingerprint", "serial", "isbn")
 SAMPLE_WORDS = ("example", "sample", "dummy", "changeme", "placeholder", "your_", "your-", "xxxx", "fake", "redacted", "<", "todo", "insert")
 TEST_PATHS = ("test", "example", "sample", "fixture", "mock", "doc", "spec")
 FEATURES = (
     "length", "digits", "upper", "lower", "marks", "transitions", "entropy", "distinct", "dictionary", "longest_run", "hexadecimal", "known_shape",
-    "secret_name", "hash_name", "sample_value", "secret_near", "hash_near", "sample_near", "test_path", "quoted", "bare", "steps",
+    "secret_name", "hash_name", "sample_value", "secret_near", "hash_near", "sample_near", "test_path", "quoted", "bare", "steps", "key_block", "slashes", "dotted",
 )
 
 
@@ -80,7 +81,7 @@ def candidates(text: str) -> list[Candidate]:
             continue
         name = _NAME.search(text, max(0, m.start() - 64), m.start())
         named = name[1] if name else ""
-        if any(w in named.lower() for w in SECRET_WORDS) or (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
+        if any(w in named.lower().replace("-", "_") for w in SECRET_WORDS) or (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
             found.append(Candidate(m.start(2), m.start(2) + len(value), "assigned", named, bool(m[1])))
     for m in _LOGIN.finditer(text):
         found.append(Candidate(m.start(1), m.end(1), "assigned", "password", False))
@@ -136,19 +137,19 @@ def features(text: str, c: Candidate, path: str | None, words: frozenset[str]) -
         run = run + 1 if a == b else 1
         best = max(best, run)
     steps = sum(ord(b) - ord(a) in (0, 1) for a, b in zip(value, value[1:]))
-    near = (text[max(0, c.start - 48) : c.start] + " " + text[c.end : c.end + 24]).lower()
-    name, low, place = c.name.lower(), value.lower(), (path or "").lower()
+    near = (text[max(0, c.start - 48) : c.start] + " " + text[c.end : c.end + 24]).lower().replace("-", "_")
+    name, low, place = c.name.lower().replace("-", "_"), value[:256].lower(), (path or "").lower()
     has = lambda words, where: float(any(w in where for w in words))
     return [
         math.log2(n), *(seen[k] / n for k in (0, 2, 1, 3)), changes / n, -sum(k / n * math.log2(k / n) for k in counts.values()), len(counts) / min(n, 64),
         coverage(value, words), best / n, float(re.fullmatch(r"[0-9a-fA-F-]+", value) is not None), float(c.rule == "shape"),
         has(SECRET_WORDS, name), has(HASH_WORDS, name), has(SAMPLE_WORDS, low), has(SECRET_WORDS, near), has(HASH_WORDS, near), has(SAMPLE_WORDS, near),
-        has(TEST_PATHS, place), float(c.quoted), float(c.rule == "bare"), steps / n,
+        has(TEST_PATHS, place), float(c.quoted), float(c.rule == "bare"), steps / n, float(value.startswith("-----BEGIN")), value.count("/") / n, float(value.count(".") >= 2),
     ]
 
 
 def labelled_findings(n: int = 4000, seed: int = 23, path: str | None = None) -> list[tuple[str, str, Candidate, bool]]:
-    """(text, path, candidate, is a secret) from a seeded generator: random values under telling names, and hashes, ids, samples, words, numbers and paths that look alike."""
+    """(text, path, candidate, is a secret) from a seeded generator: random values under telling names, key blocks and passwords of URLs, and hashes, ids, samples, words, numbers, paths, encoded pictures, certificates' digests and signed packages that look alike."""
     r = np.random.default_rng(seed)
     vocabulary = sorted(dictionary(path or vocabulary_path()))
     word = lambda: vocabulary[r.integers(len(vocabulary))]
@@ -159,12 +160,21 @@ def labelled_findings(n: int = 4000, seed: int = 23, path: str | None = None) ->
 
     def value(secret: bool) -> tuple[str, str]:
         if secret:
-            kind = r.integers(6)
-            name = pick(["token", "secret", "api_key", "API_KEY", "auth_token", "client_secret", "access_key", "TOKEN", "password", "credential", "bearer"])
+            kind = r.integers(9)
+            name = pick(["token", "secret", "api_key", "API_KEY", "auth_token", "client_secret", "access_key", "TOKEN", "password", "credential", "bearer", "client-key-data", "private-key", "signing_key", "encryption_key"])
+            neutral = pick(["note", "value", "see", "key", "config", "url", "data"])
+            if kind == 6:  # a block of lines, under any name or none
+                lines = "\n".join(draw(any_case + "+/", 64) for _ in range(int(r.integers(3, 30))))
+                label = pick(["", "RSA ", "EC ", "OPENSSH "])
+                return pick([name, neutral]), f"-----BEGIN {label}PRIVATE KEY-----\n{lines}\n-----END {label}PRIVATE KEY-----"
+            if kind == 7:  # long ones
+                return name, draw(any_case + "+/", int(r.integers(90, 2400)))
+            if kind == 8:  # signed in three parts
+                return pick([name, neutral]), ".".join(("eyJ" + draw(any_case, int(r.integers(17, 60))), "eyJ" + draw(any_case, int(r.integers(30, 200))), draw(any_case + "-_", 43)))
             made = [lambda: draw(digits + "abcdef", pick([32, 40, 64])), lambda: draw(any_case, int(r.integers(20, 64))), lambda: draw(any_case + "+/", pick([40, 43, 64, 86])),
                     lambda: draw(any_case + "!@#$%^&*-_", int(r.integers(10, 20))), lambda: pick(["AKIA", "ASIA"]) + draw(low.upper() + digits, 16), lambda: pick(["ghp_", "sk_live_", "glpat-"]) + draw(any_case, 36)][kind]()
             return (name, made.upper() if kind == 0 and r.random() < 0.2 else made)
-        kind = r.integers(9)
+        kind = r.integers(16)
         neutral = pick(["name", "path", "url", "id", "version", "title", "key", "value", "ref"])
         return [
             lambda: (pick(["commit", "sha1", "md5", "checksum", "digest", "etag", "revision", "sha256"]), draw(digits + "abcdef", pick([32, 40, 64]))),
@@ -176,6 +186,13 @@ def labelled_findings(n: int = 4000, seed: int = 23, path: str | None = None) ->
             lambda: (neutral, word() + word().title() + word().title() + str(r.integers(100))),
             lambda: (pick(["pattern", "alphabet", "charset"]), (digits + low + low.upper())[: int(r.integers(24, 62))]),
             lambda: (pick(["build", "hash", "integrity", "span_id"]), draw(any_case, int(r.integers(24, 44)))),
+            lambda: (pick(["integrity", "resolved", "sha512"]), "sha512-" + draw(any_case + "+/", 86) + "=="),
+            lambda: (pick(["src", "href", "background", "image"]), "data:image/png;base64" + "," + draw(any_case + "+/", int(r.integers(40, 600)))),
+            lambda: (pick(["fingerprint", "serial", "thumbprint", "SHA256"]), ":".join(draw(digits + "ABCDEF", 2) for _ in range(int(r.integers(16, 33))))),
+            lambda: (neutral, f"https://{word()}.example/{word()}/{draw(digits, 6)}?{word()}={draw(any_case, int(r.integers(8, 24)))}&{word()}={r.integers(1000)}"),
+            lambda: (pick(["date", "time", "created", neutral]), f"20{r.integers(10, 30)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}T{r.integers(24):02d}:{r.integers(60):02d}:{r.integers(60):02d}Z"),
+            lambda: (pick(["token", "password", "secret", "auth"]), pick(["process.env.", "os.environ/", "config.", "${", "$(", "vault:"]) + "_".join(word().upper() for _ in range(3)) + str(r.integers(10))),
+            lambda: (pick(["class", "id", "testid", "selector"]), "-".join([word(), word(), draw(low + digits, 5), str(r.integers(100)), word()])),
         ][kind]()
 
     out = []
@@ -187,6 +204,9 @@ def labelled_findings(n: int = 4000, seed: int = 23, path: str | None = None) ->
         form = r.random()
         joint = pick([" = ", "=", ": ", " := "]) if form < 0.75 else " "  # else only the neighbouring word tells
         text = f"{prose()} {name}{joint}{quote}{made}{quote}{pick([' ', '. ', '\n', ', '])}{prose()}"
+        if r.random() < 0.06:  # a login in a URL, the password weak or strong, or a sample's
+            made = pick([word() + str(r.integers(10, 99)) + pick(["", "!", word()]), draw(any_case + "!$*", int(r.integers(8, 20)))]) if secret else pick(["password", "changeme", "example123", "PASSWORD", "your_password", "xxxxxxxx", "<password>"])
+            text = f"{prose()} {pick(['postgres', 'mysql', 'redis', 'amqp', 'https', 'mongodb'])}://{word()}:{made}@{word()}.{pick(['host', 'internal', 'example'])}/{word()} {prose()}"
         where = pick(["src", "web", "app", "tests/fixtures", "docs/example", "", "src7"])
         hit = [c for c in candidates(text) if made[:8] in text[c.start : c.end]]
         if hit:
@@ -290,11 +310,11 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
 
         yield from batches(rows(), schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(path).cast("string")).mapInArrow(run, "doc_id long, start int, end int, rule string, name string, shown string, score double, is_secret boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), quoted(path).cast("string")).mapInArrow(run, "doc_id long, start int, end int, rule string, name string, shown string, score double, is_secret boolean")
 
 
 def redact_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, path: str = "source", mark: str = "[SECRET]", tokenizer: str | None = None) -> DataFrame:
-    """``docs`` with each secret replaced by ``mark``; n_chars, if there, follows the new text. All rows and columns stay; texts without secrets stay as they are, null as null."""
+    """``docs`` with each secret replaced by ``mark``; n_chars, if there, follows the new text. All rows and columns, whatever their names, stay; texts without secrets stay as they are, null as null; an empty table stays empty."""
     place = tokenizer or vocabulary_path()
     held = docs.sparkSession.sparkContext.broadcast(forest or fit_forest(tokenizer=place))
     at, where, count = docs.columns.index("text"), docs.columns.index(path), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
@@ -318,4 +338,4 @@ def redact_secrets(docs: DataFrame, forest: Forest | None = None, threshold: flo
                     columns[count] = pa.array(sizes, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)
