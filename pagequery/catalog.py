@@ -70,12 +70,6 @@ def html_hash(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("hash"))
 
 
-@_query()
-def template_groups(spark, sf):
-    keyed = extract.templates(_t(spark, sf, "pages"))
-    return extract.representatives(keyed).select("domain", "template", "url", "pages")
-
-
 @_query("SELECT doc_id, greatest(1, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) // 4)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
@@ -227,15 +221,6 @@ def latest_version(spark, sf):
     return changes.latest(rows, "o_custkey", "o_orderdate")
 
 
-@_query("SELECT 'http://h.example/' || i AS url, floor(log2(i))::INT AS depth FROM range(1, 32) t(i)")
-def crawl_levels(spark, sf):
-    ids = spark.range(1, 200)
-    at = lambda c: F.concat(F.lit("http://h.example/"), c.cast("string"))
-    links = ids.select(at(F.col("id")).alias("src"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), "id").select("src", "pos", F.concat(at(F.col("id") * 2 + F.col("pos")), F.lit("#top")).alias("dst"))
-    seeds = spark.createDataFrame([("http://h.example/1#x",), ("mailto:a@b",)], "url string")
-    return crawl.crawl(seeds, links, max_depth=4, max_pages=1000)
-
-
 @_query(f"SELECT {_HOST} AS host, 'urlset' AS kind, (row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1)::BIGINT AS pos, url AS loc FROM pages")
 def sitemap_locations(spark, sf):
     entry = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
@@ -260,7 +245,7 @@ def endpoint_inventory(spark, sf):
     return kept.select(F.regexp_extract("url", "example/(.*)&q", 1).alias("path"), F.col("request_body").isNotNull().alias("with_body"), F.col("event_id").alias("first_event"), paging.alias("paging"))
 
 
-@_query()
+@_query("SELECT 'https://api.example/' || event_type AS endpoint, 'OBJECT<k: BIGINT>' AS schema, count(*) AS calls FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
 def endpoint_schemas(spark, sf):
     calls = endpoints.json_calls(_calls(spark, sf)).withColumn("endpoint", F.split_part("url", F.lit("?"), F.lit(1)))
     return endpoints.infer_schemas(calls)
@@ -272,16 +257,6 @@ def redact_headers(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", headers.alias("h")).select("c_custkey", F.col("h")["Authorization"].alias("auth"), F.col("h")["User-Agent"].alias("agent"))
 
 
-@_query()
-def token_chunks(spark, sf):
-    return text.token_chunks(_t(spark, sf, "documents").select("doc_id", "text"), max_tokens=256)
-
-
-@_query()
-def dom_chunks(spark, sf):
-    return text.dom_chunks(_t(spark, sf, "pages").select("page_id", "html"), 50)
-
-
 @_query("""
 WITH w AS (SELECT lang, doc_id AS pos, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM documents),
 s AS (SELECT lang, pos, len(words) AS n FROM w), a AS (SELECT lang, count(*) AS docs, avg(n) AS avg_n FROM s GROUP BY 1),
@@ -306,12 +281,6 @@ def cosine_next(spark, sf):
     return e.join(after, "vec_id").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("after")), 6).alias("sim"))
 
 
-@_query()
-def semantic_groups(spark, sf):
-    parts = _t(spark, sf, "embeddings").select((F.col("vec_id") / 20).cast("long").alias("doc"), F.col("vec_id").alias("pos"), "embedding")
-    return text.semantic_groups(parts, "doc", 0.2)
-
-
 @_query("SELECT doc_id, len(regexp_extract_all(text, '\\b\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?\\b|\\b\\d{4,}(?:\\.\\d+)?\\b|\\b\\d{2,3}(?:\\.\\d+)?\\b'))::BIGINT AS numbers FROM documents")
 def numeric_tokens(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.numeric_tokens(F.col("text")).cast("long").alias("numbers"))
@@ -461,7 +430,7 @@ def followed_pages(spark, sf):
     pages = placed.select(at(F.col("n_nationkey")).alias("url"), F.concat(F.lit("<h1>"), "n_name", F.lit('</h1><a class="next" href="/'), F.col("next").cast("string"), F.lit('#x">more</a>')).alias("html"))
     seeds = placed.where("n_nationkey = first").select(at(F.col("first")).alias("url"), at(F.col("first")).alias("root"), F.col("n_regionkey").cast("long").alias("region"))
     led = paging.follow(seeds, pages, ["//a[@class='next']/@href"])
-    return led.join(F.broadcast(seeds.select("root", "region")), "root").select("region", "page", F.get(P.css_text(F.col("html"), "h1"), F.lit(0)).alias("name"))  # a row per region
+    return led.join(seeds.select("root", "region"), "root").select("region", "page", F.get(P.css_text(F.col("html"), "h1"), F.lit(0)).alias("name"))
 
 
 @_query(f"SELECT p_brand, {_CARD_POS}, p_name AS name, '$' || p_size AS price FROM part")

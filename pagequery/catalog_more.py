@@ -282,12 +282,6 @@ def auth_headers(spark, sf):
     return _t(spark, sf, "events").select("event_id", F.concat(F.lit("["), F.array_join(names, ", "), F.lit("]")).alias("found"))
 
 
-@_query("SELECT event_type, 'OBJECT<k: BIGINT>' AS schema, count(*) AS calls FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
-def endpoint_types(spark, sf):
-    calls = endpoints.json_calls(_calls(spark, sf)).withColumn("endpoint", F.regexp_extract("url", r"example/([^?]*)", 1))
-    return endpoints.infer_schemas(calls).select(F.col("endpoint").alias("event_type"), "schema", "calls")
-
-
 @_query("SELECT user_id, (rn - 1)::INT AS pos, CASE WHEN length(props) > 9 THEN length(props) END::INT AS cut, CASE WHEN length(props) <= 9 THEN props END AS body FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 5")
 def captured_events(spark, sf):
     """A user's events as the calls that a page recorded: five of a page, bodies of nine bytes."""
@@ -568,33 +562,43 @@ def crawl_pages_table(spark, sf):
     return crawl.crawl(seeds, links, max_depth=2, max_pages=10_000_000)
 
 
-def _tree_page(url: str) -> fetching.Fetched:
-    """Page n of a tree leads to 2n and 2n + 1; every seventh fails."""
-    n = int(url.rsplit("/", 1)[1])
-    if n % 7 == 0:
-        raise ConnectionError("no answer")
-    return fetching.Fetched(f'<h1>{n}</h1><a href="/{2 * n}#x">a</a><a href="/{2 * n + 1}">b</a><a href="http://other.example/">c</a>' + " word" * 120)
+def _site(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as fetched earlier."""
+    pages = _t(spark, sf, "pages")
+    return pages.select(P.normal_link(F.col("url")).alias("url"), "html", F.lit(200).alias("status"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.lit(0).alias("tier"), F.to_timestamp(F.lit("2024-01-01")).alias("fetched_at"))
 
 
-@_query("""
-WITH RECURSIVE t AS (
-  SELECT 1 AS n, 0 AS depth UNION ALL
-  SELECT unnest([2 * n, 2 * n + 1]), depth + 1 FROM t WHERE depth < 4 AND n % 7 <> 0
-), o AS (SELECT n, depth, row_number() OVER (ORDER BY depth, n) AS place FROM t)
-SELECT 'http://t.example/' || n AS url, depth, n % 7 = 0 AS failed FROM o WHERE place <= 20
+def _starts(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").groupBy(P.host(F.col("url"))).agg(F.min("url").alias("url")).select("url")
+
+
+def _nothing(url: str) -> fetching.Fetched:
+    raise ConnectionError("no such page")
+
+
+@_query(f"""
+WITH RECURSIVE p AS (SELECT regexp_replace(url, '#.*$', '') AS url, arg_min(html, sha256(html)) AS html FROM pages GROUP BY 1),
+e AS (SELECT DISTINCT url AS src, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_replace(href, '#.*$', '') AS dst FROM (SELECT url, unnest({_ALL_LINKS}) AS href FROM p)),
+r AS (
+  SELECT regexp_replace(url, '#.*$', '') AS url, 0 AS depth FROM (SELECT min(url) AS url FROM pages GROUP BY {_HOST})
+  UNION
+  SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 2
+) SELECT r.url, min(depth)::INT AS depth, min(p.url) IS NULL AS failed FROM r LEFT JOIN p ON p.url = r.url GROUP BY 1
 """)
-def crawled_tree(spark, sf):
-    """A crawl that fetches: twenty pages at most, failed ones counted, and not followed."""
-    seeds = spark.createDataFrame([("http://t.example/1#top",)], "url string")
-    got = crawl.crawl_pages(seeds, {0: _tree_page}, max_depth=4, max_pages=20, per_second=0)
+def crawled_pages(spark, sf):
+    """A crawl that fetches: pages from the cache, all others fail, and are told and not followed."""
+    got = crawl.crawl_pages(_starts(spark, sf), {0: _nothing}, max_depth=2, max_pages=10_000_000, max_pending=10_000_000, cache=_site(spark, sf), per_second=0)
     return got.select("url", "depth", F.col("error").isNotNull().alias("failed"))
 
 
-@_query("SELECT 'http://t.example/' || n AS url, n::VARCHAR AS title FROM range(1, 8) r(n) WHERE n % 7 <> 0")
+def _title_reader(told: str, view: str) -> str:
+    return json.dumps({"items": [{"title": unescape(re.findall("<h1>([^<]*)</h1>", json.loads(view)["body"])[0])}]})
+
+
+@_query(f"SELECT regexp_replace(url, '#.*$', '') AS url, replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE url IN (SELECT min(url) FROM pages GROUP BY {_HOST})")
 def crawled_records(spark, sf):
-    """A crawl to depth two whose pages are read by a schema."""
-    seeds = spark.createDataFrame([("http://t.example/1",)], "url string")
-    rows, _, _ = crawl.crawl_records(seeds, {0: _tree_page}, lambda told, view: json.dumps({"items": [{"title": re.findall("<h1>([^<]*)</h1>", json.loads(view)["body"])[0]}]}), "title string not null", learning={"view": "slim_html"}, max_depth=2, per_second=0)
+    """The first pages of all hosts, crawled and read by a schema."""
+    rows, _, _ = crawl.crawl_records(_starts(spark, sf), {0: _nothing}, _title_reader, "title string not null", learning={"view": "slim_html"}, max_depth=0, max_pages=10_000_000, cache=_site(spark, sf), per_second=0)
     return rows.where("_error IS NULL").select("url", "title")
 
 

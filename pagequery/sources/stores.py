@@ -64,13 +64,23 @@ def write_output(df: DataFrame, path: str, table: str = "data") -> None:
     elif kind == ".duckdb":
         import duckdb
 
-        found = df.toArrow()
+        from pagequery.operators.crawl import written
+
+        held = written(df)  # as Parquet, which DuckDB reads piece by piece where it can reach it
+        folder = Path(held.inputFiles()[0].replace("file://", "")).parent if held.inputFiles() else None
         with duckdb.connect(path) as db:
-            db.register("found", found)
-            db.execute(f"CREATE OR REPLACE TABLE {safe_table(table)} AS SELECT * FROM found")
+            if folder is not None and folder.is_dir():
+                db.execute(f"CREATE OR REPLACE TABLE {safe_table(table)} AS SELECT * FROM read_parquet(?)", [f"{folder}/*.parquet"])
+            else:
+                db.register("found", held.toArrow())
+                db.execute(f"CREATE OR REPLACE TABLE {safe_table(table)} AS SELECT * FROM found")
     else:
         with _open(path) as f:
-            json.dump(list(_rows(df)), f, ensure_ascii=False, indent=2)
+            last = "["
+            for r in _rows(df):  # a row at a time
+                f.write(last + "\n  " + json.dumps(r, ensure_ascii=False, indent=2).replace("\n", "\n  "))
+                last = ","
+            f.write("[]" if last == "[" else "\n]")
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:

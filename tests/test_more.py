@@ -262,3 +262,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["config", "--strict", "none=9"]) == 1 and main(["schema", "{ a"]) == 1 and main(["recipes", str(tmp_path), "x"]) == 1
     assert main(["cache", f"file://{tmp_path}/state", "stats"]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1]) == {"pages": 0, "plans": 0, "seen": 0}
     assert main(["queries"]) == 0 and "nested_records" in capsys.readouterr().out
+
+
+def test_a_crawls_caps_count_failures(spark):
+    def tree_page(url: str) -> fetching.Fetched:
+        """Page n of a tree leads to 2n and 2n + 1; every seventh fails."""
+        n = int(url.rsplit("/", 1)[1])
+        if n % 7 == 0:
+            raise ConnectionError("no answer")
+        return fetching.Fetched(f'<h1>{n}</h1><a href="/{2 * n}#x">a</a><a href="/{2 * n + 1}">b</a><a href="http://other.example/">c</a>' + " word" * 120)
+
+    seeds = spark.createDataFrame([("http://t.example/1#top",)], "url string")
+    told = lambda **caps: {(int(r.url.rsplit("/", 1)[1]), r.depth, r.error is not None) for r in crawl.crawl_pages(seeds, {0: tree_page}, max_depth=4, per_second=0, **caps).collect()}
+    level, want = [1], []
+    for depth in range(5):
+        want += [(n, depth, n % 7 == 0) for n in level]
+        level = [m for n in level if n % 7 for m in (2 * n, 2 * n + 1)]
+    assert told(max_pages=20) == set(want[:20])
+    assert told(max_pages=100, max_pending=3) <= set(want) and len(told(max_pages=100, max_pending=3)) == 1 + 2 + 3 + 3 + 3
