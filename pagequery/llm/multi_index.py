@@ -63,9 +63,16 @@ class CodeModel:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which codes differ."""
+    if a.shape[-1] % 8 == 0 and a.flags.c_contiguous and b.flags.c_contiguous:  # eight bytes at once
+        a, b = a.view(np.uint64), b.view(np.uint64)
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+#: Bits in which any two bytes differ.
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
+
+
 def fit_codes(sample: np.ndarray, longest: float, k: int, recall: float = 0.97, max_bits: int = 64, rounds: int = 40) -> CodeModel:
     """Learns the axes from sampled rows, and from the nearest of some of them how the distance of codes follows the angle; ``recall`` of these lie within the radius."""
     lengths = (sample * sample).sum(axis=1)
@@ -109,18 +116,28 @@ class MultiIndex:
         """Rows whose substring is within ``radius`` of ``value``; kept, as other queries ask the same."""
         key = (part, value, radius)
         if key not in self.probed:
-            values = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(value)) <= radius)
+            values = np.flatnonzero(_NEAR[value] <= radius)
             starts, order = self.starts[part], self.order[part]
             self.probed[key] = np.concatenate([order[starts[v] : starts[v + 1]] for v in values])
         return self.probed[key]
 
+    def _expected(self, part: int, value: int, radius: int) -> int:
+        """Rows in the probed places of one index."""
+        if radius < 0:
+            return 0
+        near = _NEAR[value] <= radius
+        return int(np.diff(self.starts[part])[near].sum())
+
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code is within ``radius`` of the query's, by pigeonhole: with r = parts * q + s, some of the first s + 1 substrings is within q or some other within q - 1."""
+        """All rows whose code is within ``radius`` of the query's, by pigeonhole: with r = parts * q + s, some of the first s + 1 substrings is within q or some other within q - 1. Where the indexes would give more entries than there are codes, the codes are gone through instead, to the same end."""
         parts = len(query)
         q, s = divmod(radius, parts)
+        reaches = [q if part <= s else q - 1 for part in range(parts)]
+        if sum(self._expected(part, int(query[part]), r) for part, r in enumerate(reaches)) > len(self.codes):
+            self.touched += len(self.codes)
+            return np.flatnonzero(distances(self.codes, query) <= radius)
         seen = np.zeros(len(self.codes), bool)
-        for part in range(parts):
-            reach = q if part <= s else q - 1
+        for part, reach in enumerate(reaches):
             if reach >= 0:
                 seen[self._probe(part, int(query[part]), reach)] = True
         rows = np.flatnonzero(seen)
