@@ -9,7 +9,7 @@ from pagequery.llm import mixing, order_minhash, secret_forest, weak_quality, wo
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_every_document_is_followed(spark, ids_of):
+def test_every_document_is_followed(spark, ids_of, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = weak_quality.fit_quality(docs)
     rows = {r.doc_id: r for r in docs.collect()}
@@ -38,15 +38,24 @@ def test_every_document_is_followed(spark, ids_of):
         return text
 
     clean = {i: redacted(rows[i]) for i in first}
-    stages = dict(corpus_pipeline.STAGES)
-    kept = docs
-    for name, want in (("quality_classifier", good), ("minhash_near_dedup", first), ("secret_scans", first)):
-        kept = stages[name](spark, kept, DATA)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == want, name
-    texts = {r.doc_id: r for r in kept.collect()}
-    assert {i: r.text for i, r in texts.items()} == clean and all(r.n_chars == len(r.text) for i, r in texts.items() if r.text != rows[i].text)
-    mixed = {r.doc_id for r in mixing.mix_documents(kept, columns=["doc_id"]).collect()}
+    seen = {}  # what each stage gets, which is what the one before it left
+
+    def watched(name, stage):
+        def run(spark, df, sf_dir):
+            seen[name] = df.columns, df.collect()
+            return stage(spark, df, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(name, stage)) for name, stage in corpus_pipeline.STAGES])
     out = corpus_pipeline.run(spark, DATA).collect()
+    assert all(columns == docs.columns for columns, _ in seen.values())
+    ids = {name: sorted(r.doc_id for r in rows) for name, (_, rows) in seen.items()}
+    assert ids["minhash_near_dedup"] == sorted(good) and ids["secret_scans"] == sorted(first) and ids["source_mixing"] == sorted(first)
+    texts = {r.doc_id: r for r in seen["source_mixing"][1]}
+    assert {i: r.text for i, r in texts.items()} == clean and all(r.n_chars == len(r.text) for i, r in texts.items() if r.text != rows[i].text)
+    mixed = {r.doc_id for r in seen["best_fit_packing"][1]}
+    assert mixed == {r.doc_id for r in mixing.mix_documents(spark.createDataFrame(seen["source_mixing"][1], docs.schema), columns=["doc_id"]).collect()}
     assert {r.doc_id for r in out} == mixed and 0 < len(mixed) < len(first)
     whole = {i: ids_of(clean[i], 1) for i in mixed}
     import zlib
