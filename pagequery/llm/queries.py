@@ -58,7 +58,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(head("WARC-Type") == "metadata", F.get_json_object(F.col("block").cast("string"), "$.title")).alias("title"),
     )
     pages = responses.select("page_id", head("WARC-Record-ID").alias("refers_to")).distinct()
-    return pages.join(rows, "refers_to")
+    return pages.join(rows.hint("merge"), "refers_to")  # the records' number does not show in the manifest, which Spark would take for a small table
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

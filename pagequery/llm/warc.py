@@ -231,7 +231,7 @@ def build_derivatives(records: DataFrame) -> DataFrame:
     return records.select("headers", "block").mapInArrow(run, RECORD)
 
 
-def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
+def write_warc(records: DataFrame, folder: str | None = None, level: int = 1) -> DataFrame:
     """Writes a gzipped file per partition, each record a member of its own; returns the stored manifest, path and number of records. A task that runs again writes the same file. An empty partition writes a file of no records."""
     folder = (folder or new_path(records.sparkSession, "warc")).rstrip("/")
 
@@ -245,7 +245,7 @@ def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
         with store.open_output_stream(attempt, compression=None) as out:
             for part in parts:
                 for headers, block in zip(part.column(0), part.column(1)):
-                    out.write(gzip.compress(serialize(dict(headers.as_py()), block.as_py()), 6, mtime=0))
+                    out.write(gzip.compress(serialize(dict(headers.as_py()), block.as_py()), level, mtime=0))
                     n += 1
         store.move(attempt, f"{base}/part-{task.partitionId():06d}.warc.gz")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{task.partitionId():06d}.warc.gz"]), pa.array([n], pa.int64())], names=["path", "records"])
