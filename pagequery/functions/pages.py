@@ -6,7 +6,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
-from html import unescape
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -44,6 +43,11 @@ def css_text(html: Column, selector: str) -> Column:
     return _udf("array<string>", lambda h: values(Page(h), selector))(html)
 
 
+def own_escapes(html: Column) -> Column:
+    """The page with all character references literal but ``&amp;``, ``&lt;`` and ``&gt;``, what an escaper of texts writes; for reading texts that may hold other references, whole or cut, as text. Scripts change too."""
+    return F.regexp_replace(html, "&(?!(?:amp|lt|gt);)", "&amp;")
+
+
 def select_values(html: Column, selector: str) -> Column:
     """CSS or XPath; errors in an XPath give an empty list."""
 
@@ -201,7 +205,7 @@ def hydration_subset(data: Column) -> Column:
 def _metadata(page: Page) -> dict[str, str]:
     out: dict[str, str] = {}
     title = next((n for n in page.nodes if n.tag == "title"), None)
-    if title is not None and (text := " ".join(unescape(re.sub(r"<[^>]*>", "", page.text(title))).split())):
+    if title is not None and (text := re.sub(r"[ \t\n\f\r]+", " ", page.text(title)).strip()):  # the parser has resolved its references, so marks in it are text
         out["title"] = text
     for n in page.nodes:
         key = n.attrs.get("property") or n.attrs.get("name") if n.tag == "meta" else None
