@@ -391,10 +391,14 @@ def _sided(open_: DataFrame) -> DataFrame:
     return stored(open_.join(sizes, "key").withColumn("inside", F.col("label") == F.col("main")).drop("main"), "sided", open_, sizes)
 
 
-def _against_main(sided: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of h: each member outside the largest component with one inside, chosen by a hash of text and bucket, so that many are met over all buckets."""
-    leads = stored(sided.where("inside").groupBy("key").agg(F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead")), "leads")
-    met = sided.where("NOT inside").alias("m").join(leads, "key").where(_fits("lead", "m", threshold))
+def _against_main(open_: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of h: each member outside the largest component of its bucket with one inside, chosen by a hash of text and bucket, so that many are met over all buckets.
+
+    Only such pairs come out of the join, not the members of the largest component.
+    """
+    own = open_.groupBy("key", "label").agg(F.count("*").alias("count"), F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead"))
+    leads = stored(own.groupBy("key").agg(F.max_by(F.struct("label", "lead"), F.struct("count", "label")).alias("main")).select("key", F.col("main.label").alias("main"), "main.lead"), "leads")
+    met = open_.alias("m").join(leads, "key").where("label <> main").where(_fits("lead", "m", threshold))
     return met.select(F.least("m.h", "lead.h").alias("a"), F.greatest("m.h", "lead.h").alias("b")).distinct()
 
 
@@ -522,21 +526,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: f
     labels = connected_components(edges)
     drop(held, edges)
     # The members of those that are not whole against one of the largest component.
-    sided = _sided(_named(members, heads, labels))
+    open_ = _named(members, heads, labels)
     drop(members)
-    held = _held(sketched, heads, sided.select("h"))
-    more = stored(_against_main(sided, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    held = _held(sketched, heads, open_.select("h"))
+    more = stored(_against_main(open_, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
     labels = _joined_up(labels, _verified(more, held, threshold))
     # All pairs across the components that a bucket still holds.
-    before, sided = sided, _sided(_named(sided, heads, labels))
-    drop(before)
+    sided = _sided(_named(open_, heads, labels))
+    drop(open_)
     tried = stored(pairs.union(more), "pairs", pairs, more)
     last = stored(_across(sided, held, threshold).join(tried, ["a", "b"], "left_anti"), "pairs", tried, sided)
     labels = _joined_up(labels, _verified(last, held, threshold))
     drop(last, held)
     classed = heads.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    classes = classed.groupBy("label").agg(F.min("least").alias("head"), F.sum("copies").alias("class_rows"))
-    found = stored(classed.select("h", "g", "label").join(classes, "label").select("h", "g", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"), "class_rows"), "classes", heads, labels)
+    classes = stored(classed.groupBy("label").agg(F.min("least").alias("head"), F.sum("copies").alias("class_rows")), "heads")  # a table, so that the join can split a large class
+    found = stored(classed.select("h", "g", "label").join(classes, "label").select("h", "g", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"), "class_rows"), "classes", heads, labels, classes)
     alone = F.col("h").isNull()
     result = rows.drop("words").join(found, ["h", "g"], "left").select(
         "doc_id",

@@ -135,3 +135,14 @@ def test_empty_and_clashing(docs, clashing):
     assert order_minhash.keep_one_of_each(docs.limit(0)).count() == 0
     out = order_minhash.keep_one_of_each(clashing.unionByName(clashing))
     assert out.columns == clashing.columns and out.count() == order_minhash.near_duplicates(clashing).where("kept").count()
+
+
+def test_the_largest_component_of_a_bucket_does_not_leave_the_join(spark):
+    """Members outside it meet one of its texts; none of its own come out of the join on the bucket."""
+    rows = [(1, h, 10, 5, 9, h, 7) for h in range(300)] + [(1, h, 10, 5, 9, h, 8) for h in (300, 301)] + [(1, 400, 100, 5, 9, 400, 9)]
+    bucket = spark.createDataFrame(rows, "key long, h long, n int, first short, second short, id long, label long")
+    found = order_minhash._against_main(bucket, 0.8)
+    told = [(r.a, r.b) for r in found.collect()]
+    assert {b for _, b in told} == {300, 301} and len({a for a, _ in told}) == 1 and told[0][0] < 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "NOT (label" in line for line in plan.splitlines())
