@@ -5,14 +5,15 @@ raked: scaled to the target of each margin in turn, never beyond the tokens
 that a cell has, until all margins hold. A document is kept with the
 probability (weight / tokens) of its cell, decided by a hash.
 
-Topics come from a spherical k-means over hashed words, fitted on a bounded
-sample: every word stands for the topic in which it weighs most, and a document
-has the topic for which most of its words stand.
+Topics come from a spherical k-means over hashed words, fitted on all texts:
+every word stands for the topic in which it weighs most, and a document has the
+topic for which most of its words stand.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,42 +39,72 @@ def _term(word: Column) -> Column:
     return F.pmod(F.crc32(word), F.lit(TERMS)).cast("int")
 
 
-def fit_topics(docs: DataFrame, topics: int = 8, sample_rows: int = 800, sweeps: int = 3) -> list[str]:
-    """For each bucket of terms (words of ``LONG`` or more characters) the topic that it stands for, from the ``sample_rows`` distinct texts least by a hash.
+#: Sums of fractions go as whole numbers of this part, so that they do not depend on the order of the rows.
+PART = 1 << 30
 
-    Spherical k-means: texts are unit vectors of term counts times the inverse
-    text frequency, less the mean of their language, so topics do not repeat
-    the languages. Starts are the sample's texts in order of their hash; a
-    bucket that no centre holds stands for none (an empty string). What comes to
-    the driver is ``topics`` x ``TERMS`` numbers.
+
+def _listed(values: list[float]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
+
+
+def fit_topics(docs: DataFrame, topics: int = 8, sweeps: int = 3) -> list[str]:
+    """For each bucket of terms (words of ``LONG`` or more characters) the topic that it stands for, from all texts.
+
+    Spherical k-means: a text is the unit vector of the inverse text frequencies
+    of its terms, less the mean of its language, so topics do not repeat the
+    languages; copies count as often as they are there. Starts are the texts of
+    least hash; a bucket that no centre holds stands for none (an empty string).
+    The terms of the texts are stored once, and each sweep is a pass over them.
+    What comes to the driver is ``topics`` x ``TERMS`` numbers.
     """
     if not 1 <= topics <= 26:
         raise ValueError("topics are letters: 1 to 26 of them")
     text = F.col("text").cast("string")
-    keyed = docs.where(F.length(text) >= LONG).select(F.xxhash64(F.lit(91), text).alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
-    last = keyed.select("id").distinct().orderBy("id").limit(sample_rows).agg(F.max("id")).first()[0]
-    drawn = keyed.where(F.col("id") <= (last if last is not None else 0)).groupBy("id").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
-    words = F.filter(_words(F.col("text")), lambda w: F.length(w) >= LONG)
-    drawn = stored(drawn.select("id", "lang", F.explode(F.transform(words, _term)).alias("term")).groupBy("id", "lang", "term").agg(F.count("*").alias("n")), "terms")
-    of = lambda *keys: Window.partitionBy(*keys)
-    texts = drawn.select("id").distinct().count()
+    words = F.filter(_words(text), lambda w: F.length(w) >= LONG)
+    keyed = docs.where(F.length(text) >= LONG).select(F.xxhash64(F.lit(91), text).alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.array_distinct(F.transform(words, lambda w: _term(w))).alias("terms"))
+    held = stored(keyed.where(F.size("terms") > 0), "terms")
+    texts = held.count()
     if not texts:
-        drop(drawn)
+        drop(held)
         return [""] * TERMS
-    scaled = drawn.withColumn("x", F.sqrt("n") * F.log(F.lit(1.0 + texts) / F.count("*").over(of("term"))))
-    scaled = scaled.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(of("id"))))
-    sizes = drawn.groupBy("lang").agg(F.count_distinct("id").alias("texts"))
-    means = scaled.groupBy("lang", "term").agg(F.sum("x").alias("sum")).join(sizes, "lang").select("lang", "term", (F.col("sum") / F.col("texts")).alias("mean"))
-    sample = stored(scaled.join(means, ["lang", "term"]).select("id", "term", (F.col("x") - F.col("mean")).alias("x")), "sample", drawn)
-    first = sample.select("id").distinct().orderBy(F.xxhash64("id")).limit(topics).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("topic"))
-    centres = stored(sample.join(F.broadcast(first), "id").select("topic", "term", F.col("x").alias("w")), "centres")
+    times = {r.term: r.n for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # TERMS rows at most
+    rare = [math.log((1 + texts) / times.get(t, texts)) for t in range(TERMS)]
+    added = lambda values: F.aggregate("terms", F.lit(0.0), lambda sum_, t: sum_ + F.get(_listed(values), t))
+    held_ = held.withColumn("norm", F.sqrt(added([x * x for x in rare])))
+
+    def sums(placed: DataFrame) -> DataFrame:
+        """(topic, lang, term, x) in parts; the term ``TERMS`` counts the texts."""
+        x = F.when(F.col("term") == TERMS, F.lit(PART)).otherwise(F.round(F.get(_listed(rare), F.col("term")) / F.col("norm") * PART).cast("long"))
+        spread = placed.select("topic", "lang", "norm", F.explode(F.concat("terms", F.array(F.lit(TERMS)))).alias("term"))
+        return stored(spread.groupBy("topic", "lang", "term").agg(F.sum(x.cast("long")).alias("x")), "sums")
+
+    def counts(table: DataFrame) -> DataFrame:
+        return table.where(F.col("term") == TERMS).select("topic", "lang", F.col("x").alias("n"))
+
+    whole = sums(held_.withColumn("topic", F.lit(0)))
+    means = stored(whole.where(F.col("term") < TERMS).join(counts(whole), ["topic", "lang"]).select("lang", "term", (F.col("x") / F.col("n")).alias("mean")), "means", whole)
+
+    def centres(placed: DataFrame) -> dict[int, list[float]]:
+        """The unit vectors of the sums of each topic's texts, less the means of their languages."""
+        table, out = sums(placed), {}
+        less = counts(table).join(means, "lang").groupBy("topic", "term").agg(F.sum(F.round(-F.col("n") * F.col("mean")).cast("long")).alias("x"))
+        for r in table.where(F.col("term") < TERMS).select("topic", "term", "x").unionByName(less).groupBy("topic", "term").agg(F.sum("x").alias("x")).orderBy("topic", "term").collect():
+            out.setdefault(r.topic, [0.0] * TERMS)[r.term] = float(r.x)
+        drop(table)
+        return {k: [x / size for x in v] for k, v in out.items() if (size := math.sqrt(sum(x * x for x in v)))}
+
+    first = held.select("id").distinct().orderBy("id").limit(topics).select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("topic"))
+    found = centres(held_.join(F.broadcast(first), "id").dropDuplicates(["id"]))
     for _ in range(sweeps):
-        nearest = sample.join(centres, "term").groupBy("id", "topic").agg(F.sum(F.col("x") * F.col("w")).alias("s")).groupBy("id").agg(F.max_by("topic", F.struct("s", -F.col("topic"))).alias("topic"))
-        moved = sample.join(nearest, "id").groupBy("topic", "term").agg(F.sum("x").alias("w"))
-        centres = stored(moved.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of("topic")))), "centres", centres)
-    best = {r.term: r.topic for r in centres.where("w > 0").groupBy("term").agg(F.max_by("topic", F.struct("w", -F.col("topic"))).alias("topic")).collect()}  # TERMS rows at most
-    drop(sample, centres)
-    return [chr(97 + best[t]) if t in best else "" for t in range(TERMS)]
+        if not found:
+            break
+        shifts = [F.sum(F.round(F.col("mean") * F.get(_listed(c), F.col("term")) * PART).cast("long")).alias(f"o{k}") for k, c in found.items()]
+        near = held_.join(means.groupBy("lang").agg(*shifts), "lang")
+        scores = [F.struct((added([w * x for w, x in zip(c, rare)]) / F.col("norm") - F.col(f"o{k}") / PART).alias("s"), F.lit(-k).alias("k")) for k, c in found.items()]
+        found = centres(near.withColumn("topic", -(F.array_max(F.array(*scores))["k"])))
+    drop(held, means)
+    best = [max(((c[t], -k) for k, c in found.items() if c[t] > 0), default=None) for t in range(TERMS)]
+    return [chr(97 - b[1]) if b else "" for b in best]
 
 
 def topic_of(words: Column, table: list[str]) -> Column:

@@ -131,3 +131,19 @@ def test_odd_empty_and_clashing(odd, docs, clashing):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
     out = mixing.mix_documents(clashing, keep=1.0)
     assert out.columns == [*clashing.columns, "__d0_", "__d1", "__d2", "__tokens_", "__probability"]
+
+
+def test_topics_come_from_all_texts(spark):
+    """Words that stand only in texts of high hash have topics too."""
+    from pyspark.sql import functions as F
+
+    from pagequery.llm.mixing import TERMS, _term, fit_topics
+
+    common = [(i, f"common{i % 7} common{i % 11} common{i % 13} {i:07d}", "en", "s") for i in range(900)]
+    rare = [(1000 + i, f"seldom{i % 5} seldom{i % 3} x{i}", "en", "s") for i in range(400)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string, source string").withColumn("id", F.xxhash64(F.lit(91), "text"))
+    limit = sorted(r.id for r in docs.where("doc_id < 1000").select("id").collect())[800]
+    docs = docs.where((F.col("doc_id") < 1000) | (F.col("id") > limit)).drop("id")
+    found = fit_topics(docs)
+    terms = [r[0] for r in spark.createDataFrame([(f"seldom{i}",) for i in range(5)], "w string").select(_term(F.col("w"))).collect()]
+    assert docs.where("doc_id >= 1000").count() and len(found) == TERMS and all(found[t] for t in terms)
