@@ -284,11 +284,13 @@ def _items(text: str, heading: str) -> tuple[str, list[str]]:
     return heading or (items[0][:120] if items else ""), items
 
 
-def clean(html: Column) -> Column:
-    """What a reader of the page needs: heading, markdown, items, flat_json (heading and items) and html_excerpt, the markup without noise. A page without elements gives empty ones."""
+def clean(html: Column, slim: bool = False) -> Column:
+    """What a reader of the page needs: heading, markdown, items, flat_json (heading and items) and html_excerpt, the markup without noise. A page without elements gives empty ones. ``slim``: the excerpt alone where there is one, for a slim view needs no more."""
 
     def run(h):
         page = Page(h)
+        if slim and (excerpt := page.html(page.nodes[0], _noise) if page.nodes else "").strip(" "):
+            return {"heading": None, "markdown": None, "items": None, "flat_json": None, "html_excerpt": excerpt}
         text = _markdown(page)
         heading, items = _items(text, _heading(page))
         flat = json.dumps({"heading": heading, "items": items}, ensure_ascii=False)

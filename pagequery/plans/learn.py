@@ -96,7 +96,7 @@ def extract_pages(
             made = [learn_plan(h, v, fields, client, required, prompt, attempts) for h, v in zip(part["html"], part["view"])]
             yield pd.DataFrame({"domain": part["domain"], "template": part["template"], "url": part["url"], "plan": [m[0] for m in made], "_why": [m[1] for m in made], "questions": [m[2] for m in made]})
 
-    chosen = representatives(open_.where("html IS NOT NULL")).select("domain", "template", "url", "html", choose_payload(clean(F.col("html")), view, max_body=MAX_BODY).alias("view"))
+    chosen = representatives(open_.where("html IS NOT NULL")).select("domain", "template", "url", "html", choose_payload(clean(F.col("html"), view == "slim_html"), view, max_body=MAX_BODY).alias("view"))
     asked = written(chosen.mapInPandas(learn, PLANS + ", url string, _why string, questions int"))
     learned = asked.where("plan IS NOT NULL").select("domain", "template", "plan")
     second = read(open_.join(asked.select("domain", "template", "plan", "_why"), ["domain", "template"], "left"))

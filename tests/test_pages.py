@@ -103,3 +103,12 @@ def test_dom_chunks_keep_records_apart(spark):
     html = "<body><div>intro <section>inner</section></div><div class=c>r1</div><div class=c>r2</div><main>end</main></body>"
     rows = text.dom_chunks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"), 200).orderBy("pos").collect()
     assert [(r.page_id, r.text) for r in rows] == [(1, "intro inner\ninner"), (1, "r1"), (1, "r2"), (1, "end")]
+
+
+def test_selectors_are_tried_once_however_many_elements_suggest_them(monkeypatch):
+    cards = "".join(f'<article class="card"><h2 class="name">n{i}</h2><span class="price">$5</span></article>' for i in range(200))
+    tried = []
+    monkeypatch.setattr(extract, "values", lambda page, s: tried.append(s) or values(page, s))
+    found = extract.induce_selectors(f"<body><b>$5</b>{cards}</body>", {"name": [f"n{i}" for i in range(200)], "price": ["$5"] * 200})
+    assert found == {"name": ["h2.name", "h2"], "price": ["span.price", "span"]} and len(tried) == len(set(tried)) <= 6
+    assert extract.induce_selectors("<p>a</p><p>a</p>", {"x": ["a"]})["x"] == ["/html/body/p[1]", "/html/body/p[2]"]
