@@ -376,11 +376,23 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
 
 
 def _named(members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that span several components, with id and label."""
+    """The members of the buckets with id and label."""
     ids = heads.select("h", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
-    named = stored(members.select("key", "h", "n", "first", "second").join(ids, "h"), "named")
-    several = stored(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "several")  # a table, so that the join can split a hot key
-    return stored(named.join(several, "key", "left_semi"), "open", named, several)
+    return stored(members.select("key", "h", "n", "first", "second").join(ids, "h"), "named")
+
+
+def _parts(named: DataFrame) -> DataFrame:
+    """The components of each bucket: key, label, count and lead, one of the members, chosen by a hash of text and bucket."""
+    return stored(named.groupBy("key", "label").agg(F.count("*").alias("count"), F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead")), "parts")
+
+
+def _still_open(named: DataFrame, parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the buckets that span several components by the newer ``labels``, with these. Which buckets do is told by their components, so the members of the others are not gone through."""
+    newer = labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    spread = parts.select("key", "label").join(newer, "label", "left").groupBy("key").agg(F.min(F.coalesce("now", "label")).alias("low"), F.max(F.coalesce("now", "label")).alias("high"))
+    several = stored(spread.where("low < high").select("key"), "several", parts)  # a table, so that the join can split a hot key
+    left = stored(named.join(several, "key", "left_semi"), "open", named, several)
+    return stored(left.join(newer, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now"), "open", left)
 
 
 def _sided(open_: DataFrame) -> DataFrame:
@@ -391,14 +403,17 @@ def _sided(open_: DataFrame) -> DataFrame:
     return stored(open_.join(sizes, "key").withColumn("inside", F.col("label") == F.col("main")).drop("main"), "sided", open_, sizes)
 
 
-def _against_main(open_: DataFrame, threshold: float) -> DataFrame:
+def _against_main(named: DataFrame, threshold: float, parts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of h: each member outside the largest component of its bucket with one inside, chosen by a hash of text and bucket, so that many are met over all buckets.
 
-    Only such pairs come out of the join, not the members of the largest component.
+    Only such pairs come out of the join: neither the members of the largest
+    component nor those of buckets of one component. ``parts`` are the buckets'
+    components, if they are known.
     """
-    own = open_.groupBy("key", "label").agg(F.count("*").alias("count"), F.min_by(F.struct("h", "n", "first", "second"), F.xxhash64("h", "key")).alias("lead"))
-    leads = stored(own.groupBy("key").agg(F.max_by(F.struct("label", "lead"), F.struct("count", "label")).alias("main")).select("key", F.col("main.label").alias("main"), "main.lead"), "leads")
-    met = open_.alias("m").join(leads, "key").where("label <> main").where(_fits("lead", "m", threshold))
+    best = F.max_by(F.struct("label", "lead"), F.struct("count", "label")).alias("main")
+    leads = (parts or _parts(named)).groupBy("key").agg(best, F.count("*").alias("parts")).where("parts > 1")
+    leads = stored(leads.select("key", F.col("main.label").alias("main"), "main.lead"), "leads")
+    met = named.alias("m").join(leads, "key").where("label <> main").where(_fits("lead", "m", threshold))
     return met.select(F.least("m.h", "lead.h").alias("a"), F.greatest("m.h", "lead.h").alias("b")).distinct()
 
 
@@ -526,14 +541,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, miss: f
     labels = connected_components(edges)
     drop(held, edges)
     # The members of those that are not whole against one of the largest component.
-    open_ = _named(members, heads, labels)
+    named = _named(members, heads, labels)
     drop(members)
-    held = _held(sketched, heads, open_.select("h"))
-    more = stored(_against_main(open_, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    parts = _parts(named)
+    more = stored(_against_main(named, threshold, parts).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    held = _held(sketched, heads, more.select(F.explode(F.array("a", "b")).alias("h")))
     labels = _joined_up(labels, _verified(more, held, threshold))
+    drop(held)
     # All pairs across the components that a bucket still holds.
-    sided = _sided(_named(open_, heads, labels))
-    drop(open_)
+    open_ = _still_open(named, parts, labels)
+    held = _held(sketched, heads, open_.select("h"))
+    sided = _sided(open_)
     tried = stored(pairs.union(more), "pairs", pairs, more)
     last = stored(_across(sided, held, threshold).join(tried, ["a", "b"], "left_anti"), "pairs", tried, sided)
     labels = _joined_up(labels, _verified(last, held, threshold))

@@ -146,3 +146,22 @@ def test_the_largest_component_of_a_bucket_does_not_leave_the_join(spark):
     assert {b for _, b in told} == {300, 301} and len({a for a, _ in told}) == 1 and told[0][0] < 300
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert any("Join Inner" in line and "NOT (label" in line for line in plan.splitlines())
+
+
+def test_only_buckets_that_stay_open_are_gone_through_again(spark, monkeypatch):
+    """A hot bucket of two components that the second pass joins up leaves no member in a join on the bucket; one that stays open keeps all, with the newer labels."""
+    rows = [(1, h, 10, 5, 9, h, 7) for h in range(7, 300)] + [(1, h, 10, 5, 9, h, 400) for h in range(400, 420)] + [(2, h, 10, 5, 9, h, 7) for h in (7, 8)] + [(2, 500, 10, 5, 9, 500, 500)]
+    named = order_minhash.stored(spark.createDataFrame(rows, "key long, h long, n int, first short, second short, id long, label long"), "named")
+    labels = spark.createDataFrame([(400, 7)] + [(h, 7) for h in [*range(8, 300), *range(401, 420)]], "node long, label long")
+    written, stored = {}, order_minhash.stored
+
+    def counting(df, tag, *done):
+        out = stored(df, tag, *done)
+        written.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "stored", counting)
+    parts = order_minhash._parts(named)
+    left = sorted((r.key, r.h, r.label) for r in order_minhash._still_open(named, parts, labels).collect())
+    assert left == [(2, 7, 7), (2, 8, 7), (2, 500, 500)]
+    assert written == {"parts": [4], "several": [1], "open": [3, 3]}
