@@ -32,13 +32,24 @@ MOST = 0.8
 
 def _words(text: Column) -> Column:
     """Runs of characters between blanks, tabs and line ends; empty ones among them."""
-    return F.split(F.translate(F.coalesce(text, F.lit("")), "\n\t", "  "), " ")
+    blank = F.lit(" ")
+    return F.split(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), blank), F.lit("\t"), blank), " ")
 
 
 def _term(word: Column) -> Column:
     return F.pmod(F.crc32(word), F.lit(TERMS)).cast("int")
 
 
+def _terms(words: Column) -> Column:
+    """The terms of the words that have ``LONG`` letters or more, as often as they are there."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= LONG), _term)
+
+
+def _whole(x: Column) -> Column:
+    """The nearest whole number. ``round`` goes by way of decimal digits, which takes most of the time of a sum."""
+    return F.floor(x + F.lit(0.5)).cast("long")
+
+
 #: Sums of fractions go as whole numbers of this part, so that they do not depend on the order of the rows.
 PART = 1 << 30
 
@@ -47,6 +58,26 @@ def _listed(values: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
 
+#: Two scores go in one whole number, each in 32 bits of it, as multiples of 1 / SCORE: a sum over a text's terms stays below sqrt(TERMS) x log(texts), so it fits.
+SCORE = 1 << 20
+
+
+def _pair_sums(held: DataFrame, lists: list[list[float]]) -> tuple[DataFrame, list[Column]]:
+    """For each list of numbers by term its sum over a text's terms, two lists in a pass: the rows with the sums as they are packed, and how to read these."""
+    out, names = [], free_names(held.columns, *[f"both{k}" for k in range(0, len(lists), 2)])
+    for k, name in enumerate(names):
+        pair = [*lists[2 * k : 2 * k + 2], [0.0] * TERMS]
+        values = F.from_json(F.lit(json.dumps([(round(x * SCORE) << 32) + round(y * SCORE) for x, y in zip(*pair[:2])])), "array<bigint>")
+        held = held.withColumn(name, F.aggregate("terms", F.lit(0).cast("long"), lambda sum_, t: sum_ + F.get(values, t)))  # noqa: B023
+        out += [F.shiftright(F.col(name) + (1 << 31), 32) / float(SCORE), F.shiftright(F.shiftleft(name, 32), 32) / float(SCORE)]
+    return held, out[: len(lists)]
+
+
+def _keyed(text: Column, lang: Column) -> list[Column]:
+    """What topics are fitted on besides the terms: a hash of the text and the language."""
+    return [F.xxhash64(F.lit(91), text).alias("id"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang")]
+
+
 def fit_topics(docs: DataFrame, topics: int = 8, sweeps: int = 3) -> list[str]:
     """For each bucket of terms (words of ``LONG`` or more characters) the topic that it stands for, from all texts.
 
@@ -57,15 +88,19 @@ def fit_topics(docs: DataFrame, topics: int = 8, sweeps: int = 3) -> list[str]:
     The terms of the texts are stored once, and each sweep is a pass over them.
     What comes to the driver is ``topics`` x ``TERMS`` numbers.
     """
+    text = F.col("text").cast("string")
+    held = stored(docs.select(*_keyed(text, F.col("lang")), F.array_distinct(_terms(_words(text))).alias("terms")).where(F.size("terms") > 0), "terms")
+    found = _fit(held, topics, sweeps)
+    drop(held)
+    return found
+
+
+def _fit(held: DataFrame, topics: int, sweeps: int) -> list[str]:
+    """The same from ``id``, ``lang`` and ``terms`` (each once) of the texts that have terms."""
     if not 1 <= topics <= 26:
         raise ValueError("topics are letters: 1 to 26 of them")
-    text = F.col("text").cast("string")
-    words = F.filter(_words(text), lambda w: F.length(w) >= LONG)
-    keyed = docs.where(F.length(text) >= LONG).select(F.xxhash64(F.lit(91), text).alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.array_distinct(F.transform(words, lambda w: _term(w))).alias("terms"))
-    held = stored(keyed.where(F.size("terms") > 0), "terms")
     texts = held.count()
     if not texts:
-        drop(held)
         return [""] * TERMS
     times = {r.term: r.n for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # TERMS rows at most
     rare = [math.log((1 + texts) / times.get(t, texts)) for t in range(TERMS)]
@@ -74,9 +109,9 @@ def fit_topics(docs: DataFrame, topics: int = 8, sweeps: int = 3) -> list[str]:
 
     def sums(placed: DataFrame) -> DataFrame:
         """(topic, lang, term, x) in parts; the term ``TERMS`` counts the texts."""
-        x = F.when(F.col("term") == TERMS, F.lit(PART)).otherwise(F.round(F.get(_listed(rare), F.col("term")) / F.col("norm") * PART).cast("long"))
+        x = F.when(F.col("term") == TERMS, F.lit(PART).cast("long")).otherwise(_whole(F.get(_listed(rare), F.col("term")) / F.col("norm") * PART))
         spread = placed.select("topic", "lang", "norm", F.explode(F.concat("terms", F.array(F.lit(TERMS)))).alias("term"))
-        return stored(spread.groupBy("topic", "lang", "term").agg(F.sum(x.cast("long")).alias("x")), "sums")
+        return stored(spread.groupBy("topic", "lang", "term").agg(F.sum(x).alias("x")), "sums")
 
     def counts(table: DataFrame) -> DataFrame:
         return table.where(F.col("term") == TERMS).select("topic", "lang", F.col("x").alias("n"))
@@ -100,38 +135,52 @@ def fit_topics(docs: DataFrame, topics: int = 8, sweeps: int = 3) -> list[str]:
             break
         shifts = [F.sum(F.round(F.col("mean") * F.get(_listed(c), F.col("term")) * PART).cast("long")).alias(f"o{k}") for k, c in found.items()]
         near = held_.join(means.groupBy("lang").agg(*shifts), "lang")
-        scores = [F.struct((added([w * x for w, x in zip(c, rare)]) / F.col("norm") - F.col(f"o{k}") / PART).alias("s"), F.lit(-k).alias("k")) for k, c in found.items()]
+        near, sums_of = _pair_sums(near, [[w * x for w, x in zip(c, rare)] for c in found.values()])
+        scores = [F.struct((s / F.col("norm") - F.col(f"o{k}") / PART).alias("s"), F.lit(-k).alias("k")) for s, k in zip(sums_of, found)]
         found = centres(near.withColumn("topic", -(F.array_max(F.array(*scores))["k"])))
-    drop(held, means)
+    drop(means)
     best = [max(((c[t], -k) for k, c in found.items() if c[t] > 0), default=None) for t in range(TERMS)]
     return [chr(97 - b[1]) if b else "" for b in best]
 
 
 def topic_of(words: Column, table: list[str]) -> Column:
     """The topic for which most of a text's terms stand, the first of several; null for a text without terms that stand for one."""
+    return _topic(_terms(words), table)
+
+
+def _topic(terms: Column, table: list[str]) -> Column:
     letters = F.from_json(F.lit(json.dumps(table)), "array<string>")
-    told = F.array_join(F.transform(words, lambda w: F.when(F.length(w) >= LONG, F.get(letters, _term(w))).otherwise(F.lit(""))), "")
+    told = F.array_join(F.transform(terms, lambda t: F.get(letters, t)), "")
     names = sorted({t for t in table if t})
     if not names:
         return F.lit(None).cast("string")
     # The count of each letter: the length that goes when it is taken out.
-    return F.aggregate(F.array(told), F.lit(None).cast("string"), lambda none, s: F.when(s != "", F.array_max(F.array(*[F.struct((F.length(s) - F.length(F.translate(s, t, ""))).alias("n"), F.lit(-ord(t)).alias("o"), F.lit(t).alias("t")) for t in names]))["t"]))
+    return F.aggregate(F.array(told), F.lit(None).cast("string"), lambda none, s: F.when(s != "", F.array_max(F.array(*[F.struct((F.length(s) - F.length(F.replace(s, F.lit(t), F.lit("")))).alias("n"), F.lit(-ord(t)).alias("o"), F.lit(t).alias("t")) for t in names]))["t"]))
 
 
-def measured(docs: DataFrame, topic: Column, seed: int, columns: list[str]) -> DataFrame:
+def _category(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))  # names ``c`` once, so a topic is worked out once
+
+
+def measured(docs: DataFrame, topic: Column | None, seed: int, columns: list[str]) -> DataFrame:
     """A stored table of ``row`` (struct of ``columns``), ``tokens``, ``unit`` (a number from 0 to 1 by a hash of doc_id and text) and the cell ``d0`` (source), ``d1`` (language), ``d2`` (topic).
 
     A token is a run of characters between blanks, tabs and line ends; a text
     has one at least. A null source, language or topic is a category of its
-    own, ``-``; others stand behind ``=``.
+    own, ``-``; others stand behind ``=``. Without a ``topic`` there are in
+    place of ``d2`` the ``id``, ``lang`` and ``terms`` of the text and its
+    different ``kinds`` of terms, so the texts are split once for all.
     """
-    named = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), c.cast("string")))
     text = F.col("text").cast("string")
     rows = docs.select(
-        F.struct(*map(quoted, columns)).alias("row"), named(F.col("source")).alias("d0"), named(F.col("lang")).alias("d1"), named(topic).alias("d2"),
-        F.greatest(F.lit(1), F.size(F.array_remove(_words(text), ""))).cast("long").alias("tokens"),
+        F.struct(*map(quoted, columns)).alias("row"), _category(F.col("source")).alias("d0"), _category(F.col("lang")).alias("d1"),
+        *([_category(topic).alias("d2")] if topic is not None else _keyed(text, F.col("lang"))), _words(text).alias("words"),
         (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).alias("unit"),
-    )
+    )
+    terms = {"terms": _terms(F.col("words"))} if topic is None else {}
+    rows = rows.withColumns({"tokens": F.greatest(F.lit(1), F.size(F.array_remove("words", ""))).cast("long"), **terms}).drop("words")
+    if topic is None:
+        rows = rows.withColumn("kinds", F.array_distinct("terms"))
     return stored(rows, "measured")
 
 
@@ -219,9 +268,10 @@ def mix_documents(docs: DataFrame, keep: float = 0.5, sharpness: float = 0.7, ta
     doc_id: the text alone decides. An empty table gives an empty result.
     """
     columns = columns or docs.columns
-    if topic is None:
-        topic = topic_of(_words(F.col("text").cast("string")), fit_topics(docs, topics))
     rows = measured(docs, topic, seed, columns)
+    if topic is None:
+        table = _fit(rows.where(F.size("kinds") > 0).select("id", "lang", F.col("kinds").alias("terms")), topics, 3)
+        rows = rows.withColumn("d2", _category(_topic(F.col("terms"), table))).drop("id", "lang", "terms", "kinds")
     cells = stored(rows.groupBy(*CELL).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     small = cells.count() <= SMALL_CELLS
     raked = rake(cells, keep, sharpness, targets).select(*CELL, (F.col("weight") / F.col("tokens")).alias("probability"))

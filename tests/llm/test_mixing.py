@@ -147,3 +147,27 @@ def test_topics_come_from_all_texts(spark):
     found = fit_topics(docs)
     terms = [r[0] for r in spark.createDataFrame([(f"seldom{i}",) for i in range(5)], "w string").select(_term(F.col("w"))).collect()]
     assert docs.where("doc_id >= 1000").count() and len(found) == TERMS and all(found[t] for t in terms)
+
+
+def test_texts_are_gone_through_once(spark):
+    """Topics, tokens and decisions come from one pass over the texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = [(k, " ".join(f"someword{(k * j) % 23}" for j in range(9)), "en" if k % 3 else "de", f"s{k % 2}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix_documents(docs.withColumn("text", told("text")), columns=["doc_id"])
+    assert out.count() and seen.value == 300
+
+
+def test_two_sums_in_a_number(spark):
+    r = np.random.default_rng(3)
+    lists = [r.normal(0, 9, mixing.TERMS).tolist() for _ in range(3)]
+    terms = [sorted({int(t) for t in r.integers(0, mixing.TERMS, n)}) for n in (0, 1, 60, 3000)]
+    held, sums = mixing._pair_sums(spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "k int, terms array<int>"), lists)
+    for row in held.select("k", *[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect():
+        assert np.allclose([row[f"s{i}"] for i in range(3)], [sum(v[t] for t in terms[row.k]) for v in lists], atol=1e-3)
