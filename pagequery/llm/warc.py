@@ -35,6 +35,9 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Scheme and host of a URL; references with a scheme and host, or from the root, that have no part which joining would change.
+_ORIGIN = re.compile(r"(https?://[A-Za-z0-9.-]+(?::[0-9]+)?)(?:[/?#]|\Z)")
+_PLAIN = re.compile(r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?)?/(?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*/)*(?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*)?(?:\?[A-Za-z0-9_.~=&-]+)?")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 
 
@@ -108,8 +111,13 @@ def decoded(body: bytes, content_type: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text: hidden elements, comments and tags go, block elements break lines, character references are read, blanks and empty lines are closed up."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
-    return "\n".join(line for line in (" ".join(x.split()) for x in text.split("\n")) if line)
+    return _lines(_HIDDEN.sub(" ", page))
+
+
+def _lines(seen: str) -> str:
+    """The text of a page without its hidden elements."""
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", seen)))
+    return "\n".join([line for x in text.split("\n") if (line := " ".join(x.split()))])
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -142,12 +150,15 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     text = ""
     if textual:
         page = decoded(plain, kind)
-        text = plain_text(page) if marked else page
+        text = page
         if marked:
             seen = _HIDDEN.sub(" ", page)
+            text = _lines(seen)
             title = _TITLE.search(seen)
             about["title"] = " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else None
-            about["links"] = [_absolute(own.get("warc-target-uri", ""), html.unescape(next(filter(None, m.groups()), ""))) for m in _HREF.finditer(seen)]
+            base = own.get("warc-target-uri", "")
+            origin = _ORIGIN.match(base)
+            about["links"] = [_absolute(base, html.unescape(m[m.lastindex] if m.lastindex else ""), origin and origin[1]) for m in _HREF.finditer(seen)]
     names = {"warc-target-uri": "WARC-Target-URI", "warc-date": "WARC-Date"}
     kept = {name: own[k] for k, name in names.items() if k in own}
     link = {"WARC-Refers-To": source, "WARC-Refers-To-Payload-Digest": about["payload_digest"]}
@@ -161,7 +172,13 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     ]
 
 
-def _absolute(base: str, ref: str) -> str:
+def _absolute(base: str, ref: str, origin: str | None = None) -> str:
+    """``ref`` as seen from ``base``. Plain references are what ``urljoin`` would leave or put behind the ``origin`` of the base, which spares most of its calls."""
+    if _PLAIN.fullmatch(ref):
+        if ref[0] != "/":
+            return ref
+        if origin:
+            return origin + ref
     try:
         return urljoin(base, ref.strip())
     except ValueError:

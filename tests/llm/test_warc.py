@@ -89,3 +89,27 @@ def test_odd_records(spark):
     made = warc.build_derivatives(df).collect()
     assert len(made) == 8 and max(len(r.block) for r in made) > 2_900_000
     assert warc.build_derivatives(df.limit(0)).count() == 0 and warc.read_warc(warc.write_warc(warc.build_derivatives(df.limit(0)))).count() == 0
+
+
+def test_plain_references_are_joined_as_others_are(monkeypatch):
+    """The short way gives what ``urljoin`` gives, and is taken for plain references."""
+    from urllib.parse import urljoin
+
+    bases = ["http://h.example/a/b?q=1", "https://h.example:81", "HTTP://H.example/", "", "x", "ftp://h/a", "http://h.example?x", "http://[bad", "http://h.example/a;p/../c\n", "//h/a"]
+    refs = ["", "/", "/a", "/a/../b", "/a/./b", "/a//b", "/a/b.html?x=1&y=", "/a?", "/a#f", "/a;p", "//h/x", "a", "../a", "http://o.example/a/b", "http://o.example", "https://o.example/a?x=1", "HTTP://o.example/a", "http://o.example/a/../b", "http://o.example/a?", "/a ", " /a", "/\u00e9", "/..", "/.a", "/a.", "/a..", "http://o.example/\n", "mailto:x"]
+    for base in bases:
+        origin = warc._ORIGIN.match(base)
+        for ref in refs:
+            try:
+                want = urljoin(base, ref.strip())
+            except ValueError:
+                want = ref
+            assert warc._absolute(base, ref, origin and origin[1]) == want, (base, ref)
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(warc, "urljoin", never)
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<a href=/a/b.html>x</a><a href=\"https://o.example/c?d=1\">y</a>"
+    about = warc.derive({"WARC-Type": "response", "WARC-Target-URI": "https://h.example/p/q"}, page)[0][1]
+    assert b'"links": ["https://h.example/a/b.html", "https://o.example/c?d=1"]' in about
