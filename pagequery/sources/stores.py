@@ -15,6 +15,7 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from pagequery.errors import OutputError
 from pagequery.functions.loose import safe_name
@@ -90,9 +91,17 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_replays(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded fetches: JSON files with url, status and headers, joined with the HTML files of the same name. A recording without its HTML file raises when it is read."""
+    from pagequery.operators.crawl import written
+
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
-    meta = spark.read.option("multiLine", True).json(f"{folder}/*.json").withColumn("name", name)
-    html = spark.read.text(f"{folder}/*.html", wholetext=True).select(name.alias("name"), F.col("value").alias("html"))
+    # The folder is listed, not each file of it, and each file is opened once.
+    text = lambda kind: spark.read.option("pathGlobFilter", f"*.{kind}").text(folder, wholetext=True).select(name.alias("name"), F.col("value").alias(kind))
+    told = written(text("json"))
+    lines = getattr(told.select("json")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    schema = DataFrame(spark.read._jreader.json(lines), spark).schema
+    meta = told.withColumn("one", F.explode_outer(F.from_json("json", ArrayType(schema))))
+    meta = meta.select("name", *[(F.when(F.col("one").isNull(), F.col("json")) if c == "_corrupt_record" else F.col("one").getField(c)).alias(c) for c in schema.names])
+    html = text("html")
     lacks = F.raise_error(F.concat(F.lit("a recorded fetch has no HTML file: "), F.col("name")))
     return meta.join(html, "name", "left").withColumn("html", F.coalesce("html", lacks.cast("string")))
 
@@ -118,7 +127,8 @@ def record_pages(pages: DataFrame, folder: str) -> DataFrame:
 
     from pagequery.operators.crawl import written
 
-    return written(named.mapInPandas(write, "name string, url string"))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(named.repartition(tasks, "name").mapInPandas(write, "name string, url string"))  # a file is the work of one task
 
 
 def to_frame(df: DataFrame, engine: str = "auto"):

@@ -58,3 +58,20 @@ def test_watch_stream(spark, tmp_path):
         query.stop()
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM seen").collect())
     assert got == [("u", 1, "title", None, "v1", "added"), ("u", 2, "title", "v1", "v2", "modified")]
+
+
+def test_replays_are_listed_by_folder(spark, tmp_path):
+    """The folder is the only path that is read, however many recordings it has, and recordings keep their fields."""
+    from pyspark.sql import functions as F
+
+    from pagequery.sources.stores import record_pages
+
+    pages = spark.range(90).select(F.concat(F.lit("https://s/x?id="), "id").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"), F.when(F.col("id") % 4 == 0, 404).otherwise(200).alias("status"))
+    assert record_pages(pages, str(tmp_path)).count() == 90
+    (tmp_path / "two.json").write_text('[{"url": "a", "status": 1},\n {"url": "b", "status": 2}]')
+    (tmp_path / "two.html").write_text("<p>two")
+    found = read_replays(spark, str(tmp_path))
+    got = {r.url: (r.html, r.status) for r in found.select("url", "html", "status").collect()}
+    assert got == {f"https://s/x?id={k}": (f"<p>{k}", 404 if k % 4 == 0 else 200) for k in range(90)} | {"a": ("<p>two", 1), "b": ("<p>two", 2)}
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan text" in x]
+    assert len(scans) == 1 and "(1 paths)" in scans[0]
