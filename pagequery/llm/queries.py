@@ -13,7 +13,7 @@ from .packing import pack_documents
 from .secret_forest import scan_secrets
 from .sharding import shard_by_bytes
 from .token_file import read_token_files, write_token_files
-from .warc import build_derivatives, page_responses, read_warc, write_warc
+from .warc import build_derivatives, page_record_id, page_responses, read_warc, write_warc
 from .weak_quality import fit_quality, quality_scores
 
 
@@ -41,8 +41,8 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    responses = page_responses(_table(spark, sf_dir, "pages"))
-    made = read_warc(write_warc(build_derivatives(responses)))
+    pages = _table(spark, sf_dir, "pages")
+    made = read_warc(write_warc(build_derivatives(page_responses(pages))))
     head = lambda name: F.try_element_at("headers", F.lit(name))
     rows = made.select(
         head("WARC-Refers-To").alias("refers_to"),
@@ -57,8 +57,8 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("block").alias("block_crc32"),
         F.when(head("WARC-Type") == "metadata", F.get_json_object(F.col("block").cast("string"), "$.title")).alias("title"),
     )
-    pages = responses.select("page_id", head("WARC-Record-ID").alias("refers_to")).distinct()
-    return pages.join(rows.hint("merge"), "refers_to")  # the records' number does not show in the manifest, which Spark would take for a small table
+    ids = pages.select("page_id", page_record_id().alias("refers_to")).distinct()
+    return ids.join(rows.hint("merge"), "refers_to")  # the records' number does not show in the manifest, which Spark would take for a small table
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,20 +12,22 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import new_path, stored
-from .token_file import batches
+from .token_file import BATCH_BYTES
 
 RECORD = "headers map<string,string>, block binary"
 _RECORD = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
@@ -34,10 +36,13 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+#: Anything in angle brackets without such inside, and as much of its name as tells what it is: no block element's name has over ten characters.
+_FLAT = re.compile(r"<([/!?]?\w{0,11})[^<>]*>")
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Scheme and host of a URL; references with a scheme and host, or from the root, that have no part which joining would change.
 _ORIGIN = re.compile(r"(https?://[A-Za-z0-9.-]+(?::[0-9]+)?)(?:[/?#]|\Z)")
-_PLAIN = re.compile(r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?)?/(?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*/)*(?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*)?(?:\?[A-Za-z0-9_.~=&-]+)?")
+_PLAIN = re.compile(r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?)?/(?:[\w~%,-][\w.~%,-]*/)*(?:[\w~%,-][\w.~%,-]*)?(?:\?[\w.~%,=&-]+)?")
+_JSON = json.JSONEncoder(ensure_ascii=False, sort_keys=True, check_circular=False)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 
 
@@ -114,10 +119,32 @@ def plain_text(page: str) -> str:
     return _lines(_HIDDEN.sub(" ", page))
 
 
+@lru_cache(1024)
+def _instead(name: str) -> str | None:
+    """What a tag of this name leaves in the text; None if it is no tag."""
+    tag = f"<{name}>"
+    return "\n" if _BREAK.fullmatch(tag) else "" if _TAG.fullmatch(tag) else None
+
+
+def _untagged(seen: str) -> str:
+    """``seen`` without tags, with line breaks for block elements. Where no bracket stands inside or outside of tags, which is nearly everywhere, one pass does it."""
+    parts = _FLAT.split(seen)
+    left = [*map(_instead, parts[1::2])]
+    if len(left) != seen.count("<") or None in left:
+        return _TAG.sub("", _BREAK.sub("\n", seen))
+    parts[1::2] = left
+    return "".join(parts)
+
+
+def _closed_up(line: str) -> str:
+    """A line without blanks at its ends, with one blank for each run inside. All white space but the plain blank counts as not printable."""
+    return line.strip() if line.isprintable() and "  " not in line else " ".join(line.split())
+
+
 def _lines(seen: str) -> str:
     """The text of a page without its hidden elements."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", seen)))
-    return "\n".join([line for x in text.split("\n") if (line := " ".join(x.split()))])
+    text = html.unescape(_untagged(seen))
+    return "\n".join([line for x in text.split("\n") if x and (line := _closed_up(x))])
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -163,7 +190,7 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     kept = {name: own[k] for k, name in names.items() if k in own}
     link = {"WARC-Refers-To": source, "WARC-Refers-To-Payload-Digest": about["payload_digest"]}
     link |= {f"WARC-Refers-To-{name[5:]}": own[k] for k, name in names.items() if k in own}
-    found = [("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"))]
+    found = [("metadata", "application/json", _JSON.encode(about).encode("utf-8", "replace"))]
     if textual:
         found.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
     return [
@@ -210,15 +237,89 @@ def parse_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, source.read(int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0)))
 
 
+def _inflated(source) -> Iterator[bytes]:
+    """What the members of a gzip file hold, in pieces; as ``gzip.GzipFile`` reads it, with less to do for each member."""
+    member, rest = None, b""
+    while rest or (rest := source.read(1 << 15)):
+        member = member or zlib.decompressobj(31)
+        piece = member.decompress(rest, 1 << 18)
+        rest = member.unconsumed_tail
+        if piece:
+            yield piece
+        if member.eof:
+            rest, member = member.unused_data.lstrip(b"\0"), None
+            while not rest and (rest := source.read(1 << 15)):  # zeros may fill up the file
+                rest = rest.lstrip(b"\0")
+    if member:
+        raise EOFError("the file ends within a gzip member")
+
+
+class _Stream(io.RawIOBase):
+    """Pieces of bytes as a file."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        have = 0
+        while have < len(out) and (self.held or (piece := next(self.pieces, None))):
+            held = self.held or memoryview(piece)
+            n = min(len(held), len(out) - have)
+            out[have : have + n] = held[:n]
+            have, self.held = have + n, held[n:]
+        return have
+
+
+def _batches(rows: Iterable[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches of bounded bytes. Maps are made of all names and values at once, which costs far less than a dict each."""
+    ends, names, values, blocks, total = [0], [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+        return pa.RecordBatch.from_arrays([maps, pa.array(blocks, pa.binary())], schema=_RECORD)
+
+    for headers, block in rows:
+        names += headers
+        values += headers.values()
+        ends.append(len(names))
+        blocks.append(block)
+        total += len(block) + 600
+        if total >= BATCH_BYTES or len(blocks) >= 20_000:
+            yield batch()
+            ends, names, values, blocks, total = [0], [], [], [], 0
+    if blocks:
+        yield batch()
+
+
+def _records(part: pa.RecordBatch) -> Iterator[tuple[dict[str, str] | None, bytes | None]]:
+    """The records of a batch: headers of all at once, blocks one by one."""
+    maps = part.column(0)
+    ends = maps.offsets.to_pylist()
+    names, values = (x.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).tolist() if len(maps) else [] for x in (maps.keys, maps.items))
+    for k, (there, block) in enumerate(zip(maps.is_valid().to_pylist(), part.column(1))):
+        a, b = ends[k] - ends[0], ends[k + 1] - ends[0]
+        yield dict(zip(names[a:b], values[a:b])) if there else None, block.as_py()
+
+
+def _page_text() -> Column:
+    return F.coalesce(F.col("html").cast("string"), F.lit(""))
+
+
+def page_record_id() -> Column:
+    """The id of a page's response, from page_id, url and html. The hash is named once, as Spark works it out each time it is named."""
+    hashed = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.col("url").cast("string"), F.sha2(_page_text(), 256)))
+    return F.regexp_replace(hashed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
+
+
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Pages (page_id, url, html) as response records: page_id, headers, block. Null html is an empty body, a null url leaves the target out; ids follow from page_id, url and html."""
-    text = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    url = F.col("url").cast("string")
-    hashed = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), url, F.sha2(text, 256)))
-    name = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(hashed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    text, url = _page_text(), F.col("url").cast("string")
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"), text).cast("binary")
     headers = F.map_filter(
-        F.create_map(*[x for k, v in (("WARC-Type", F.lit("response")), ("WARC-Record-ID", name), ("WARC-Target-URI", url), ("WARC-Date", F.lit(date)), ("Content-Type", F.lit("application/http; msgtype=response"))) for x in (F.lit(k), v)]),
+        F.create_map(*[x for k, v in (("WARC-Type", F.lit("response")), ("WARC-Record-ID", page_record_id()), ("WARC-Target-URI", url), ("WARC-Date", F.lit(date)), ("Content-Type", F.lit("application/http; msgtype=response"))) for x in (F.lit(k), v)]),
         lambda k, v: v.isNotNull(),
     )
     return pages.select("page_id", headers.alias("headers"), block.alias("block"))
@@ -237,13 +338,13 @@ def build_derivatives(records: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                for headers, block in zip(part.column(0), part.column(1)):
-                    if headers.is_valid and block.is_valid:
-                        got = {k: v for k, v in headers.as_py() if v is not None}
+                for headers, block in _records(part):
+                    if headers is not None and block is not None:
+                        got = {k: v for k, v in headers.items() if v is not None}
                         if next((v for k, v in got.items() if k.lower() == "warc-type"), "").lower() == "response":
-                            yield from derive(got, block.as_py())
+                            yield from derive(got, block)
 
-        yield from batches(rows(), _RECORD, lambda row: len(row[1]) + 600)
+        yield from _batches(rows())
 
     return records.select("headers", "block").mapInArrow(run, RECORD)
 
@@ -261,8 +362,8 @@ def write_warc(records: DataFrame, folder: str | None = None, level: int = 1) ->
         attempt = f"{base}/.{task.partitionId()}-{task.taskAttemptId()}"
         with store.open_output_stream(attempt, compression=None) as out:
             for part in parts:
-                for headers, block in zip(part.column(0), part.column(1)):
-                    out.write(gzip.compress(serialize(dict(headers.as_py()), block.as_py()), level, mtime=0))
+                for headers, block in _records(part):
+                    out.write(gzip.compress(serialize(headers, block), level, mtime=0))
                     n += 1
         store.move(attempt, f"{base}/part-{task.partitionId():06d}.warc.gz")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{task.partitionId():06d}.warc.gz"]), pa.array([n], pa.int64())], names=["path", "records"])
@@ -279,10 +380,10 @@ def read_warc(files: DataFrame) -> DataFrame:
                 for path in part.column(0).to_pylist():
                     store, name = pafs.FileSystem.from_uri(path)
                     with store.open_input_stream(name, compression=None) as raw:
-                        stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+                        stream = io.BufferedReader(_Stream(_inflated(raw)), 1 << 18) if path.endswith(".gz") else raw
                         yield from parse_records(stream)
 
-        yield from batches(rows(), _RECORD, lambda row: len(row[1]) + 600)
+        yield from _batches(rows())
 
     named = files.select("path").where("path IS NOT NULL")
     return named.repartitionByRange(max(1, named.count()), "path").mapInArrow(read, RECORD)

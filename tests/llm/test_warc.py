@@ -3,9 +3,14 @@
 import base64
 import gzip
 import hashlib
+import html
+import io
 import json
 import zlib
 
+import pyarrow as pa
+import pytest
+
 from pagequery.llm import queries, warc
 
 
@@ -113,3 +118,53 @@ def test_plain_references_are_joined_as_others_are(monkeypatch):
     page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<a href=/a/b.html>x</a><a href=\"https://o.example/c?d=1\">y</a>"
     about = warc.derive({"WARC-Type": "response", "WARC-Target-URI": "https://h.example/p/q"}, page)[0][1]
     assert b'"links": ["https://h.example/a/b.html", "https://o.example/c?d=1"]' in about
+
+
+def test_a_page_is_hashed_once_for_its_id(spark):
+    """What is left to run when the files are written reads ids from the pages; Spark works a hash out as often as the plan names it."""
+    from conftest import DATA
+
+    plan = queries.op5_warc_derivatives(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+    first = warc.page_responses(spark.read.parquet(f"{DATA}/pages.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert first.count("sha2(") == 1
+
+
+def test_links_with_letters_of_any_script_take_the_short_way(monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(warc, "urljoin", never)
+    origin = "https://h.example"
+    for ref in ("/Ci\u00f3nue", "/m\u00e9,n/%C3%A9.", "/\u6f22\u5b57?q=\u00e9,1"):
+        assert warc._absolute(origin + "/x", ref, origin) == origin + ref
+
+
+def test_tags_go_in_one_pass_as_in_two():
+    pages = ["", "a", "<p>x</P>y", "<b>x</b>", "1 < 2 <p>x", "<b <p> x>", "a<>b</>c< p>d", "<blockquotes>x<blockquote-s>y", "<h1\nid=a>x</h1", "<?xml?><!doctype html>x", "<9>x<\u00e9>y", '<a href="<p>">x', "<\u017fection>x", "a\u00a0 b\t c\x1c<br>\u3000d  e<li> "]
+    for page in pages:
+        plain = html.unescape(warc._TAG.sub("", warc._BREAK.sub("\n", page)))
+        assert warc.plain_text(page) == "\n".join(line for x in plain.split("\n") if (line := " ".join(x.split()))), page
+
+
+def test_batches_of_records_and_back():
+    rows = [({"a": "1", "b": "\u00e9"}, b"x"), ({}, b""), ({"a": ""}, b"y" * 9)] * 3
+    (batch,) = warc._batches(iter(rows))
+    assert batch.schema == warc._RECORD and batch.equals(pa.RecordBatch.from_pylist([{"headers": list(h.items()), "block": b} for h, b in rows], schema=warc._RECORD))
+    assert list(warc._records(batch)) == rows and list(warc._records(batch.slice(2, 4))) == rows[2:6] and list(warc._records(batch.slice(1, 0))) == [] and list(warc._batches([])) == []
+    odd = pa.RecordBatch.from_pylist([{"headers": None, "block": b"x"}, {"headers": [("a", None)], "block": None}], schema=warc._RECORD)
+    assert list(warc._records(odd)) == [(None, b"x"), ({"a": None}, None)]
+
+
+def test_gzip_members_of_any_make():
+    rows = [({"WARC-Type": "x", "Content-Length": str(n)}, bytes(range(256)) * (n // 256)) for n in (0, 256, 768_000)]
+    plain = [warc.serialize(*row) for row in rows]
+    read = lambda data: list(warc.parse_records(io.BufferedReader(warc._Stream(warc._inflated(io.BytesIO(data))))))
+    members = b"".join(map(gzip.compress, plain))
+    for data in (members, gzip.compress(b"".join(plain)), members + bytes(70_000), gzip.compress(plain[0]) + b"\0" + gzip.compress(plain[1] + plain[2])):
+        assert read(data) == rows
+    assert read(b"") == read(gzip.compress(b"")) == []
+    with pytest.raises(EOFError):
+        read(members[:-5])
+    with pytest.raises(zlib.error):
+        read(members + b"more")
