@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders of sessions on one machine that name none, by application.
 _local: dict[str, str] = {}
+#: Seconds from one trim of the driver's memory to the next, at least, and the end of the last one by application.
+TRIM_S = 4
+_trimmed: dict[str, float] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +61,31 @@ def _shuffles_go(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def trim(spark: SparkSession) -> None:
+    """Gives memory that the driver's JVM and Python have freed back to the system.
+
+    The C library keeps what their threads free, for each of its arenas. Every
+    plan leaves some behind when it is compiled, so many small plans in a row
+    hold hundreds of MB that nothing uses. A JVM without the command keeps it.
+    """
+    app = spark.sparkContext.applicationId
+    if time.monotonic() - _trimmed.get(app, -TRIM_S) < TRIM_S:
+        return
+    with suppress(Py4JError):
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        kinds = [jvm.java.lang.Class.forName(name) for name in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        values = [jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0)]
+        signature, given = gateway.new_array(jvm.java.lang.Class, len(kinds)), gateway.new_array(jvm.java.lang.Object, len(values))
+        for k, (kind, value) in enumerate(zip(kinds, values)):
+            signature[k], given[k] = kind, value
+        # By the interface's method: the class behind it is not open to callers.
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", signature)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    with suppress(AttributeError, OSError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+    _trimmed[app] = time.monotonic()
+
+
 def stored(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: this cuts the lineage, and a lost executor costs no recomputation.
 
@@ -67,6 +98,7 @@ def stored(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     drop(*done)
+    trim(spark)
     return out
 
 

@@ -185,11 +185,11 @@ def fit_quality(docs: DataFrame, train_rows: int = 3000, train_bytes: int = 8_00
     Long texts take part like short ones. Pattern counts come to the driver: at
     most 4 to the power of the number of labellers rows, whatever the corpus.
     """
-    counted = _patterns(docs).toPandas()
-    labels = fit_label_model(counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
+    counted = _patterns(docs).collect()
+    labels = fit_label_model(np.array([r.pattern for r in counted], np.int64), np.array([r.n for r in counted], np.float64))
     text = F.col("text").cast("string")
     unit = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 53))
-    share = min(1.0, 50 * train_rows / max(1, int(counted["n"].sum())))  # enough distinct texts at fifty copies each
+    share = min(1.0, 50 * train_rows / max(1, sum(r.n for r in counted)))  # enough distinct texts at fifty copies each
     drawn = docs.select(text.alias("text"), unit.alias("u")).where((F.col("u") <= int(share * (1 << 53))) & (F.length(F.trim("text")) > 0))
     sizes = drawn.groupBy("u").agg(F.max(F.length("text")).alias("n")).orderBy("u").limit(train_rows).collect()
     within = np.cumsum([r.n for r in sizes]) <= train_bytes
