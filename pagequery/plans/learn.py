@@ -15,7 +15,7 @@ from pagequery.functions.loose import first_object
 from pagequery.functions.pages import clean
 from pagequery.operators.crawl import written
 from pagequery.operators.text import choose_payload
-from pagequery.plans.extract import heal_flags, induce_selectors, invalidate, matched, representatives, signature, templates, upsert_plans, with_plans, zip_fields
+from pagequery.plans.extract import heal_flags, induce_selectors, invalidate, matched, representatives, signature, templates, upsert_plans, with_plans, zip_error, zip_fields
 from pagequery.plans.schema import schema_line
 
 #: A model: from an instruction and a page's view to JSON text with a list ``items``. It must be picklable; it runs on the executors.
@@ -84,11 +84,13 @@ def extract_pages(
     names, keep = list(fields), pages.columns
 
     def read(known: DataFrame) -> DataFrame:
-        rows = zip_fields(known.withColumn("found", matched(F.col("html"), F.coalesce("plan", F.create_map().cast("map<string,array<string>>")))), names, list(required))
+        found = known.withColumn("found", matched(F.col("html"), F.coalesce("plan", F.create_map().cast("map<string,array<string>>"))))
+        failed = F.col("plan").isNull() | zip_error(names, list(required)).isNotNull()
+        rows = zip_fields(found.withColumn("html", F.when(failed, F.col("html"))), names, list(required))  # markup only of pages that are read again, so in one row of each
         return rows.withColumn("_error", F.when(F.col("plan").isNull(), F.coalesce("_why", F.lit("no plan"))).otherwise(F.col("_error")))
 
     keyed = with_plans(templates(pages, signature(fields)), plans).withColumn("_why", F.lit(None).cast("string"))
-    first = written(read(keyed).withColumn("html", F.when(F.col("_error").isNotNull(), F.col("html"))).drop("plan", "_why"))  # markup only of pages that are read again
+    first = written(read(keyed).drop("plan", "_why"))
     open_ = first.where("_error IS NOT NULL").select(*keep, "domain", "template")
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
