@@ -284,12 +284,12 @@ def _items(text: str, heading: str) -> tuple[str, list[str]]:
     return heading or (items[0][:120] if items else ""), items
 
 
-def clean(html: Column, slim: bool = False) -> Column:
-    """What a reader of the page needs: heading, markdown, items, flat_json (heading and items) and html_excerpt, the markup without noise. A page without elements gives empty ones. ``slim``: the excerpt alone where there is one, for a slim view needs no more."""
+def clean(html: Column, slim: bool = False, most: int | None = None) -> Column:
+    """What a reader of the page needs: heading, markdown, items, flat_json (heading and items) and html_excerpt, the markup without noise. A page without elements gives empty ones. ``slim``: the excerpt alone where there is one, for a slim view needs no more, and of that ``most`` characters or some more."""
 
     def run(h):
         page = Page(h)
-        if slim and (excerpt := page.html(page.nodes[0], _noise) if page.nodes else "").strip(" "):
+        if slim and (excerpt := page.html(page.nodes[0], _noise, most) if page.nodes else "").strip(" "):
             return {"heading": None, "markdown": None, "items": None, "flat_json": None, "html_excerpt": excerpt}
         text = _markdown(page)
         heading, items = _items(text, _heading(page))
@@ -352,7 +352,7 @@ def detect_records(url: Column, html: Column) -> Column:
 
 def skeleton(html: Column) -> Column:
     """The page's template: its tags in order, as a hash."""
-    return F.xxhash64(_udf("string", lambda h: Page(h).skeleton())(html))
+    return F.xxhash64(_udf("string", lambda h: Page(h, bare=True).skeleton())(html))
 
 
 def visible_length(html: Column) -> Column:

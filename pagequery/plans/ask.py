@@ -160,7 +160,7 @@ def ask_pages(pages: DataFrame, request: str, client: ModelClient, plans: DataFr
     The first page by url gives the view for which a model names the schema, on
     the driver; its fields are then read from all pages like those of a query.
     """
-    first = pages.where("html IS NOT NULL").orderBy("url").limit(1).select(choose_payload(clean(F.col("html"), view == "slim_html"), view, max_body=MAX_BODY).alias("view")).first()
+    first = pages.where("html IS NOT NULL").orderBy("url").limit(1).select(choose_payload(clean(F.col("html"), view == "slim_html", MAX_BODY), view, max_body=MAX_BODY).alias("view")).first()
     if first is None:
         raise ValueError("there is no page to ask about")
     fields, required = fields_of(synthesize(first.view, request, client))

@@ -84,7 +84,7 @@ def extract_pages(
     names, keep = list(fields), pages.columns
 
     def read(known: DataFrame) -> DataFrame:
-        found = known.withColumn("found", matched(F.col("html"), F.coalesce("plan", F.create_map().cast("map<string,array<string>>"))))
+        found = known.withColumn("found", matched(F.when(F.col("plan").isNotNull(), F.col("html")), F.coalesce("plan", F.create_map().cast("map<string,array<string>>"))))
         failed = F.col("plan").isNull() | zip_error(names, list(required)).isNotNull()
         rows = zip_fields(found.withColumn("html", F.when(failed, F.col("html"))), names, list(required))  # markup only of pages that are read again, so in one row of each
         return rows.withColumn("_error", F.when(F.col("plan").isNull(), F.coalesce("_why", F.lit("no plan"))).otherwise(F.col("_error")))
@@ -92,16 +92,18 @@ def extract_pages(
     keyed = with_plans(templates(pages, signature(fields)), plans).withColumn("_why", F.lit(None).cast("string"))
     first = written(read(keyed).drop("plan", "_why"))
     open_ = first.where("_error IS NOT NULL").select(*keep, "domain", "template")
+    # pages pack well and take long to read, so that few of them shall meet in a task
+    spread = max(1, min(open_.count(), 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             made = [learn_plan(h, v, fields, client, required, prompt, attempts) for h, v in zip(part["html"], part["view"])]
             yield pd.DataFrame({"domain": part["domain"], "template": part["template"], "url": part["url"], "plan": [m[0] for m in made], "_why": [m[1] for m in made], "questions": [m[2] for m in made]})
 
-    chosen = representatives(open_.where("html IS NOT NULL")).select("domain", "template", "url", "html", choose_payload(clean(F.col("html"), view == "slim_html"), view, max_body=MAX_BODY).alias("view"))
+    chosen = representatives(open_.where("html IS NOT NULL")).repartition(spread, "url").select("domain", "template", "url", "html", choose_payload(clean(F.col("html"), view == "slim_html", MAX_BODY), view, max_body=MAX_BODY).alias("view"))
     asked = written(chosen.mapInPandas(learn, PLANS + ", url string, _why string, questions int"))
     learned = asked.where("plan IS NOT NULL").select("domain", "template", "plan")
-    second = read(open_.join(asked.select("domain", "template", "plan", "_why"), ["domain", "template"], "left"))
+    second = read(open_.repartition(spread, "url").join(asked.select("domain", "template", "plan", "_why"), ["domain", "template"], "left"))
     typed = lambda rows: rows.select(*[c for c in keep if c != "html"], "pos", *[COERCIONS[k][1](F.col(n)).alias(n) if k != "string" else F.col(n) for n, k in fields.items()], "_error")
     return typed(first.where("_error IS NULL")).unionByName(typed(second)), upsert_plans(plans, learned), asked.withColumnRenamed("_why", "error")
 
